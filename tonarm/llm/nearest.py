@@ -124,7 +124,7 @@ def cells(k: int):
                 at, of = at[other], of[other]
                 for a in range(0, len(at), 65_536):
                     i, j = at[a : a + 65_536], of[a : a + 65_536]
-                    score = np.einsum("nd,nd->n", query.x[i], block.x[j])
+                    score = np.cumsum(query.x[i] * block.x[j], axis=1)[:, -1]  # added up from the left, as SQL does
                     for q, d, s in zip(i.tolist(), block.ids[j].tolist(), score.tolist(), strict=True):
                         heap = best[q]
                         if len(heap) < k:
@@ -160,7 +160,7 @@ def op9_nearest(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 f AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e) AS score FROM f q JOIN f d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_reduce(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score FROM f q JOIN f d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
