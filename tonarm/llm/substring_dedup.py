@@ -191,6 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """Rows (doc_id, row_key, a, b): spans [a, b) of bytes covered by repeated windows; they may overlap."""
     rows = keyed(docs)
     again = rows.mapInArrow(segment_rows(length, anchor, True), "mhash long").groupBy("mhash").count().where("count > 1").select("mhash")
+    again = stored(again, "again")  # so that the join below is of two plain exchanges, whose hot keys Spark can split
     found = stored(rows.mapInArrow(segment_rows(length, anchor, False), SEGMENTS).join(again, "mhash", "left_semi"), "segments")
     where = F.struct("doc_id", "row_key", "loc")
     classes = stored(found.groupBy("mhash", "digest").agg(F.count("*").alias("n"), F.min(where).alias("rep")), "classes")
@@ -200,6 +201,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     whole = whole.select("doc_id", "row_key", s.alias("a"), (s + n - 1 + length).alias("b"))
     # Anchors of several classes, one of them at least with a single member, whose windows are not known yet.
     mixed = classes.groupBy("mhash").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("singles")).where("k > 1 and singles > 0").select("mhash")
+    mixed = stored(mixed, "mixed")
     reps = classes.join(mixed, "mhash", "left_semi").select("rep.*", (F.col("n") == 1).alias("single"))
     by_doc = reps.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("loc", "single")).alias("found"))
     texts = rows.mapInArrow(compress, "doc_id long, row_key int, packed binary").dropDuplicates(["doc_id", "row_key"])
