@@ -1,9 +1,531 @@
-"""Registered queries."""
+"""Registered queries and the SQL that gives the same rows.
+
+The driver's tables stand in for the catalogue: documents are tracks and captions, parts hold tag lists, labels are
+a partial subset and the set of what is done, embeddings are text vectors and, reversed, audio vectors.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tonarm.functions import tags as tg
+from tonarm.functions import text as tx
+from tonarm.functions import vectors as vc
+from tonarm.operators import catalogue as cat
+from tonarm.operators import jobs, profile
+from tonarm.operators import retrieval as ret
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(c):
+    return F.array_join(c, "|")
+
+
+# Tags
+
+
+def _slots():
+    return (
+        F.concat(F.lit("genre---"), F.col("p_type")),
+        F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("genre---"), F.col("p_brand"))),
+        F.concat(F.lit("genre---"), F.col("p_name")),
+    )
+
+
+@query("""
+WITH s AS (SELECT p_partkey, ['genre---' || p_type, CASE WHEN p_size % 3 <> 0 THEN 'genre---' || p_brand END, 'genre---' || p_name] AS l FROM part),
+t AS (SELECT p_partkey, list_transform(list_filter(l, lambda x: x IS NOT NULL), lambda x: replace(x, 'genre---', '')) AS l FROM s)
+SELECT p_partkey, array_to_string(l[1:7], '|') AS tags, len(l[1:7])::INTEGER AS n_tags FROM t""")
+def tag_prefix_list(spark, sf_dir):
+    tags = F.slice(tg.strip_prefix(tg.gather_tags(*_slots()), "genre"), 1, tg.MAX_TAGS)
+    return _t(spark, sf_dir, "part").select("p_partkey", _joined(tags).alias("tags"), F.size(tags).alias("n_tags"))
+
+
+def _named_tags():
+    """Words of the name, and a tag with variants."""
+    extra = F.element_at(F.array(*[F.lit(x) for x in ("Punk", "tecno", "raps", "techno")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return F.concat(F.split("p_name", " "), F.array(extra, F.lit("rap")))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, list_concat(string_split(p_name, ' '), [['Punk', 'tecno', 'raps', 'techno'][(p_size % 4 + 1)::INTEGER], 'rap']) AS l FROM part),
+m AS (SELECT p_partkey, list_transform(l, lambda x: CASE lower(x) WHEN 'punk' THEN 'punkrock' WHEN 'tecno' THEN 'techno' WHEN 'raps' THEN 'rap' ELSE lower(x) END) AS l FROM s)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM m""")
+def tag_canonical(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", _joined(tg.canonical(_named_tags(), tg.tag_map("genre"))).alias("tags"))
+
+
+@query("""
+SELECT d.doc_id, d.lang, l.quality AS genre_tag, l.toxic AS instrument_tag, c.text AS caption
+FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON c.conv_id = d.doc_id""")
+def tags_left_enrich(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels")
+    captions = _t(spark, sf_dir, "conversations").where("turn = 0").withColumnRenamed("conv_id", "doc_id")
+    one = cat.enrich(cat.enrich(docs, labels, "doc_id", "quality", "genre_tag"), labels, "doc_id", "toxic", "instrument_tag")
+    return cat.enrich(one, captions, "doc_id", "text", "caption")
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS rows_inside, (SELECT count(DISTINCT doc_id) FROM labels) AS keys")
+def overlap_count(spark, sf_dir):
+    return cat.overlap(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+_LISTS = ("name_tags", "type_tags", "brand_tags")
+
+
+def _lists(df, *keep):
+    some = lambda n, c: F.when(F.col("p_size") % n != 0, F.split(c, " "))
+    return df.select(*keep, some(4, "p_name").alias("name_tags"), some(7, "p_type").alias("type_tags"), F.array("p_brand").alias("brand_tags"))
+
+
+_LISTS_SQL = """l AS (SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN string_split(p_name, ' ') END AS name_tags,
+  CASE WHEN p_size % 7 <> 0 THEN string_split(p_type, ' ') END AS type_tags, [p_brand] AS brand_tags FROM part)"""
+
+
+def _tag_lists(spark, sf_dir):
+    return _lists(_t(spark, sf_dir, "part"), "p_partkey")
+
+
+@query(f"""
+WITH {_LISTS_SQL}, u AS (SELECT 'name_tags' AS tag_type, name_tags AS l FROM l UNION ALL SELECT 'type_tags', type_tags FROM l UNION ALL SELECT 'brand_tags', brand_tags FROM l)
+SELECT tag_type, CASE WHEN l IS NULL THEN 'missing' ELSE 'present' END AS status, count(*) AS n FROM u GROUP BY ALL""")
+def tag_missing_stats(spark, sf_dir):
+    return profile.missing_stats(_tag_lists(spark, sf_dir), list(_LISTS))
+
+
+@query(f"""
+WITH {_LISTS_SQL}, u AS (SELECT 'name_tags' AS tag_type, coalesce(len(name_tags), 0)::DOUBLE AS v FROM l UNION ALL SELECT 'type_tags', coalesce(len(type_tags), 0) FROM l UNION ALL SELECT 'brand_tags', len(brand_tags) FROM l),
+q AS (SELECT tag_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM u GROUP BY 1)
+SELECT tag_type, q1, median, q3, min(v) AS low, max(v) AS high FROM u JOIN q USING (tag_type)
+WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""")
+def tag_count_box(spark, sf_dir):
+    return profile.box_stats(profile.tag_counts(_tag_lists(spark, sf_dir), list(_LISTS)), "tag_type", "n_tags")
+
+
+@query("SELECT '[\"' || replace(p_type, ' ', '\",\"') || '\"]' AS combination, count(*) AS n FROM part GROUP BY 1")
+def tag_combo_counts(spark, sf_dir):
+    return profile.combinations(_t(spark, sf_dir, "part").select(F.split("p_type", " ").alias("tags")), "tags")
+
+
+@query(f"""
+WITH {_LISTS_SQL}, u AS (SELECT 'name_tags' AS tag_type, unnest(name_tags) AS tag FROM l UNION ALL SELECT 'type_tags', unnest(type_tags) FROM l UNION ALL SELECT 'brand_tags', unnest(brand_tags) FROM l),
+c AS (SELECT tag_type, tag, count(*) AS n FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY tag_type ORDER BY n DESC, tag)::INTEGER AS rank FROM c)
+SELECT tag_type, tag, n, rank FROM r WHERE rank <= 15""")
+def top_tags_per_type(spark, sf_dir):
+    return profile.top_tags(_tag_lists(spark, sf_dir), list(_LISTS), 15)
+
+
+# Files and progress
+
+
+def _paths(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    rows = docs.select("doc_id", cat.normalize_path(F.concat(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("\\"), "doc_id", F.lit(".mp3"))).alias("path"))
+    there = rows.where("doc_id % 3 <> 0").select("path")
+    other = docs.where("doc_id % 50 = 0").select(F.concat(F.lit("xx/"), "doc_id", F.lit(".mp3")).alias("path"))
+    return rows, there.union(other)
+
+
+_PATHS_SQL = """r AS (SELECT doc_id, lpad((doc_id % 100)::VARCHAR, 2, '0') || '/' || doc_id || '.mp3' AS path FROM documents),
+f AS (SELECT path FROM r WHERE doc_id % 3 <> 0 UNION ALL SELECT 'xx/' || doc_id || '.mp3' FROM documents WHERE doc_id % 50 = 0)"""
+
+
+@query(f"WITH {_PATHS_SQL} SELECT doc_id, path FROM r WHERE path NOT IN (SELECT path FROM f)")
+def missing_files(spark, sf_dir):
+    rows, files = _paths(spark, sf_dir)
+    return cat.not_in(rows, files, "path").select("doc_id", "path")
+
+
+@query(f"WITH {_PATHS_SQL} SELECT DISTINCT path FROM f WHERE path NOT IN (SELECT path FROM r)")
+def extra_files(spark, sf_dir):
+    rows, files = _paths(spark, sf_dir)
+    return cat.not_in(files.distinct(), rows, "path")
+
+
+@query(f"""WITH {_PATHS_SQL} SELECT (SELECT count(*) FROM r) AS rows_total, (SELECT count(DISTINCT path) FROM r) AS paths_named,
+(SELECT count(DISTINCT path) FROM f) AS files_total, (SELECT count(DISTINCT path) FROM f WHERE path NOT IN (SELECT path FROM r)) AS extra_files""")
+def file_counts(spark, sf_dir):
+    return cat.file_counts(*_paths(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_todo(spark, sf_dir):
+    return cat.not_in(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def done_snapshot(spark, sf_dir):
+    return cat.done(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+_TRACKS_SQL = """t AS (SELECT doc_id AS index, 'track_' || lpad(doc_id::VARCHAR, 7, '0') AS track_id, lpad((doc_id % 100)::VARCHAR, 2, '0') || '/' || doc_id || '.mp3' AS path, lpad(doc_id::VARCHAR, 7, '0') AS numeric FROM documents),
+f AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'r/' || path WHEN 1 THEN 'r/' || doc_id || '.mp3' WHEN 2 THEN 'r/' || left(path, 2) || '/' || lpad(doc_id::VARCHAR, 7, '0') || '.mp3' END AS p
+  FROM (SELECT doc_id, lpad((doc_id % 100)::VARCHAR, 2, '0') || '/' || doc_id || '.mp3' AS path FROM documents)),
+g AS (SELECT *, ['r/' || path, 'r/' || split_part(path, '/', -1), 'r/' || left(path, 2) || '/' || numeric || '.mp3'] AS c FROM t),
+u AS (SELECT index, unnest(c) AS p, generate_subscripts(c, 1) - 1 AS pos FROM g),
+h AS (SELECT index, min(pos) AS pos, arg_min(u.p, pos) AS p FROM u JOIN (SELECT DISTINCT p FROM f) f ON u.p = f.p GROUP BY 1),
+x AS (SELECT g.index, g.track_id, g.c, h.p AS resolved_path, coalesce(h.pos, -1)::INTEGER AS matched_candidate_index FROM g LEFT JOIN h USING (index))"""
+
+
+def _resolved(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    number = F.lpad(F.col("doc_id").cast("string"), 7, "0")
+    path = F.concat(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("/"), "doc_id", F.lit(".mp3"))
+    tracks = docs.select(F.col("doc_id").alias("index"), F.concat(F.lit("track_"), number).alias("track_id"), path.alias("path"))
+    tracks = tracks.withColumn("numeric", tx.numeric_from_track(F.col("track_id")))
+    kind = F.col("doc_id") % 4
+    place = F.when(kind == 0, path).when(kind == 1, F.concat("doc_id", F.lit(".mp3"))).when(kind == 2, F.concat(F.left(path, F.lit(2)), F.lit("/"), number, F.lit(".mp3")))
+    files = docs.select(F.concat(F.lit("r/"), place).alias("path")).where("path IS NOT NULL")
+    return cat.resolve_paths(tracks, files, "r")
+
+
+@query(f"WITH {_TRACKS_SQL} SELECT index, track_id, resolved_path, matched_candidate_index FROM x")
+def resolve_paths(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("index", "track_id", "resolved_path", "matched_candidate_index")
+
+
+@query(f"WITH {_TRACKS_SQL} SELECT index, track_id, array_to_string(c, '|') AS path_guesses FROM x WHERE resolved_path IS NULL")
+def resolve_missing(spark, sf_dir):
+    return _resolved(spark, sf_dir).where("resolved_path IS NULL").select("index", "track_id", _joined("path_guesses").alias("path_guesses"))
+
+
+@query(f"""WITH {_TRACKS_SQL}, s AS (SELECT x.*, l.doc_id IS NOT NULL AS processed FROM x LEFT JOIN labels l ON l.doc_id = x.index)
+SELECT count(*) AS total, count(resolved_path) AS resolved, count(*) - count(resolved_path) AS missing,
+count(*) FILTER (WHERE resolved_path IS NOT NULL AND processed) AS processed, count(*) FILTER (WHERE resolved_path IS NOT NULL AND NOT processed) AS unprocessed FROM s""")
+def run_summary(spark, sf_dir):
+    did = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("index"), F.lit(True).alias("processed"))
+    return cat.run_summary(_resolved(spark, sf_dir).join(did, "index", "left"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, n_chars * 1000 AS frames, floor(least(n_chars * 1000 * 0.30::DOUBLE, 480000.0::DOUBLE))::BIGINT AS n FROM documents)
+SELECT doc_id, greatest(0, floor((frames - n) / 2.0::DOUBLE)::BIGINT) AS start, CASE WHEN n <= 0 THEN 48000 ELSE n END AS length, n <= 0 AS is_silence FROM s""")
+def segment_bounds(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 1000).alias("frames"))
+    return docs.select("doc_id", cat.segment_bounds(F.col("frames"), F.lit(48_000)).alias("s")).select("doc_id", "s.*")
+
+
+# Profiles
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def column_profile(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def _wide(spark, sf_dir):
+    tags = F.split("p_name", " ")
+    return _t(spark, sf_dir, "part").select(*[F.when(F.col("p_size") > 10 * i, F.try_element_at(tags, F.lit(i + 1))).alias(f"tag_{i + 1}") for i in range(4)])
+
+
+_WIDE_SQL = "w AS (SELECT " + ", ".join(f"CASE WHEN p_size > {10 * i} THEN string_split(p_name, ' ')[{i + 1}] END AS tag_{i + 1}" for i in range(4)) + " FROM part)"
+
+
+@query(f"WITH {_WIDE_SQL} " + " UNION ALL ".join(f"SELECT 'tag_{i}' AS column_name, count(tag_{i}) AS non_null, count(*) - count(tag_{i}) AS nulls FROM w" for i in range(1, 5)))
+def null_counts(spark, sf_dir):
+    return profile.column_profile(_wide(spark, sf_dir))
+
+
+@query(f"WITH {_WIDE_SQL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'tag_{i}' AS column_name, 2 * count(tag_{i}) >= count(*) AS kept FROM w" for i in range(1, 5)) + ")")
+def sparse_columns(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    counts = profile.column_profile(wide)
+    return counts.select("column_name", (F.col("non_null") * 2 >= F.col("non_null") + F.col("nulls")).alias("kept"))
+
+
+# Captions and keywords
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_TOKENS_SQL = f"""k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '([\\p{{L}}\\p{{N}}_]+)', 1), lambda t: regexp_full_match(t, '\\p{{L}}+') AND t NOT IN ({_STOP_SQL})) AS l FROM documents)"""
+
+
+@query(f"WITH {_TOKENS_SQL}, u AS (SELECT unnest(l) AS token FROM k) SELECT token, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, token LIMIT 100")
+def caption_token_top100(spark, sf_dir):
+    return profile.top_items(_t(spark, sf_dir, "documents"), tx.clean_and_tokenize(F.col("text")), "token", 100)
+
+
+_SP_SQL = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""
+WITH u AS (SELECT doc_id, unnest(string_split(text, ',')) AS raw, generate_subscripts(string_split(text, ','), 1)::INTEGER - 1 AS pos FROM documents),
+n AS (SELECT doc_id, pos, regexp_replace(regexp_replace(raw, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+\z', '', 'g'), '{_SP_SQL}+', ' ', 'g') AS token FROM u)
+SELECT doc_id, pos, md5(token) AS token, regexp_matches(token, '[\p{{L}}\p{{N}}_]') AND len(list_filter(regexp_split_to_array(token, ' '), lambda x: x <> '')) <= 4
+  AND NOT regexp_matches(lower(token), '^(?:{"|".join(tx.BAD_STARTS)}) ') {" ".join(f"AND NOT contains(lower(token), '{p}')" for p in tx.BAD_PHRASES)}
+  AND NOT (contains(token, '.') AND NOT ends_with(token, '.')) AS confident FROM n""")
+def keyword_tokens(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", ",", -1)).alias("pos", "raw"))
+    token = tx.normalize_token(F.col("raw"))
+    return docs.select("doc_id", "pos", token.alias("token")).select("doc_id", "pos", F.md5("token").alias("token"), tx.is_high_confidence(F.col("token")).alias("confident"))
+
+
+@query(rf"""
+WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS pos FROM documents),
+s AS (SELECT *, regexp_replace(line, '^{_SP_SQL}+|{_SP_SQL}+\z', '', 'g') AS said FROM u)
+SELECT doc_id, pos, said <> '' AND (regexp_matches(line, '[,|;/]') OR regexp_full_match(said, '[A-Za-z\-]+(?:{_SP_SQL}+[A-Za-z\-]+){{0,5}}')) AS is_list FROM s""")
+def tag_list_flag(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return docs.select("doc_id", "pos", tx.looks_like_tag_list(F.col("line")).alias("is_list"))
+
+
+def _keywords(spark, sf_dir, version=2):
+    return tx.with_keywords(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", version)
+
+
+@query()
+def keywords_v1(spark, sf_dir):
+    return _keywords(spark, sf_dir, 1).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
+
+
+@query()
+def keywords_v2(spark, sf_dir):
+    return _keywords(spark, sf_dir).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
+
+
+@query()
+def likely_keywords(spark, sf_dir):
+    return _keywords(spark, sf_dir).select("doc_id", tx.likely_has_keywords(F.col("text"), F.col("n_keywords")).alias("likely_has_keywords"))
+
+
+@query()
+def keyword_coverage(spark, sf_dir):
+    share = F.avg((F.col("n_keywords") > 0).cast("double")) * 100
+    return _keywords(spark, sf_dir).agg(F.count("*").alias("total"), F.round(F.coalesce(share, F.lit(0.0)), 6).alias("coverage"))
+
+
+@query()
+def kw_method_counts(spark, sf_dir):
+    return _keywords(spark, sf_dir).groupBy("kw_method").agg(F.count("*").alias("n"))
+
+
+@query()
+def top_keywords(spark, sf_dir):
+    return profile.top_items(_keywords(spark, sf_dir), F.col("extracted_keywords"), "keyword", 60)
+
+
+@query()
+def n_keywords_hist(spark, sf_dir):
+    return _keywords(spark, sf_dir).groupBy("n_keywords").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {_TOKENS_SQL}, u AS (SELECT doc_id, unnest(l) AS token FROM k), tf AS (SELECT doc_id, token, count(*) AS tf FROM u GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT doc_id, token, tf, df, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE), 6) AS weight FROM tf JOIN df USING (token)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token)::INTEGER AS rank FROM w)
+SELECT doc_id, token, tf, df, weight, rank FROM r WHERE rank <= 5""")
+def tfidf_keywords(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return profile.tfidf(docs, "doc_id", tx.clean_and_tokenize(F.col("text")), 5)
+
+
+# Corpus of texts
+
+
+@query(f"""WITH {_LISTS_SQL}, j AS (SELECT p_partkey, p_brand AS caption, list_filter(name_tags, lambda t: t <> '') AS a, type_tags AS b FROM l JOIN part USING (p_partkey)),
+s AS (SELECT p_partkey, trim(caption) AS c, trim(concat_ws(' ', nullif(array_to_string(a, ' '), ''), nullif(array_to_string(b, ' '), ''))) AS t FROM j)
+SELECT p_partkey, CASE WHEN t <> '' THEN c || ' | tags: ' || t ELSE c END AS combined_text FROM s""")
+def combined_text(spark, sf_dir):
+    part = _lists(_t(spark, sf_dir, "part"), "p_partkey", "p_brand")
+    return part.select("p_partkey", tg.combined_text(F.col("p_brand"), F.col("name_tags"), F.col("type_tags")).alias("combined_text"))
+
+
+@query("""SELECT d.doc_id, d.source, d.lang, l.quality AS source_cap, coalesce(l.toxic::VARCHAR, '') AS caption FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def caption_merge(spark, sf_dir):
+    meta = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    captions = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("source"), F.col("toxic").cast("string").alias("caption"))
+    return cat.merge_captions(meta, captions, "doc_id").select("doc_id", "source", "lang", "source_cap", "caption")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, doc_id, md5(text) AS caption, source FROM documents")
+def meta_index(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("caption"), "source")
+    return cat.meta_index(docs, "doc_id")
+
+
+@query("SELECT p_partkey, replace(p_type, ' ', '|') AS tags FROM part")
+def list_roundtrip(spark, sf_dir):
+    said = F.concat(F.lit("['"), F.array_join(F.split("p_type", " "), "', '"), F.lit("']"))
+    return _t(spark, sf_dir, "part").select("p_partkey", _joined(tg.list_from_text(said)).alias("tags"))
+
+
+# Vectors and retrieval
+
+_DOT = "list_reduce(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE), lambda x, y: x + y)"
+_UNIT = "list_transform({v}, lambda x: x::DOUBLE / greatest(sqrt(" + _DOT.format(a="{v}", b="{v}") + "), 1e-12))"
+_SPACES_SQL = f"""e AS (SELECT vec_id AS index, {_UNIT.format(v="embedding")} AS t, {_UNIT.format(v="list_reverse(embedding)")} AS a FROM embeddings)"""
+
+
+def _text(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), "embedding")
+
+
+def _audio(spark, sf_dir):
+    """The second space: vectors reversed."""
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), F.reverse("embedding").alias("embedding"))
+
+
+def _prompt(space, at=3):
+    """The prompt: the vector of a fixed id."""
+    return space.where(F.col("index") == at)
+
+
+def _short(where="index = 3", n=300, q="t", v="t"):
+    return f"SELECT e.index, {_DOT.format(a='p.' + q, b='e.' + v)} AS score FROM e, (SELECT * FROM e WHERE {where}) p ORDER BY score DESC, e.index LIMIT {n}"
+
+
+def _rounded(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT vec_id, pos, round(x, 6) AS x FROM (SELECT vec_id, unnest(u) AS x, generate_subscripts(u, 1)::INTEGER - 1 AS pos FROM (SELECT vec_id, {_UNIT.format(v='embedding')} AS u FROM embeddings))")
+def l2_normalize(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vc.l2_normalize(F.col("embedding"))).alias("pos", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
+@query("""SELECT vec_id, len(embedding[1:48])::INTEGER AS n_cut, len(list_concat(embedding, list_transform(range(16), lambda i: 0.0::FLOAT)))::INTEGER AS n_filled,
+round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE)), 6) AS sum_cut FROM embeddings""")
+def dim_align(spark, sf_dir):
+    v = F.col("embedding")
+    cut, filled = vc.align(v, 48), vc.align(v, 80)
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.size(cut).alias("n_cut"), F.size(filled).alias("n_filled"), F.round(F.aggregate(vc.doubles(cut), F.lit(0.0), lambda s, x: s + x), 6).alias("sum_cut"))
+
+
+@query(f"WITH {_SPACES_SQL} SELECT index, round({_DOT.format(a='t', b='a')}, 6) AS score FROM e")
+def pairwise_cosine(spark, sf_dir):
+    return _text(spark, sf_dir).select("index", F.round(vc.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("score"))
+
+
+@query(f"WITH {_SPACES_SQL}, s AS ({_short()}) SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM s")
+def shortlist_topk(spark, sf_dir):
+    space = _text(spark, sf_dir)
+    return _rounded(ret.ranked(ret.shortlist(space, _prompt(space)), ret.SHORTLIST))
+
+
+def _reranked(space):
+    return f"""WITH {_SPACES_SQL}, s AS ({_short()}), r AS (SELECT s.index, {_DOT.format(a='p.' + space, b='e.' + space)} AS score FROM s JOIN e USING (index), (SELECT * FROM e WHERE index = 3) p)
+SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM r"""
+
+
+@query(_reranked("a"))
+def rerank_audio(spark, sf_dir):
+    space, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    return _rounded(ret.ranked(ret.rerank(ret.shortlist(space, _prompt(space)), audio, _prompt(audio)), ret.SHORTLIST))
+
+
+@query(_reranked("t"))
+def rerank_text(spark, sf_dir):
+    space = _text(spark, sf_dir)
+    return _rounded(ret.ranked(ret.rerank(ret.shortlist(space, _prompt(space)), space, _prompt(space)), ret.SHORTLIST))
+
+
+@query(f"WITH {_SPACES_SQL}, s AS ({_short(n=20, q='a')}) SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM s")
+def rank_texts_for_audio(spark, sf_dir):
+    return _rounded(ret.ranked(ret.shortlist(_text(spark, sf_dir), _prompt(_audio(spark, sf_dir)), 20), 20))
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS ({_short()}), r AS (SELECT s.index, {_DOT.format(a='p.a', b='e.a')} AS score FROM s JOIN e USING (index), (SELECT * FROM e WHERE index = 3) p),
+k AS (SELECT index, score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM r)
+SELECT rank, index, round(score, 6) AS score, 'track_' || lpad(d.doc_id::VARCHAR, 7, '0') AS track_id, d.text AS caption, 'r/' || d.doc_id || '.mp3' AS path
+FROM k LEFT JOIN documents d ON d.doc_id = k.index WHERE rank <= 5""")
+def recommend(spark, sf_dir):
+    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    meta = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("index"), F.concat(F.lit("track_"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("track_id"), F.col("text").alias("caption"), F.concat(F.lit("r/"), "doc_id", F.lit(".mp3")).alias("path")
+    )
+    return _rounded(ret.recommend(text, audio, _prompt(text), _prompt(audio), meta))
+
+
+def _prompts(space):
+    return space.where("index < 10").select(F.col("index").alias("prompt_id"), "embedding")
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.t', b='e.t')} AS score FROM e, (SELECT * FROM e WHERE index < 10) p),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, index)::INTEGER AS rank FROM s)
+SELECT prompt_id, rank, index, round(score, 6) AS score FROM r WHERE rank <= 300""")
+def batch_shortlist(spark, sf_dir):
+    text = _text(spark, sf_dir)
+    return _rounded(ret.batch_shortlist(text, _prompts(text)))
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.t', b='e.t')} AS score, {_DOT.format(a='p.a', b='e.a')} AS other FROM e, (SELECT * FROM e WHERE index < 10) p),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, index) AS rank FROM s),
+k AS (SELECT prompt_id, index, other AS score, row_number() OVER (PARTITION BY prompt_id ORDER BY other DESC, index)::INTEGER AS rank FROM r WHERE rank <= 300)
+SELECT prompt_id, rank, index, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def batch_recommend(spark, sf_dir):
+    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    return _rounded(ret.batch_recommend(text, audio, _prompts(text), _prompts(audio)))
+
+
+# Jobs around models, with stand-ins for the models
+
+
+def _make_lengths():
+    """An encoder that knows a text's length and its commas; it fails on texts that hold `fail`."""
+
+    def model(texts):
+        if any("fail" in t for t in texts):
+            raise ValueError("unreadable")
+        return [[float(len(t)), float(t.count(",")), 1.0] for t in texts]
+
+    return model
+
+
+@query("""SELECT doc_id, round(length(text) / sqrt(length(text)::DOUBLE ** 2 + (length(text) - length(replace(text, ',', ''))) ** 2 + 1), 4) AS x,
+CASE WHEN contains(text, 'fail') THEN 'failed' ELSE 'ok' END AS status FROM documents""")
+def embed_job(spark, sf_dir):
+    made = jobs.embed_texts(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _make_lengths)
+    return made.select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("x"), "status")
+
+
+@query(f"WITH {_TRACKS_SQL} SELECT index, 'ok' AS status FROM x WHERE resolved_path IS NOT NULL AND index NOT IN (SELECT doc_id FROM labels)")
+def audio_job_status(spark, sf_dir):
+    did = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("index"))
+    return jobs.embed_audio(_resolved(spark, sf_dir), did, _make_lengths).select("index", "status")
+
+
+def _make_names():
+    def model(paths):
+        if any(p.endswith("7") for p in paths):
+            raise ValueError("unreadable")
+        return [f"A track at {p}" for p in paths]
+
+    return model
+
+
+@query("""SELECT 'track_' || doc_id AS track_id, CASE WHEN source LIKE '%7' THEN '' ELSE 'A track at ' || source END AS caption FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def caption_job(spark, sf_dir):
+    name = F.concat(F.lit("track_"), "doc_id").alias("track_id")
+    tracks = _t(spark, sf_dir, "documents").select(name, F.col("source").alias("path"))
+    return jobs.caption(tracks, _t(spark, sf_dir, "labels").select(name, F.lit("done").alias("caption")), _make_names)
+
+
+@query()
+def inspection_sample(spark, sf_dir):
+    return profile.inspection_sample(_keywords(spark, sf_dir).select("doc_id", "kw_method", "n_keywords"), "doc_id", 8)

@@ -1,0 +1 @@
+"""No streams: progress is a batch anti-join against a checkpoint (operators.catalogue.not_in, sources.files.append_checkpoint)."""
