@@ -334,8 +334,12 @@ def suffix_order(text, scratch):
     return induce_all(text, small, sorted_, scratch)
 
 
-def repeated_windows(strings, length: int):
-    """For each of the strings, a bool array of the starts of `length` bytes that also start elsewhere in them."""
+def repeated_windows(strings, length: int, marks=None):
+    """For each of the strings, a bool array of the starts of `length` bytes that also start elsewhere in them.
+
+    marks: (place, number) for each string: the three bytes from its place on stand for a number below 2^24, and
+    are symbols of their own.
+    """
     cap = -(-length // 4) * 4
     if cap > 252:
         raise ValueError("windows of up to 252 bytes")
@@ -347,6 +351,10 @@ def repeated_windows(strings, length: int):
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     text = raw[:n].astype(np.int64) + 2
     text[starts + sizes] = 1  # between strings
+    if marks:
+        at, number = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+        for i in range(3):
+            text[starts + at + i] = 258 + (number >> 8 * i & 255)
     text = np.r_[text, 0]
     padded = np.zeros((len(text) + cap + 8) // 4 * 4, np.uint16)
     padded[: len(text)] = text

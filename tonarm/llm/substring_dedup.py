@@ -3,9 +3,10 @@
 Suffixes that can share LENGTH bytes are first brought together. Every window of LENGTH bytes has an anchor, the
 least hash among its strings of ANCHOR bytes; equal windows have equal anchors at the same place. Runs of windows with
 one anchor are segments. Segments whose anchor stands once are done; of segments that are equal as a whole one is kept
-and all are repeated. What is left, segments that share an anchor but differ, is cut at the anchor into two
-halves keyed by the bytes on either side, dealt into shards, and every shard is suffix-sorted by external
-induced sorting (`induced`), whose common-prefix values tell the repeated windows.
+and all are repeated. What is left, segments that share an anchor but differ, is cut into pieces of windows that have a
+core of bytes around the anchor in common; pieces are dealt into shards by their core, the core is written as one number,
+and every shard is suffix-sorted by external induced sorting (`induced`), whose common-prefix values tell the
+repeated windows.
 
 Sizes: hashes of about 2 / (LENGTH - ANCHOR + 2) of all bytes are shuffled; texts are compressed before they move.
 No step holds more than a document, an Arrow batch or a shard of about SHARD_BYTES.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import binary, stored, table
 
 LENGTH, ANCHOR = 200, 64
-SHARD_BYTES = 6 << 20
+#: Classes of windows by the place of their anchor.
+CUTS = 4
+SHARD_BYTES = 2 << 20
 #: Bytes of texts whose anchors are found at a time; places within them fit PLACE bits.
 BLOCK_BYTES, PLACE = 1 << 20, 22
 SEGMENTS = "mhash long, digest long, doc_id long, row_key int, loc long"
@@ -128,14 +131,18 @@ def compress(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in binary(batch.column(2))], pa.binary())], names=["doc_id", "row_key", "packed"])
 
 
-def halves(length: int, anchor: int):
-    """The strings of a document's segments, cut at the anchor, with the key of the bytes that all their windows share."""
-    side = (length - anchor) // 2
+def pieces(length: int, anchor: int):
+    """The windows of a document's segments, by the place of their anchor in CUTS classes.
+
+    All windows of a class share a core of bytes around the anchor: a piece is what is left of the core, what is
+    right of it, and the core's hash of 128 bits as the key that equal windows have in common.
+    """
+    width = -(-(length - anchor + 1) // CUTS)
 
     def run(batches):
         import pyarrow as pa
         import zstandard
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_digest
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -145,19 +152,23 @@ def halves(length: int, anchor: int):
                 for x in found:
                     s, n, o = x["loc"] >> 20, x["loc"] >> 10 & 1023, x["loc"] & 1023
                     m = s + o
-                    cut = min(max(m - side + 1, s), s + n)  # windows before cut have `side` bytes left of the anchor
-                    for a, b, lo, hi, k in ((s, cut, m - side, m + anchor, 1), (cut, s + n, m, m + anchor + side, 2)):
-                        if a < b:
-                            rows.append((xxh64_intdigest(text[lo:hi], k) - (1 << 63), doc_id, row_key, a, x["single"], text[a : b - 1 + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "doc_id", "row_key", "start", "single", "body"])
+                    for i in range(CUTS):
+                        lo, hi = i * width, (i + 1) * width - 1
+                        a, b = max(s, m - hi), min(s + n - 1, m - lo)
+                        if a <= b:
+                            left, right = m - lo, m - hi + length
+                            key = xxh3_128_digest(text[left:right], i)
+                            rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc_id, row_key, a, x["single"], text[a:left], text[right : b + length], b - a + 1))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k1", "k2", "doc_id", "row_key", "start", "single", "lhs", "rhs", "n"])
 
     return run
 
 
-def sort_shard(length: int):
-    """A partition is a shard: its strings' repeated windows, as spans of bytes of their documents."""
+def sort_shard(length: int, anchor: int):
+    """A partition is a shard: its pieces' repeated windows, as spans of bytes of their documents. A core is one number of three symbols."""
+    width = -(-(length - anchor + 1) // CUTS)
 
     def run(batches):
         import numpy as np
@@ -165,18 +176,17 @@ def sort_shard(length: int):
 
         from .induced import repeated_windows
 
-        ids, keys, starts, singles, bodies = [], [], [], [], []
+        where, bodies, marks, cores = [], [], [], {}
         for batch in batches:
-            ids += batch.column(1).to_pylist()
-            keys += batch.column(2).to_pylist()
-            starts += batch.column(3).to_pylist()
-            singles += batch.column(4).to_pylist()
-            bodies += batch.column(5).to_pylist()
+            for k1, k2, doc_id, row_key, start, single, lhs, rhs, n in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                where.append((doc_id, row_key, start, single, n))
+                bodies.append(lhs + b"   " + rhs)
+                marks.append((len(lhs), cores.setdefault((k1, k2), len(cores))))
         out = []
-        for i, hit in enumerate(repeated_windows(bodies, length)):
-            if singles[i] and hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-                out += [(ids[i], keys[i], starts[i] + int(a), starts[i] + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        for (doc_id, row_key, start, single, n), hit in zip(where, repeated_windows(bodies, width + 2, marks), strict=True):
+            if single and hit.any():
+                edge = np.flatnonzero(np.diff(np.r_[0, hit[:n].astype(np.int8), 0]))
+                out += [(doc_id, row_key, start + int(a), start + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row_key", "a", "b"])
 
@@ -206,13 +216,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     by_doc = reps.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("loc", "single")).alias("found"))
     texts = rows.mapInArrow(compress, "doc_id long, row_key int, packed binary").dropDuplicates(["doc_id", "row_key"])
     met = _join(texts, by_doc, "inner").select("doc_id", "row_key", "packed", "found")
-    cut = stored(met.mapInArrow(halves(length, anchor), "key long, doc_id long, row_key int, start long, single boolean, body binary"), "halves")
-    shared = cut.groupBy("key").agg(F.count("*").alias("k"), F.count_if("single").alias("singles"), F.sum(F.octet_length("body")).alias("size")).where("k > 1 and singles > 0")
+    cut = stored(met.mapInArrow(pieces(length, anchor), "k1 long, k2 long, doc_id long, row_key int, start long, single boolean, lhs binary, rhs binary, n int"), "pieces")
+    shared = cut.groupBy("k1", "k2").agg(F.count("*").alias("k"), F.count_if("single").alias("singles"), F.sum(F.octet_length("lhs") + F.octet_length("rhs") + 4).alias("size")).where("k > 1 and singles > 0")
     shared = stored(shared, "keys")
     size = shared.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    dealt = cut.join(shared.select("key"), "key", "left_semi").repartition(shards, "key")
-    return whole.union(dealt.mapInArrow(sort_shard(length), "doc_id long, row_key int, a long, b long"))
+    dealt = cut.join(shared.select("k1", "k2"), ["k1", "k2"], "left_semi").repartition(shards, "k1", "k2")
+    return whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key int, a long, b long"))
 
 
 def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
