@@ -66,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing sources", mixture), ("BPE", tokens)]
 
-#: Language profiles, fingerprints, seeded budgets and merges are beyond SQL; the tests hold run() against plain Python.
+#: Language profiles, fingerprints, seeded budgets and merges are beyond SQL.
 ORACLE_SQL = None
 
 
