@@ -72,6 +72,69 @@ def test_simhash(docs, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def similar_by_hand(texts, similarity=0.8, n=5):
+    """Component (smallest position) of every text by the similarity of all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if not a | b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar(spark, docs, empty):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "one two", "One  two", "one three"]
+    for edits in (0, 1, 2, 4, 6, 12, 40):  # from copies to texts below the similarity
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(30):
+            said = list(base)
+            for at in rng.integers(0, len(said), edits):
+                said[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(said))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = similar_by_hand(texts)
+    for few in (1, 4):  # one pair a row at first: needs further rounds
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows, most=few).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) > 30
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(docs).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (7, 5), (None, None)} <= got
+    assert simhash.similar_groups(docs).count() == len(ROWS) and simhash.similar_groups(empty).count() == 0
+
+
+def test_sift_large_tile():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (30, 8), dtype=np.uint64)
+    fp = np.repeat(base, 50, axis=0)
+    for i in range(len(fp)):
+        for at in rng.integers(0, 512, rng.integers(0, 50)):
+            fp[i, at // 64] ^= np.uint64(1 << int(at % 64))
+    fp = fp[np.argsort(np.bitwise_count(fp).sum(axis=1), kind="stable")]
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2, dtype=np.int64)
+    keys, root = np.zeros((len(fp), 4), np.int64), np.arange(len(fp))
+    child, parent, a, b, more = simhash.sift(keys, fp, root, 20, 60, 10_000)
+    label = root.copy()
+    simhash.join_labels(label, *np.nonzero(far <= 20))
+    mine = root.copy()
+    simhash.join_labels(mine, child, parent)
+    assert np.array_equal(label, mine) and not len(more)
+    apart = (far > 20) & (far <= 60) & (label[:, None] != label[None]) & (root[:, None] < root[None])
+    assert set(zip(*np.nonzero(apart), strict=True)) <= set(zip(a, b, strict=True))
+
+
 def test_exact(docs, empty):
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs).collect()}
     assert got[1]["keep_id"] == 2 and not got[1]["kept"] and got[5]["keep_id"] == 7 and got[5]["group_size"] == 3

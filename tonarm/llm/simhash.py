@@ -8,6 +8,9 @@ large tiles are ordered by population count and cut into blocks, and block pairs
 are skipped. A tile returns a spanning forest of its links, never all pairs; forests of all tiles meet in a distributed
 components job.
 
+simhash_groups takes the fingerprints' word for it. similar_groups links texts of a given similarity of their sets of
+shingles: wide fingerprints find the pairs, those that are too far apart to be surely similar are computed exactly.
+
 Defined cases: null text is empty; a text of fewer words than a shingle is one shingle, without words the fingerprint
 is zero and links like any other; equal rows share a fingerprint; a null doc_id takes part but names no component
 unless all its members are null.
@@ -37,30 +40,37 @@ def _more(h, j: int):
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints_of(texts, shingle: int = SHINGLE, seed: int = SEED, words: int = 1):
-    """An array of a row of 64-bit words for each text (UTF-8); the first word is of the XXH64 hashes themselves."""
+def shingles_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED):
+    """XXH64 of each word shingle of a text in UTF-8, in order and with repeats; empty without words."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
+    said = text.lower().split()  # of bytes: A-Z and ASCII white space alone
+    if not said:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(said)
+    n = max(1, len(said) - shingle + 1)
+    if n == 1:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in said]).tolist()
+    starts = [0, *ends[: n - 1]]
+    return np.array([xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64)
+
+
+def fingerprints_of(texts, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, distinct: bool = False):
+    """An array of a row of 64-bit words for each text (UTF-8); the first word is of the XXH64 hashes themselves. distinct: each shingle counts once."""
+    import numpy as np
+
     marks = np.zeros((len(texts), words), np.uint64)
     for i, text in enumerate(texts):
-        said = text.lower().split()  # of bytes: A-Z and ASCII white space alone
-        if not said:
-            continue
-        joined = b" ".join(said)
-        n = max(1, len(said) - shingle + 1)
-        if n == 1:
-            h = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-        else:
-            ends = np.cumsum([len(w) + 1 for w in said]).tolist()
-            starts = [0, *ends[: n - 1]]
-            h = np.array([xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64)
+        h = shingles_of(text, shingle, seed)
+        h = np.unique(h) if distinct else h
         for j in range(words):
             ones = np.zeros(64, np.int64)
-            for at in range(0, n, 8192):
+            for at in range(0, len(h), 8192):
                 part = h[at : at + 8192] if j == 0 else _more(h[at : at + 8192], j)
                 ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            marks[i, j] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+            marks[i, j] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
     return marks
 
 
@@ -68,8 +78,8 @@ def _names(words: int) -> list[str]:
     return [f"w{j}" for j in range(words)]
 
 
-def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
-    """Rows (doc_id, w0, ...), each word of the fingerprint as a signed long."""
+def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, distinct: bool = False, keep=("doc_id",)) -> DataFrame:
+    """Rows (keep..., w0, ...): columns of docs as longs, and each word of the fingerprint as a signed long."""
     names = _names(words)
 
     def run(batches):
@@ -77,10 +87,11 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words
         import pyarrow as pa
 
         for batch in batches:
-            marks = fingerprints_of(binary(batch.column(1)), shingle, seed, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(marks[:, j]).view("i8")) for j in range(words))], names=["doc_id", *names])
+            marks = fingerprints_of(binary(batch.column(batch.num_columns - 1)), shingle, seed, words, distinct)
+            marks = [pa.array(np.ascontiguousarray(marks[:, j]).view("i8")) for j in range(words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *marks], names=[*keep, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in names)]))
+    return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInArrow(run, ", ".join(f"{x} long" for x in [*keep, *names]))
 
 
 def join_labels(labels, a, b):
@@ -138,41 +149,133 @@ def link(keys, fp, radius):
     return child, labels[child]
 
 
+def nearest_few(a, b, far, most):
+    """Of pairs a-b those among the `most` nearest of either end, and the ends that have more pairs than that."""
+    import numpy as np
+
+    x, y, far = np.r_[a, b], np.r_[b, a], np.r_[far, far]
+    order = np.lexsort((y, far, x))
+    x, y = x[order], y[order]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    near = rank < most
+    pairs = np.unique(np.stack([np.minimum(x, y)[near], np.maximum(x, y)[near]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], x[rank == most]
+
+
+def sift(keys, fp, root, sure, radius, most):
+    """Row numbers of rows sorted as for link: links (a, b) within `sure` bits that join roots; pairs (a, b) beyond
+    it and within the radius, of different components, the `most` nearest of each row and block; rows that have more."""
+    import numpy as np
+
+    starts = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1)])
+    sizes = np.diff(np.r_[starts, len(fp)])
+    _, first, of = np.unique(root, return_index=True, return_inverse=True)
+    before = first[of]
+    labels = before.copy()
+    pairs = []
+
+    def take(a, b, far):
+        near = far <= sure
+        if near.any():
+            join_labels(labels, a[near], b[near])
+        return a[~near], b[~near], far[~near]
+
+    def add(a, b, far):
+        apart = labels[a] != labels[b]
+        if apart.any():
+            pairs.append(nearest_few(a[apart], b[apart], far[apart], most))
+
+    small = sizes <= 128
+    run = np.repeat(np.arange(len(starts)), sizes)
+    run = np.where(np.repeat(small, sizes), run, -1 - np.arange(len(fp)))
+    mid = []
+    for lag in range(1, int(sizes[small].max(initial=1))):
+        a = np.flatnonzero(run[:-lag] == run[lag:])
+        far = np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64)
+        a, far = a[far <= radius], far[far <= radius]
+        mid.append(take(a, a + lag, far))
+    if mid:
+        add(*(np.concatenate(x) for x in zip(*mid, strict=True)))
+    for at, n in zip(starts[~small], sizes[~small], strict=True):
+        tile = fp[at : at + n]
+        ones = np.bitwise_count(tile).sum(axis=1, dtype=np.int64)
+        for i in range(0, n, BLOCK):
+            for j in range(i, n, BLOCK):
+                if ones[j] - ones[min(i + BLOCK, n) - 1] > radius:
+                    break
+                far = 0
+                for w in range(tile.shape[1]):
+                    far = far + np.bitwise_count(tile[i : i + BLOCK, w][:, None] ^ tile[None, j : j + BLOCK, w]).astype(np.int16)
+                a, b = np.nonzero(far <= radius)
+                far, a, b = far[a, b].astype(np.int64), a + i, b + j
+                ahead = a < b
+                add(*take(a[ahead] + at, b[ahead] + at, far[ahead]))
+    child = np.flatnonzero(labels != before)
+    a, b, more = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in range(3))
+    return child, labels[child], a, b, np.unique(more)
+
+
+def by_tile(batches, n_keys: int, work):
+    """Yields work(columns) over whole tiles of batches sorted by their first n_keys columns."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        rows = [np.stack(cols[:n_keys], axis=1), cols[n_keys], cols[n_keys + 1], np.stack(cols[n_keys + 2 :], axis=1).view(np.uint64)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        # The last tile may go on in the next batch.
+        other = np.flatnonzero(np.any(rows[0] != rows[0][-1], axis=1))
+        end = int(other[-1]) + 1 if len(other) else 0
+        if end:
+            yield work(*(x[:end] for x in rows))
+        held = [x[end:] for x in rows]
+    if held is not None:
+        yield work(*held)
+
+
 def tile_links(radius: int):
-    """Over rows (seg, key, x, y, v, words...) sorted by tile: links between vertices v."""
+    """Over rows (seg, key, x, y, v, root, words...) sorted by tile: links between vertices v."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        def out(keys, v, fp):
+        def work(keys, v, root, fp):
             a, b = link(keys, fp, radius)
             return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["a", "b"])
 
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy() for c in batch.columns]
-            rows = [np.stack(cols[:4], axis=1), cols[4], np.stack(cols[5:], axis=1).view(np.uint64)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            # The last tile may go on in the next batch.
-            other = np.flatnonzero(np.any(rows[0] != rows[0][-1], axis=1))
-            end = int(other[-1]) + 1 if len(other) else 0
-            if end:
-                yield out(*(x[:end] for x in rows))
-            held = [x[end:] for x in rows]
-        if held is not None:
-            yield out(*held)
+        yield from by_tile(batches, 4, work)
 
     return run
 
 
-def near_links(marks: DataFrame, radius: int, words: int = 1, segments: int | None = None) -> DataFrame:
-    """marks: rows (v, w0, ...) of distinct fingerprints. Links (a, b) of vertices whose components are those of all links within the radius that lie in a tile."""
+SURE, PAIR, MORE = 0, 1, 2
+
+
+def tile_pairs(sure: int, radius: int, most: int):
+    """Over the same rows: sift's findings as (a, b, kind) of vertices."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def work(keys, v, root, fp):
+            child, parent, a, b, more = sift(keys, fp, root, sure, radius, most)
+            kind = np.repeat(np.array([SURE, PAIR, MORE], np.int32), [len(child), len(a), len(more)])
+            a, b = v[np.r_[child, a, more]], v[np.r_[parent, b, more]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(kind)], names=["a", "b", "kind"])
+
+        yield from by_tile(batches, 4, work)
+
+    return run
+
+
+def tiles(marks: DataFrame, words: int, segments: int) -> DataFrame:
+    """marks: rows (v, root, w0, ...) of distinct fingerprints. Rows (seg, key, x, y, v, root, words...) dealt and sorted by tile."""
     names = _names(words)
-    segments = segments or radius + 1
     per_word = -(-segments // words)
     cuts = [round(64 * i / per_word) for i in range(per_word + 1)]
     parts = [
@@ -180,15 +283,20 @@ def near_links(marks: DataFrame, radius: int, words: int = 1, segments: int | No
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
         for j, name in enumerate(names)
     ]
-    dealt = marks.select("v", *names, F.explode(F.array(*parts)).alias("t")).select("t.*", "v", *names)
+    dealt = marks.select("v", "root", *names, F.explode(F.array(*parts)).alias("t")).select("t.*", "v", "root", *names)
     sizes = dealt.groupBy("seg", "key").count().where(F.col("count") > TILE)
     # A large tile becomes cells of two parts each, so that no task holds it whole.
     met = dealt.join(sizes, ["seg", "key"], "left").withColumn("m", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("long"))
     met = met.withColumn("p", F.pmod(F.xxhash64("v"), F.col("m"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     keys = ["seg", "key", "x", "y"]
-    cells = met.select("seg", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "v", *names)
+    cells = met.select("seg", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "v", "root", *names)
     ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
-    return cells.repartition(*keys).sortWithinPartitions(*keys, ones, *names).mapInArrow(tile_links(radius), "a long, b long")
+    return cells.repartition(*keys).sortWithinPartitions(*keys, ones, *names)
+
+
+def near_links(marks: DataFrame, radius: int, words: int = 1, segments: int | None = None) -> DataFrame:
+    """Links (a, b) of vertices whose components are those of all links within the radius that lie in a tile."""
+    return tiles(marks.withColumn("root", F.col("v")), words, segments or radius + 1).mapInArrow(tile_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, words: int = 1, segments: int | None = None) -> DataFrame:
@@ -205,6 +313,68 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return rows.join(named, "v").select("doc_id", F.col("w0").alias("fp"), "component_id")
 
 
+#: Distinct vertices whose texts are found by a broadcast of their hashes (16 bytes each); more are joined by a shuffle.
+FEW_ENDS = 500_000
+
+
+def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles have at least this Jaccard similarity, computed exactly."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingles_of(t, shingle, seed)).view("i8") for t in binary(batch.column(1))]
+            ends = np.cumsum([0, *map(len, sets)])
+            h = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), h.cast(pa.list_(pa.int64()))], names=["t", "h"])
+
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(marks.select("v", "t"), "v"), "ends")
+    wanted = ends.select("t").distinct()
+    few = ends.count() <= FEW_ENDS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "t", "left_semi").dropDuplicates(["t"])
+    sets = stored(found.select("t", "text").mapInArrow(run, "t long, h array<long>").join(ends, "t").select("v", "h"), "sets")
+    met = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b")
+    na, nb = F.size("ha"), F.size("hb")
+    met = met.where(F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
+    # |A & B| / |A | B| >= s, with the intersection named once
+    return met.where(F.size(F.array_intersect("ha", "hb")) * (1 + similarity) >= similarity * (na + nb) - 1e-9).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, segments: int = 40, sure: int = 48, radius: int = 120, most: int = 4, seed: int = SEED) -> DataFrame:
+    """Rows (doc_id, component_id), one per input row: components of texts whose sets of shingles are similar.
+
+    Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
+    radius are computed exactly. A round checks the `most` nearest pairs of each row and block between components, joins
+    what is similar, and a next round with eight times as many looks only at rows that had more, so that no pair is
+    left out and large groups of similar texts do not make all their pairs.
+    """
+    names = _names(words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = fingerprint(texts, shingle, seed, words, True, ("doc_id", "t"))
+    rows = stored(rows.withColumn("v", F.xxhash64(*names)), "fingerprints")
+    marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in names]), "marks")
+    live, links, tested = marks.withColumn("root", F.col("v")), None, None
+    while True:
+        found = stored(tiles(live, words, segments).mapInArrow(tile_pairs(sure, radius, most), "a long, b long, kind int"), "found")
+        pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        linked = found.where(F.col("kind") == SURE).select("a", "b").union(similar_pairs(pairs, marks, texts, similarity, shingle, seed))
+        linked = stored(linked, "links")
+        links = linked if links is None else links.union(linked)
+        roots = stored(components(links), "roots")
+        more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
+        if more.isEmpty():
+            break
+        live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        most *= 8
+    rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.join(named, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_groups(docs)
