@@ -17,12 +17,12 @@ from tonarm.llm.common import shared_dir
 from tonarm.llm.language_id import identify, learn_profiles
 from tonarm.llm.line_dedup import line_dedup
 from tonarm.llm.mixing import WEIGHTS, mix, with_domain
-from tonarm.llm.simhash import simhash_groups
+from tonarm.llm.simhash import similar_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near-duplicates share five-word shingles to a similarity of 0.8: two such sets' cosine is 0.89, at which 78 of 512
-#: bits differ. Of 32 segments of 16 bits, two texts that differ in 70 bits agree on one at least with 0.95.
-NEAR = {"shingle": 5, "radius": 80, "words": 8, "segments": 32}
+#: Near-duplicates' sets of five-word shingles have a Jaccard similarity of 0.8 or more; their cosine is then 0.89 at
+#: least, at which 78 of 512 bits differ on average, with a deviation of 8.
+NEAR = {"similarity": 0.8, "shingle": 5, "words": 8, "segments": 40, "sure": 48, "radius": 120}
 #: The share of all tokens that the mixture takes, without repeating any document.
 MIX_FRACTION = 0.9
 TOKENIZER = "word_bpe_49k.json"
@@ -44,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     ship(spark)
-    kept = simhash_groups(docs.select("doc_id", "text"), **NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"))
+    kept = similar_groups(docs.select("doc_id", "text"), **NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left_semi").select(COLUMNS)
 
 
