@@ -20,7 +20,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 #: Words whose encoding a task keeps; beyond it the memory is emptied and filled anew.
 WORDS_KEPT = 200_000
@@ -197,15 +197,6 @@ class Automaton:
         return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
 
 
-_made: dict[str, Automaton] = {}
-
-
-def automaton(path: str) -> Automaton:
-    if path not in _made:
-        _made[path] = Automaton(path)
-    return _made[path]
-
-
 def encode_decode(docs: DataFrame, tokenizer: str, keep=("doc_id",)) -> DataFrame:
     """Rows (keep..., n_tokens, token_ids, decoded), one per input row; token_ids is the ids as little-endian 32-bit integers."""
     keep = [c for c in keep if c not in ("n_tokens", "token_ids", "decoded")]
@@ -214,7 +205,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep=("doc_id",)) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        auto = automaton(tokenizer)
+        auto = held(("bpe", tokenizer), lambda: Automaton(tokenizer))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 512):  # small batches out: tokens and labels are larger than the text

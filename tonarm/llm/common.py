@@ -33,6 +33,29 @@ def row_key(text="text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """A table that a Python worker keeps for its next task of the same kind."""
+    if key not in _held:
+        make_room()
+        _held[key] = make()
+    return _held[key]
+
+
+def make_room() -> None:
+    """Gives back what tasks of another kind left in this worker: their tables, and memory that Arrow keeps in reserve."""
+    import gc
+
+    import pyarrow as pa
+
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def binary(column):
     """An Arrow string or binary column as Python bytes; null becomes empty."""
     import pyarrow as pa

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary, table
+from .common import make_room, table
 
 #: Bound on the labelled rows that profiles are learned from.
 SAMPLE_ROWS = 20_000
@@ -75,6 +75,7 @@ def learn_profiles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int =
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         grams = Grams()
         for batch in batches:
             for lang in set(batch.column(0).to_pylist()):
@@ -99,6 +100,7 @@ def predict(profiles: dict[str, list[int]], doc_grams: int = DOCUMENT_GRAMS):
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         grams = Grams()
         known = []
         for lang in langs:
