@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, components, stored, table
+from .common import binary, components, make_room, stored, table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints of one tile in one task; larger tiles are dealt into pairs of parts of about this size.
@@ -86,6 +86,7 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             marks = fingerprints_of(binary(batch.column(batch.num_columns - 1)), shingle, seed, words, distinct)
             marks = [pa.array(np.ascontiguousarray(marks[:, j]).view("i8")) for j in range(words)]
@@ -215,15 +216,29 @@ def sift(keys, fp, root, sure, radius, most):
     return child, labels[child], a, b, np.unique(more)
 
 
+def gathered(batches, rows: int = 8_192):
+    """Columns of batches put together to at least so many rows, but for the last."""
+    import numpy as np
+
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting, n = [], 0
+    if waiting:
+        yield [np.concatenate(x) for x in zip(*waiting, strict=True)]
+
+
 def by_tile(batches, n_keys: int, work):
     """Yields work(columns) over whole tiles of batches sorted by their first n_keys columns."""
     import numpy as np
 
+    make_room()
     held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy() for c in batch.columns]
+    for cols in gathered(batches):
         rows = [np.stack(cols[:n_keys], axis=1), cols[n_keys], cols[n_keys + 1], np.stack(cols[n_keys + 2 :], axis=1).view(np.uint64)]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
@@ -324,6 +339,7 @@ def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similari
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             sets = [np.unique(shingles_of(t, shingle, seed)).view("i8") for t in binary(batch.column(1))]
             ends = np.cumsum([0, *map(len, sets)])
@@ -347,7 +363,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
 
     Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
     radius are computed exactly. A round checks the `most` nearest pairs of each row and block between components, joins
-    what is similar, and a next round with eight times as many looks only at rows that had more, so that no pair is
+    what is similar, and a next round with 64 times as many looks only at rows that had more, so that no pair is
     left out and large groups of similar texts do not make all their pairs.
     """
     names = _names(words)
@@ -369,7 +385,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
         if more.isEmpty():
             break
         live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        most *= 8
+        most *= 64
     rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
