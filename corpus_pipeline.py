@@ -28,29 +28,38 @@ MIX_FRACTION = 0.9
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Rows of an Arrow batch in this job: texts can be long, and workers hold some batches at once.
+BATCH_ROWS = 1_000
+
+
+def ready(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter; a missing lang is filled in."""
-    ship(spark)
+    ready(spark)
     found = identify(docs.select(COLUMNS), learn_profiles(docs), keep=COLUMNS).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that ten documents or more share; every document stays."""
-    ship(spark)
+    ready(spark)
     return line_dedup(docs.select(COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    ship(spark)
+    ready(spark)
     kept = similar_groups(docs.select("doc_id", "text"), **NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left_semi").select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the token budgets of domains, languages and sources take."""
-    ship(spark)
+    ready(spark)
     kept = mix(with_domain(docs), WEIGHTS, MIX_FRACTION, max_epochs=1).where("copies > 0").select(F.col("doc_id").alias("_d"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left_semi").select(COLUMNS)
 
@@ -59,7 +68,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text decoded from them."""
     import public_tokenizers
 
-    ship(spark)
+    ready(spark)
     found = encode_decode(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id", "lang", "source"])
     return found.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -71,7 +80,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
