@@ -371,7 +371,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
     rows = fingerprint(texts, shingle, seed, words, True, ("doc_id", "t"))
     rows = stored(rows.withColumn("v", F.xxhash64(*names)), "fingerprints")
     marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in names]), "marks")
-    live, links, tested = marks.withColumn("root", F.col("v")), None, None
+    live, roots, tested = marks.withColumn("root", F.col("v")), None, None
     while True:
         found = stored(tiles(live, words, segments).mapInArrow(tile_pairs(sure, radius, most), "a long, b long, kind int"), "found")
         pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
@@ -379,8 +379,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
         tested = pairs if tested is None else tested.union(pairs)
         linked = found.where(F.col("kind") == SURE).select("a", "b").union(similar_pairs(pairs, marks, texts, similarity, shingle, seed))
         linked = stored(linked, "links")
-        links = linked if links is None else links.union(linked)
-        roots = stored(components(links), "roots")
+        # Components so far stand for the links of earlier rounds.
+        roots = stored(components(linked if roots is None else linked.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), "roots")
         more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
         if more.isEmpty():
             break
