@@ -483,6 +483,23 @@ def batch_recommend(spark, sf_dir):
     return _rounded(ret.batch_recommend(text, audio, _prompts(text), _prompts(audio)))
 
 
+def _hundredth(space):
+    """The query set of searches: every row whose id is divisible by 100, so that the work grows with the table."""
+    return space.where("index % 100 = 0").select(F.col("index").alias("prompt_id"), "embedding")
+
+
+@query(SQL["batch_shortlist"].replace("index < 10", "index % 100 = 0"))
+def batch_shortlist_hundredth(spark, sf_dir):
+    text = _text(spark, sf_dir)
+    return _rounded(ret.batch_shortlist(text, _hundredth(text)))
+
+
+@query(SQL["batch_recommend"].replace("index < 10", "index % 100 = 0"))
+def batch_recommend_hundredth(spark, sf_dir):
+    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    return _rounded(ret.batch_recommend(text, audio, _hundredth(text), _hundredth(audio)))
+
+
 # Jobs around models, with stand-ins for the models
 
 
