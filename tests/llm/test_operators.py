@@ -115,6 +115,20 @@ def test_similar(spark, docs, empty):
     assert simhash.similar_groups(docs).count() == len(ROWS) and simhash.similar_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100, 1])
+def test_similar_short(spark, monkeypatch, hot):
+    """Pairs of 8 and 9 words at exactly 0.8, of which fingerprints alone lose some."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BUCKET_BYTES", 20_000)
+    texts = []
+    for i in range(1_000):
+        said = [f"w{i}x{j}" for j in range(9)]
+        texts += [" ".join(said[:8]), " ".join(said)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
 def test_sift_large_tile():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (30, 8), dtype=np.uint64)

@@ -9,7 +9,8 @@ are skipped. A tile returns a spanning forest of its links, never all pairs; for
 components job.
 
 simhash_groups takes the fingerprints' word for it. similar_groups links texts of a given similarity of their sets of
-shingles: wide fingerprints find the pairs, those that are too far apart to be surely similar are computed exactly.
+shingles: wide fingerprints find most pairs, those that are too far apart to be surely similar are computed exactly; what
+fingerprints miss is found by the rarest shingles of each text, of which similar texts must have one in common.
 
 Defined cases: null text is empty; a text of fewer words than a shingle is one shingle, without words the fingerprint
 is zero and links like any other; equal rows share a fingerprint; a null doc_id takes part but names no component
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import binary, components, make_room, stored, table
 
@@ -298,15 +300,19 @@ def tiles(marks: DataFrame, words: int, segments: int) -> DataFrame:
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
         for j, name in enumerate(names)
     ]
-    dealt = marks.select("v", "root", *names, F.explode(F.array(*parts)).alias("t")).select("t.*", "v", "root", *names)
+    return cells(marks.select("v", "root", *names, F.explode(F.array(*parts)).alias("t")).select("t.*", "v", "root", *names), names)
+
+
+def cells(dealt: DataFrame, names: list[str]) -> DataFrame:
+    """dealt: rows (seg, key, v, root, words...). Rows (seg, key, x, y, v, root, words...) sorted by tile."""
     sizes = dealt.groupBy("seg", "key").count().where(F.col("count") > TILE)
     # A large tile becomes cells of two parts each, so that no task holds it whole.
     met = dealt.join(sizes, ["seg", "key"], "left").withColumn("m", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("long"))
     met = met.withColumn("p", F.pmod(F.xxhash64("v"), F.col("m"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     keys = ["seg", "key", "x", "y"]
-    cells = met.select("seg", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "v", "root", *names)
+    met = met.select("seg", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "v", "root", *names)
     ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
-    return cells.repartition(*keys).sortWithinPartitions(*keys, ones, *names)
+    return met.repartition(*keys).sortWithinPartitions(*keys, ones, *names)
 
 
 def near_links(marks: DataFrame, radius: int, words: int = 1, segments: int | None = None) -> DataFrame:
@@ -358,34 +364,174 @@ def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similari
     return met.where(F.size(F.array_intersect("ha", "hb")) * (1 + similarity) >= similarity * (na + nb) - 1e-9).select("a", "b")
 
 
+#: Bytes of texts whose shingles meet in one bucket on average, and shingles of a part that a task hands over at a time.
+BUCKET_BYTES, PART = 8 << 20, 1_000_000
+#: Shingles in more than HOT of about HOT_SAMPLE texts count as frequent without being counted.
+HOT, HOT_SAMPLE = 100, 10_000
+
+
+def shingle_sets(shingle: int, seed: int):
+    """Over rows (t, text): each text's distinct shingles, one a row."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        make_room()
+        for batch in batches:
+            for text in binary(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles_of(text, shingle, seed)).view("i8"))], names=["h"])
+
+    return run
+
+
+def shingle_parts(shingle: int, seed: int, buckets: int, hot: list[int]):
+    """Over rows (t, text): distinct shingles with their texts' hashes t and numbers n of shingles, packed by bucket. Shingles
+    are dealt by hash, hot ones by t into further buckets. A task hands over equal texts once."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        make_room()
+        seen: set[int] = set()
+        held: list = []
+        known = np.array(sorted(hot), np.int64)
+
+        def out():
+            t = np.array([x for x, _ in held], np.int64)
+            n = np.array([len(h) for _, h in held], np.int64)
+            h, of = np.concatenate([h for _, h in held]), np.repeat(np.arange(len(t)), n)
+            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(np.isin(h.view("i8"), known), buckets + t[of] % buckets, bucket)
+            order = np.argsort(bucket, kind="stable")
+            bucket, h, of = bucket[order], h[order], of[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.zeros(0, np.int64)
+            rows = []
+            for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True) if len(h) else ():
+                who, at = np.unique(of[a:b], return_inverse=True)
+                rows.append((int(bucket[a]), t[who].tobytes(), n[who].astype("<i4").tobytes(), at.astype("<u2").tobytes(), h[a:b].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "t", "n", "at", "h"])
+
+        size = 0
+        for batch in batches:
+            for t, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+                if t in seen:
+                    continue
+                seen.add(t)
+                held.append((t, np.unique(shingles_of(text, shingle, seed))))
+                size += len(held[-1][1])
+                if size >= PART or len(held) >= 60_000:  # places among the texts of a part fit 16 bits
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def shared_shingles(buckets: int):
+    """Over parts sorted by bucket: rows (t, n, h, df) of the shingles that several texts have, df being how many."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        make_room()
+        held, open_ = [], None
+
+        def out():
+            t, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((t, h))
+            t, n, h = t[order], n[order], h[order]
+            own = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])]
+            t, n, h = t[own], n[own], h[own]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            df = np.diff(np.r_[starts, len(h)])
+            df = np.repeat(df, df) if open_ < buckets else np.full(len(h), 1 << 40)
+            keep = np.flatnonzero(df > 1)
+            for a in range(0, len(keep), 200_000):
+                i = keep[a : a + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(t[i]), pa.array(n[i].astype(np.int64)), pa.array(h[i]), pa.array(df[i])], names=["t", "n", "h", "df"])
+
+        for batch in batches:
+            for bucket, t, n, at, h in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and bucket != open_:
+                    yield from out()
+                    held = []
+                open_, at = bucket, np.frombuffer(at, "<u2")
+                held.append((np.frombuffer(t, "<i8")[at], np.frombuffer(n, "<i4")[at], np.frombuffer(h, "<i8")))
+        if held:
+            yield from out()
+
+    return run
+
+
+def rarest(texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Rows (t, h): in an order of all shingles, rare ones first, as many of each text's first ones as it must have one of
+    in common with any similar text; those that no other text has are left out. texts: rows (t, text)."""
+    texts = texts.select("t", "text")
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = -(-(size or 1) // BUCKET_BYTES)
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(-(-n // HOT_SAMPLE) or 1)) == 0).dropDuplicates(["t"])
+    # Any order serves, if it is the same for all texts; so a sample may say which shingles come last.
+    hot = [r["h"] for r in some.mapInArrow(shingle_sets(shingle, seed), "h long").groupBy("h").count().where(F.col("count") > HOT).select("h").collect()]
+    parts = texts.mapInArrow(shingle_parts(shingle, seed, buckets, hot), "bucket long, t binary, n binary, at binary, h binary")
+    met = parts.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_shingles(buckets), "t long, n long, h long, df long")
+    # Of n shingles, n - ceil(similarity * n) + 1 come first; n - k of them no other text has.
+    own = Window.partitionBy("t")
+    met = met.withColumn("k", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "h")))
+    return met.where(F.col("rank") <= F.col("k") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("t", "h")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, segments: int = 40, sure: int = 48, radius: int = 120, most: int = 4, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, component_id), one per input row: components of texts whose sets of shingles are similar.
 
     Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
     radius are computed exactly. A round checks the `most` nearest pairs of each row and block between components, joins
     what is similar, and a next round with 64 times as many looks only at rows that had more, so that no pair is
-    left out and large groups of similar texts do not make all their pairs.
+    left out and large groups of similar texts do not make all their pairs. Tiles of segments come first; tiles of the
+    rarest shingles then hold all similar pairs, whatever their fingerprints, and only pairs of different components are looked at.
     """
     names = _names(words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     rows = fingerprint(texts, shingle, seed, words, True, ("doc_id", "t"))
     rows = stored(rows.withColumn("v", F.xxhash64(*names)), "fingerprints")
     marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in names]), "marks")
-    live, roots, tested = marks.withColumn("root", F.col("v")), None, None
-    while True:
-        found = stored(tiles(live, words, segments).mapInArrow(tile_pairs(sure, radius, most), "a long, b long, kind int"), "found")
-        pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        linked = found.where(F.col("kind") == SURE).select("a", "b").union(similar_pairs(pairs, marks, texts, similarity, shingle, seed))
-        linked = stored(linked, "links")
-        # Components so far stand for the links of earlier rounds.
-        roots = stored(components(linked if roots is None else linked.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), "roots")
-        more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
-        if more.isEmpty():
-            break
-        live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        most *= 64
+    roots, tested = None, None
+
+    def rounds(deal, radius: int, most: int) -> None:
+        nonlocal roots, tested
+        live = marks if roots is None else marks.join(roots, "v", "left")
+        live = live.withColumn("root", F.col("v") if roots is None else F.coalesce("root", "v"))
+        while True:
+            found = stored(deal(live).mapInArrow(tile_pairs(sure, radius, most), "a long, b long, kind int"), "found")
+            pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            linked = found.where(F.col("kind") == SURE).select("a", "b").union(similar_pairs(pairs, marks, texts, similarity, shingle, seed))
+            linked = stored(linked, "links")
+            # Components so far stand for the links of earlier rounds.
+            roots = stored(components(linked if roots is None else linked.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), "roots")
+            more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
+            if more.isEmpty():
+                break
+            live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+            most *= 64
+
+    rounds(lambda live: tiles(live, words, segments), radius, most)
+    first = rarest(texts, similarity, shingle, seed).join(rows.select("t", "v").distinct(), "t").select("v", "h").distinct()
+    first = stored(first, "rarest")
+
+    def by_shingle(live: DataFrame) -> DataFrame:
+        dealt = first.join(live.select("v", "root"), "v")
+        apart = dealt.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+        dealt = stored(dealt.join(apart, "h", "left_semi").select("v", "h"), "apart").join(live, "v")
+        return cells(dealt.select(F.lit(-1).cast("long").alias("seg"), F.col("h").alias("key"), "v", "root", *names), names)
+
+    rounds(by_shingle, 64 * words, most)
     rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
