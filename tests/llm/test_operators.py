@@ -59,6 +59,46 @@ def test_substrings(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substrings_of_hot_core(spark, monkeypatch):
+    """A passage in different contexts: its pieces, all of one core, go to no shard."""
+    monkeypatch.setattr(substring_dedup, "CORE_ROWS", 10)
+    used = []
+    sort_shard = substring_dedup.sort_shard
+
+    def watched(length, anchor):
+        run = sort_shard(length, anchor)
+
+        def counted(batches):
+            def checked():
+                seen = Counter()
+                for batch in batches:
+                    seen.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                    assert max(seen.values(), default=0) <= 10
+                    yield batch
+
+            yield from run(checked())
+
+        used.append(counted)
+        return counted
+
+    monkeypatch.setattr(substring_dedup, "sort_shard", watched)
+    rng = np.random.default_rng(5)
+    words = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, near = words(260), [words(20) for _ in range(3)]
+    texts = [words(150) + near[i % 3] + passage[: 195 + i % 65] + near[i % 2] + words(150) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = {}
+    for d, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want[d] = (int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(t.encode(), np.uint8)[~gone]))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.substring_dedup(rows).collect()}
+    assert got == want and used
+
+
 def test_lines(docs, empty):
     got = {(r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(docs).collect()}
     assert {(100, "own 0", 2), (None, "last", 1), (3, "a b c d", 0), (1, "", 0)} <= got

@@ -6,7 +6,8 @@ one anchor are segments. Segments whose anchor stands once are done; of segments
 and all are repeated. What is left, segments that share an anchor but differ, is cut into pieces of windows that have a
 core of bytes around the anchor in common; pieces are dealt into shards by their core, the core is written as one number,
 and every shard is suffix-sorted by external induced sorting (`induced`), whose common-prefix values tell the
-repeated windows.
+repeated windows. Pieces of a core that more than CORE_ROWS have are not sorted: each of their windows is a 128-bit hash, and
+repeated hashes are counted by partial aggregation.
 
 Sizes: hashes of about 2 / (LENGTH - ANCHOR + 2) of all bytes are shuffled; texts are compressed before they move.
 No step holds more than a document, an Arrow batch or a shard of about SHARD_BYTES.
@@ -28,6 +29,8 @@ LENGTH, ANCHOR = 200, 64
 #: Classes of windows by the place of their anchor.
 CUTS = 4
 SHARD_BYTES = 2 << 20
+#: Pieces with one core that may go to one shard; of more, the windows are told by 128-bit hashes and counted.
+CORE_ROWS = 5_000
 #: Bytes of texts whose anchors are found at a time; places within them fit PLACE bits.
 BLOCK_BYTES, PLACE = 1 << 20, 22
 SEGMENTS = "mhash long, digest long, doc_id long, row_key int, loc long"
@@ -193,6 +196,35 @@ def sort_shard(length: int, anchor: int):
     return run
 
 
+def windows(length: int):
+    """Over pieces: each of their windows as a hash of 128 bits of the core's key and the bytes left and right of it."""
+
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+
+        def out(rows):
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["w1", "w2", "doc_id", "row_key", "a", "single"])
+
+        for batch in batches:
+            rows = []
+            for k1, k2, doc_id, row_key, start, single, lhs, rhs, n in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                core = k1.to_bytes(8, "little", signed=True) + k2.to_bytes(8, "little", signed=True)
+                for i in range(n):
+                    said = lhs[i:]
+                    w = xxh3_128_digest(core + said + rhs[: len(rhs) - (n - 1 - i)], len(said))
+                    rows.append((int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), doc_id, row_key, start + i, single))
+                if len(rows) > 100_000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+    return run
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text")
 
@@ -219,10 +251,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     cut = stored(met.mapInArrow(pieces(length, anchor), "k1 long, k2 long, doc_id long, row_key int, start long, single boolean, lhs binary, rhs binary, n int"), "pieces")
     shared = cut.groupBy("k1", "k2").agg(F.count("*").alias("k"), F.count_if("single").alias("singles"), F.sum(F.octet_length("lhs") + F.octet_length("rhs") + 4).alias("size")).where("k > 1 and singles > 0")
     shared = stored(shared, "keys")
-    size = shared.agg(F.sum("size")).first()[0] or 0
+    few = shared.where(F.col("k") <= CORE_ROWS)
+    size = few.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    dealt = cut.join(shared.select("k1", "k2"), ["k1", "k2"], "left_semi").repartition(shards, "k1", "k2")
-    return whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key int, a long, b long"))
+    dealt = cut.join(few.select("k1", "k2"), ["k1", "k2"], "left_semi").repartition(shards, "k1", "k2")
+    found = whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key int, a long, b long"))
+    # Each of these keys stands for more than CORE_ROWS pieces, so there are few of them.
+    hot = cut.join(F.broadcast(shared.where(F.col("k") > CORE_ROWS).select("k1", "k2")), ["k1", "k2"], "left_semi")
+    hot = stored(hot.mapInArrow(windows(length), "w1 long, w2 long, doc_id long, row_key int, a long, single boolean"), "windows")
+    twice = stored(hot.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
+    return found.union(hot.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "row_key", "a", (F.col("a") + length).alias("b")))
 
 
 def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
