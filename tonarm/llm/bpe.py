@@ -1,14 +1,18 @@
 """BPE encoding and decoding (operator 4) by a tokenization automaton.
 
-Merges are compiled in rank order. The gadget of a merge (u, v) -> w makes w an arc of the trie of tokens and closes
-the passage from any token that ends in a live u to any that begins with a live v: w must be read there instead.
-What the gadgets leave open is a deterministic automaton: of every pre-split word exactly one path of arcs survives,
-the BPE encoding. The passage table holds |V|^2 pairs, so its entries are worked out from the compiled spines when a
-word first asks for them, and kept. Words are encoded by table-driven transitions and decoded by emitting the labels
-of their arcs, joined by blanks where the file names no decoder.
+The driver compiles the merges of a tokenizer file, in rank order, into a deterministic automaton over tokens. A state
+is what the last token leaves open at its right end, an arc is a token. The gadget of a merge (u, v) -> w makes w an arc
+and closes every passage from a token that ends in a live u to one that begins with a live v: w must be read there
+instead. After the last gadget exactly one path of arcs reads a pre-split word, its BPE encoding. Tokens with equal ends
+share a row or a column of the table of passages, which takes one bit a pair (20 MB for 49,000 merges); it is broadcast,
+for its size follows from the vocabulary alone. Arcs are found by the transitions of the trie of their spellings. Texts
+are decoded by emitting the labels of their arcs, joined by blanks.
+
+Normaliser, split pattern, special tokens and end-of-word suffix are read from the file; a file that asks for anything
+else is refused with a ValueError, as is one whose vocabulary cannot spell every byte.
 
 Defined cases: null text is empty: no tokens and an empty decoded text; special tokens in a text are their own ids;
-repeated rows are encoded each; the extra columns of `encode_decode` are those named in keep.
+repeated rows are encoded each; the extra columns of `encode_decode` are those named in keep, but for its own names.
 """
 
 from __future__ import annotations
@@ -16,16 +20,22 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, table
 
-#: Words whose encoding a task keeps; beyond it the memory is emptied and filled anew.
-WORDS_KEPT = 200_000
-#: White space of Unicode, as character classes of regular expressions.
-SPACE = "\t-\r \x85\xa0  -     　"
+#: Chunks of text whose encoding a task keeps: so many new ones at most, and as many of those before.
+KEPT = 200_000
+#: Words of more symbols are read one by one, shorter ones together.
+LONG = 256
+#: White space of Unicode, as a body of character classes of regular expressions.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What str.split takes for white space beside SPACE.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def class_of(category: str) -> str:
@@ -48,153 +58,297 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def checked(spec: dict) -> str:
+    """The split pattern of a tokenizer file of the kind `words with an end-of-word suffix`; ValueError for any other."""
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    split, *letters = pre.get("pretokenizers") or [{}]
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    fine = {
+        "normalizer": steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)],
+        "pre_tokenizer": split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and "Regex" in split.get("pattern", {})
+        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in letters] == [("ByteLevel", False, False)],
+        "model": model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and plain,
+        "decoder": spec.get("decoder") is None,
+        "added_tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]),
+    }
+    if unknown := [name for name, good in fine.items() if not good]:
+        raise ValueError(f"tokenizer file of another kind: {', '.join(unknown)}")
+    return split["pattern"]["Regex"]
+
+
 class Automaton:
-    """The automaton of a tokenizer file of the kind `BPE with an end-of-word suffix`."""
+    """The automaton of a tokenizer file, compiled; plain lists, dictionaries and bytes, so that it can be broadcast."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        vocab = model["vocab"]
+        self.pattern, model = checked(spec), spec["model"]
+        vocab, self.suffix = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = {b: c for b, c in enumerate(letters) if chr(b) != c}
         # The alphabet: a byte's letter, or the same at a word's end (moved to a private plane).
-        self.final = {c: chr(0xF0000 + ord(c)) for c in self.letters}
-        self.symbols = {i: self._symbols(t) for t, i in vocab.items()}
-        self.trie: list[dict[str, int]] = [{}]
-        self.accepts: list[int] = [-1]
-        self.merge_rank: dict[tuple[int, int], int] = {}
-        self.left: dict[int, tuple] = {}
-        self.right: dict[int, tuple] = {}
-        self.open: dict[tuple[int, int], bool] = {}
-        for c in self.letters:
-            for t in (c, c + self.suffix):
-                if t in vocab:
-                    self._arc(vocab[t])
-                    self.left[vocab[t]] = self.right[vocab[t]] = ()
-        for rank, m in enumerate(model["merges"]):
-            u, v = m if isinstance(m, list) else m.split(" ")
-            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        # The longest shorter token that begins each token.
-        self.shorter = {t: self._shorter(s) for t, s in self.symbols.items()}
-        self.size = {t: len(s) for t, s in self.symbols.items()}
-        letter, number = class_of("L"), class_of("N")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.final = {c: chr(0xF0000 + ord(c)) for c in letters}
+        if missing := [t for c in letters for t in (c, c + self.suffix) if t not in vocab]:
+            raise ValueError(f"tokens missing for bytes: {missing}")
+        merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        arcs = [vocab[t] for c in letters for t in (c, c + self.suffix)] + [w for _, _, w in merges]
+        self.spelled = {t: self._symbols(self.labels[t]) for t in arcs}
+        self._trie()
+        self._passages(arcs, merges)
 
     def _symbols(self, token: str) -> str:
-        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
+        if token.endswith(self.suffix) and len(token) > len(self.suffix):
             head = token[: -len(self.suffix)]
-            return head[:-1] + self.final.get(head[-1], head[-1])
+            return head[:-1] + self.final[head[-1]]
         return token
 
-    def _arc(self, token: int) -> None:
-        at = 0
-        for c in self.symbols[token]:
-            nxt = self.trie[at].get(c)
-            if nxt is None:
-                nxt = self.trie[at][c] = len(self.trie)
-                self.trie.append({})
-                self.accepts.append(-1)
-            at = nxt
-        self.accepts[at] = token
-
-    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Adds the arc w and notes when the outer parts of w cease to be live: its spines, (part, rank) from the outside in."""
-        self._arc(w)
-        self.merge_rank.setdefault((u, v), rank)
-        self.left[w] = ((u, rank), *self.left[u])
-        self.right[w] = ((v, rank), *self.right[v])
-
-    def _shorter(self, symbols: str) -> int:
-        at, best = 0, -1
-        for c in symbols[:-1]:
-            at = self.trie[at].get(c, -1)
-            if at < 0:
-                break
-            if self.accepts[at] >= 0:
-                best = self.accepts[at]
+    def _trie(self) -> None:
+        """Transitions of spellings, the token that ends in each state, and the longest shorter token that begins each token."""
+        self.step: list[dict[str, int]] = [{}]
+        self.accepts = [-1]
+        for token, symbols in self.spelled.items():
+            at = 0
+            for c in symbols:
+                nxt = self.step[at].get(c)
+                if nxt is None:
+                    nxt = self.step[at][c] = len(self.step)
+                    self.step.append({})
+                    self.accepts.append(-1)
+                at = nxt
+            self.accepts[at] = token
+        self.shorter = {}
+        for token, symbols in self.spelled.items():
+            at, best = 0, -1
+            for c in symbols[:-1]:
+                at = self.step[at][c]
+                if self.accepts[at] >= 0:
+                    best = self.accepts[at]
+            self.shorter[token] = best
+
+    def _passages(self, arcs: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """The table of closed passages, by the merges' gadgets in rank order.
+
+        At either end of a token stand its outer parts, each live until the merge that took it up (the token itself for
+        good). Of overlapping pairs of one rank the left one wins, so a right part must be live at that rank, a left one before.
+        """
+        import numpy as np
+
+        of_u, of_v, known = defaultdict(list), defaultdict(list), set()
+        right = {t: ((t, len(merges)),) for t in arcs}
+        left = dict(right)
+        for k, (u, v, w) in enumerate(merges):
+            if (u, v) not in known:
+                known.add((u, v))
+                of_u[u].append(k)
+                of_v[v].append(k)
+            right[w] = ((w, len(merges)), (v, k), *right[v][1:])
+            left[w] = ((w, len(merges)), (u, k), *left[u][1:])
+
+        def classes(ends, ranks, gone):
+            """Tokens with parts live for the same merges are one class; for each part its classes with their numbers of such merges."""
+            numbers, by_token, by_part = {}, {}, defaultdict(list)
+            for t, parts in ends.items():
+                key = tuple((p, n) for p, until in parts if p in ranks and (n := gone(ranks[p], until)))
+                by_token[t] = numbers.setdefault(key, len(numbers))
+            for key, i in numbers.items():
+                for p, n in key:
+                    by_part[p].append((n, i))
+            return by_token, {p: [np.array(x) for x in zip(*sorted(found, reverse=True), strict=True)] for p, found in by_part.items()}, len(numbers)
+
+        row_of, rows, n_rows = classes(right, of_u, bisect_left)
+        col_of, cols, n_cols = classes(left, of_v, bisect_right)
+        width = -(-n_cols // 8)
+        closed = np.zeros((n_rows, width), np.uint8)
+        seen_u, seen_v = defaultdict(int), defaultdict(int)
+        for k, (u, v, _) in enumerate(merges):
+            if (u, v) not in known:
+                continue
+            known.discard((u, v))
+            (n, row), (m, col) = rows[u], cols[v]
+            row, col = row[n > seen_u[u]], col[m > seen_v[v]]
+            seen_u[u] += 1
+            seen_v[v] += 1
+            line = np.zeros(8 * width, np.uint8)
+            line[col] = 1
+            closed[row] |= np.packbits(line, bitorder="little")
+        self.closed = closed.tobytes()
+        self.row = {t: i * width * 8 for t, i in row_of.items()}
+        self.col = col_of
+        self.size = {t: len(s) for t, s in self.spelled.items()}
+
+
+class Encoder:
+    """Encodes texts by a compiled automaton; what it has encoded it keeps, within bounds."""
+
+    def __init__(self, automaton: Automaton):
+        import numpy as np
+
+        self.auto = a = automaton
+        pattern = a.pattern.replace(r"\p{L}", class_of("L")).replace(r"\p{N}", class_of("N")).replace(r"\s", SPACE)
+        self.split = re.compile(pattern).findall
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(a.special, key=len, reverse=True))) + ")") if a.special else None
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        # The transitions as one sorted table, symbols being numbered from 1 in order of their codes.
+        self.symbols = np.array(sorted({ord(c) for x in a.step for c in x}))
+        self.width = len(self.symbols) + 1
+        arcs = sorted((at * self.width + self._number(ord(c)), to) for at, x in enumerate(a.step) for c, to in x.items())
+        self.keys, self.to = (np.array(x) for x in zip(*arcs, strict=True))
+        self.accepts = np.array(a.accepts)
+        top = max(a.labels) + 1
+        self.row, self.col, self.size, self.shorter = (np.array([x.get(t, -1) for t in range(top)], np.int64) for x in (a.row, a.col, a.size, a.shorter))
+        self.closed = np.frombuffer(a.closed, np.uint8)
+
+    def _number(self, codes):
+        return self.symbols.searchsorted(codes) + 1
+
+    def _longest(self, text, at):
+        """The longest arc from each place, -1 for none."""
+        import numpy as np
+
+        best, of, state = np.full(len(at), -1), np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(of):
+            key = state * self.width + text[at]
+            i = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+            on = self.keys[i] == key
+            of, state, at = of[on], self.to[i[on]], at[on] + 1
+            best[of] = np.where(self.accepts[state] >= 0, self.accepts[state], best[of])
         return best
 
-    def passes(self, x: int, y: int) -> bool:
-        """Whether token y may follow x: no gadget's u is live at the end of x while its v is live at the start of y."""
-        known = self.open.get((x, y))
-        if known is None:
-            known, ranks = True, self.merge_rank
-            for a, gone_a in ((x, 1 << 60), *self.right[x]):
-                for b, gone_b in ((y, 1 << 60), *self.left[y]):
-                    k = ranks.get((a, b))
-                    if k is not None and k < gone_a and k <= gone_b:  # of overlapping pairs of one rank the left one wins
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.open) > 4_000_000:
-                self.open.clear()
-            self.open[x, y] = known
-        return known
-
-    def longest(self, symbols: str, at: int) -> int:
-        state, best, trie, accepts = 0, -1, self.trie, self.accepts
-        for c in symbols[at:]:
-            state = trie[state].get(c, -1)
-            if state < 0:
-                break
-            if accepts[state] >= 0:
-                best = accepts[state]
-        return best
+    def paths(self, spelled: list[str]):
+        """All tokens, and where each word's begin among them. For each word the one path of open arcs that reads it: all words go ahead together, longest arcs first; places
+        from which no path goes on are never entered twice."""
+        import numpy as np
+
+        # Words stand one after another, with a 0 before each, which no arc reads.
+        text = np.frombuffer("".join(["\0" + x for x in spelled]).encode("utf-32-le"), "<u4")
+        begin = np.flatnonzero(text == 0)
+        text = np.append(np.where(text == 0, 0, self._number(text)), 0)
+        stop = np.append(begin[1:], len(text) - 1)
+        came, dead = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, bool)  # the token that ends at a place
+        at, token = begin + 1, self._longest(text, begin + 1)
+        while len(at):
+            last = came[at]
+            bit = self.row[last] + self.col[token]
+            end = at + self.size[token]
+            stuck = token < 0
+            shut = ~stuck & (dead[end] | (last >= 0) & (self.closed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+            dead[at[stuck]] = True
+            came[at[stuck]] = -1
+            fine = ~stuck & ~shut
+            came[end[fine]] = token[fine]
+            token = np.where(stuck, self.shorter[last], self.shorter[token])
+            at = np.where(stuck, at - self.size[last], np.where(fine, end, at))
+            going = ~fine | (at < stop)
+            at, token, stop, fine = at[going], token[going], stop[going], fine[going]
+            token[fine] = self._longest(text, at[fine])
+        found = came >= 0
+        return came[found], np.cumsum(found)[begin]
 
     def path(self, symbols: str) -> list[int]:
-        """The one path of open arcs that reads the word: longest arcs first, dead ends never entered twice."""
-        n = len(symbols)
-        whole = self.longest(symbols, 0)
-        dead, out, at, token = set(), [], 0, whole
+        """The same for one long word."""
+        a, n = self.auto, len(symbols)
+        step, accepts, closed, row, col, size, shorter = a.step, a.accepts, a.closed, a.row, a.col, a.size, a.shorter
+        out, ends, dead, at, token = [], [0], set(), 0, None
         while at < n:
-            end = at + self.size[token] if token >= 0 else -1
-            if token >= 0 and end not in dead and (not out or self.passes(out[-1], token)):
+            if token is None:  # the longest arc from here
+                state, token, i = 0, -1, at
+                while i < n and (state := step[state].get(symbols[i])) is not None:
+                    token = accepts[state] if accepts[state] >= 0 else token
+                    i += 1
+            if token < 0:
+                dead.add(at)
+                ends.pop()
+                at, token = ends[-1], shorter[out.pop()]
+                continue
+            end, i = at + size[token], row[out[-1]] + col[token] if out else -1
+            if end in dead or i >= 0 and closed[i >> 3] >> (i & 7) & 1:
+                token = shorter[token]
+            else:
                 out.append(token)
-                at = end
-                token = self.longest(symbols, at) if at < n else -1
-            elif token >= 0 and self.shorter[token] >= 0:
-                token = self.shorter[token]
+                ends.append(end)
+                at, token = end, None
+        return out
+
+    def _learn_words(self, words: set[str]) -> None:
+        import numpy as np
+
+        a, labels = self.auto, self.auto.labels
+        short, spelled = [], []
+        for w in words:
+            x = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(a.letters)
+            x = x[:-1] + a.final[x[-1]]
+            if len(x) <= LONG:
+                short.append(w)
+                spelled.append(x)
             else:
-                dead.add(at)
-                token = out.pop()
-                at -= self.size[token]
+                ids = self.path(x)
+                self.words[w] = np.array(ids, "<u4").tobytes(), " ".join([labels[i] for i in ids])
+        ids, cuts = self.paths(spelled) if spelled else (np.zeros(0, np.int64),) * 2
+        packed, said, cuts = ids.astype("<u4").tobytes(), [labels[i] for i in ids.tolist()], [*cuts.tolist(), len(ids)]
+        for w, i, j in zip(short, cuts[:-1], cuts[1:], strict=True):
+            self.words[w] = packed[4 * i : 4 * j], " ".join(said[i:j])
+
+    def learn(self, wanted: set[str]) -> None:
+        """Encodes chunks without white space: the words that the pattern finds in each."""
+        chunks = wanted.difference(self.chunks)
+        if len(self.chunks) + len(chunks) > KEPT:
+            self.before, self.chunks, chunks = self.chunks, {}, wanted
+        new = []
+        for c in chunks:
+            if (made := self.before.get(c)) is not None:
+                self.chunks[c] = made
+            else:
+                new.append((c, self.split(c)))
+        words = {w for _, found in new for w in found}
+        missing = words.difference(self.words)
+        if len(self.words) + len(missing) > KEPT:
+            self.words, missing = {}, words
+        self._learn_words(missing)
+        known = self.words
+        for c, words in new:
+            if len(words) == 1:
+                self.chunks[c] = known[words[0]]
+            else:
+                made = [known[w] for w in words]
+                self.chunks[c] = b"".join([x for x, _ in made]), " ".join([x for _, x in made])
+
+    def cut(self, text: str) -> list[str]:
+        """A text's chunks without white space, and its special tokens; no match of the pattern holds white space."""
+        if self.specials is not None and (pieces := self.specials.split(text))[1:]:
+            return [c for p in pieces for c in ([p] if p in self.auto.special else self.plain(p))]
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter, without regard to a word's end
+        text = text.lower()
+        return re.findall(f"[^{SPACE}]+", text) if any(c in text for c in SEPARATORS) else text.split()
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids as little-endian 32-bit integers, and the decoded text; every distinct chunk is encoded once."""
+        out, cut, size = [], [], 0
+        for i, text in enumerate(texts):
+            cut.append(self.cut(text))
+            size += len(cut[-1])
+            if size > KEPT // 2 or i == len(texts) - 1:
+                out += self._encode(cut)
+                cut, size = [], 0
         return out
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        letters = self.letters
-        symbols = "".join([letters[b] for b in word.encode("utf-8")])
-        ids = self.path(symbols[:-1] + self.final[symbols[-1]])
-        made = b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.labels[i] for i in ids])
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        self.words[word] = made
-        return made
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
-        if self.specials is None:
-            pieces = [text]
-        else:
-            pieces = self.specials.split(text) if "<|" in text else [text]
-        found = []
-        for piece in pieces:
-            if piece in self.special:
-                found.append((self.special[piece].to_bytes(4, "little"), piece))
-                continue
-            if not piece:
-                continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower-cased letter by letter, without regard to a word's end
-            known = self.words.get
-            for w in self.split(piece.lower()):
-                found.append(known(w) or self.word(w))
-        return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
+    def _encode(self, cut: list[list[str]]) -> list[tuple[bytes, str]]:
+        special = self.auto.special
+        self.learn(set().union(*cut).difference(special))
+        known = self.chunks
+        out = []
+        for chunks in cut:
+            found = [known[c] if c in known else (special[c].to_bytes(4, "little"), c) for c in chunks] if not special.keys().isdisjoint(chunks) else list(map(known.__getitem__, chunks))
+            out.append((b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])))
+        return out
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, keep=("doc_id",)) -> DataFrame:
@@ -202,14 +356,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep=("doc_id",)) -> DataFram
     keep = [c for c in keep if c not in ("n_tokens", "token_ids", "decoded")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
 
+    compiled = docs.sparkSession.sparkContext.broadcast(Automaton(tokenizer))
+
     def run(batches):
         import pyarrow as pa
 
-        auto = held(("bpe", tokenizer), lambda: Automaton(tokenizer))
+        encoder = held(("bpe", tokenizer), lambda: Encoder(compiled.value))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 512):  # small batches out: tokens and labels are larger than the text
-                made = [auto.encode(t or "") for t in column.slice(at, 512).to_pylist()]
+                made = encoder.encode([t or "" for t in column.slice(at, 512).to_pylist()])
                 kept = [batch.column(i).slice(at, 512) for i in range(batch.num_columns - 1)]
                 cols = [pa.array([len(x) // 4 for x, _ in made], pa.int64()), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.string())]
                 yield pa.RecordBatch.from_arrays([*kept, *cols], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded"])
