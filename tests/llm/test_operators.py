@@ -1,11 +1,15 @@
 import hashlib
+import json
+import os
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from tonarm.llm import bpe, chat, exact_dedup, induced, language_id, line_dedup, mixing, nearest, sharding, simhash, substring_dedup
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, keep string"
 LONG = "".join(chr(97 + i * i % 26) for i in range(500)) + "é"
 ROWS = [
@@ -198,15 +202,38 @@ def test_exact(docs, empty):
     assert p.of(b"some longer text") == p.of(b"some longer text"[:]) != p.of(b"some longer texu")
 
 
-def test_bpe(docs, empty):
+def test_bpe(spark, docs, empty, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-    auto, real = bpe.Automaton(path), tokenizers.Tokenizer.from_file(path)
-    for t in ("", "Hello   World's 123", "ΣΑΣ aaaa aaaaa \u0130 <|endoftext|>x", LONG, "日本 e\u0301 ²½", "!!!!!...??"):
-        ids, said = auto.encode(t)
-        e = real.encode(t, add_special_tokens=False).ids
-        assert (np.frombuffer(ids, "<u4").tolist(), said) == (e, real.decode(e, skip_special_tokens=False)), t
-    assert bpe.encode_decode(docs, path).count() == len(ROWS) and bpe.encode_decode(empty, path).count() == 0
+    real = tokenizers.Tokenizer.from_file(path)
+    encoder = bpe.Encoder(bpe.Automaton(path))
+    texts = ["", "Hello   World's 123", "ΣΑΣ aaaa aaaaa \u0130 <|endoftext|>x", LONG, "日本 e\u0301 ²½", "!!!!!...??", "a\x1cb \x1d c\x00", "<|endoftext|>", "it's we'll" * 400, "xyz" * 400]
+    if os.path.isdir(SF):
+        texts += [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    for kept in (bpe.KEPT, 3_000):  # with a store that is emptied again and again
+        monkeypatch.setattr(bpe, "KEPT", kept)
+        for t, (ids, said) in zip(texts, encoder.encode(texts), strict=True):
+            e = real.encode(t, add_special_tokens=False).ids
+            assert (np.frombuffer(ids, "<u4").tolist(), said) == (e, real.decode(e, skip_special_tokens=False)), t
+    for word in ("anwhingen", "!!!!!!!!", "aaaaaaab", "ee\u0120"):
+        ids, cuts = encoder.paths([word, word])
+        assert ids.tolist() == 2 * encoder.path(word) and cuts.tolist() == [0, len(ids) // 2]
+    clash = docs.withColumn("n_tokens", docs["doc_id"])
+    got = bpe.encode_decode(clash, path, keep=["doc_id", "keep", "n_tokens"])
+    assert got.columns == ["doc_id", "keep", "n_tokens", "token_ids", "decoded"] and got.count() == len(ROWS)
+    assert {r["n_tokens"] for r in got.where("doc_id IN (1, 2)").collect()} == {0} and bpe.encode_decode(empty, path).count() == 0
+
+
+def test_bpe_refuses_other_files(tmp_path):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError, match="of another kind"):
+        bpe.Automaton(tokenizers.path("byte_bpe_50k.json"))
+    with open(tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    del spec["model"]["vocab"]["a"]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="missing"):
+        bpe.Automaton(str(tmp_path / "t.json"))
 
 
 def test_chat(spark):
@@ -242,9 +269,61 @@ def test_language(docs, empty):
     assert language_id.learn_profiles(empty) == {}
 
 
-def test_mixing(docs, empty):
-    leaves = {("a", "x"): 100, ("a", "y"): 10, ("b", "x"): 100}
-    got = mixing.budgets(leaves, {}, 120, 1)
-    assert got == {("a", "x"): 50.0, ("a", "y"): 10.0, ("b", "x"): 60.0}  # a sibling fills in first
-    assert mixing.mix(mixing.with_domain(docs), {}, 0.5).count() == len(ROWS)
+def fill_by_hand(tree, budget, capacity, weight):
+    """Budgets of leaves (by path) of a tree of dicts, by dealing again and again until no child is over."""
+
+    def cap(path, node):
+        return sum(cap((*path, k), x) for k, x in node.items()) if isinstance(node, dict) else capacity(path)
+
+    def deal(path, node, budget):
+        if not isinstance(node, dict):
+            return {path: min(budget, cap(path, node))}
+        live, share = {k for k in node if cap((*path, k), node[k]) > 0}, dict.fromkeys(node, 0.0)
+        while live:
+            total = sum(weight((*path, k)) for k in live)
+            over = {k for k in live if budget * weight((*path, k)) / total >= cap((*path, k), node[k])}
+            for k in over or live:
+                share[k] = cap((*path, k), node[k]) if over else budget * weight((*path, k)) / total
+            budget -= sum(share[k] for k in over)
+            live = live - over if over else ()
+        return {p: b for k, x in node.items() for p, b in deal((*path, k), x, share[k]).items()}
+
+    return deal((), tree, budget)
+
+
+def test_budgets(spark):
+    rng = np.random.default_rng(8)
+    for fraction, epochs, weights in ((0.5, 1, {}), (0.3, 3, {("a",): 5.0, ("b", "x"): 0.0, ("c", "y"): 0.5}), (2.0, 1, {("a",): 0.0, ("b",): 3.0})):
+        leaves = {(x, y, z): int(rng.integers(0, 200)) for x in "abc" for y in "xyz" for z in "123" if rng.random() < 0.8}
+        tree = {}
+        for x, y, z in leaves:
+            tree.setdefault(x, {}).setdefault(y, {})[z] = 0
+        weight = lambda path: weights.get(path, 1.0)  # noqa: B023, E731
+        capacity = lambda path: leaves[path] * epochs * all(weight(path[: i + 1]) > 0 for i in range(3))  # noqa: B023, E731
+        want = fill_by_hand(tree, fraction * sum(leaves.values()), capacity, weight)
+        rows = spark.createDataFrame([(*p, t) for p, t in leaves.items()], "l0 string, l1 string, l2 string, t long")
+        got = {tuple(r[:3]): r["budget"] for r in mixing.budgets(rows, weights, fraction, epochs, ["l0", "l1", "l2"]).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    rows = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "x", 100)], "l0 string, l1 string, t long")
+    got = {tuple(r[:2]): r["budget"] for r in mixing.budgets(rows, {}, 120 / 210, 1, ["l0", "l1"]).collect()}
+    assert {p: round(b, 6) for p, b in got.items()} == {("a", "x"): 50.0, ("a", "y"): 10.0, ("b", "x"): 60.0}  # a sibling fills in first
+
+
+def test_mixing(spark, docs, empty):
+    mixed = mixing.mix(mixing.with_domain(docs), {}, 0.5)
+    assert mixed.count() == len(ROWS)
+    rows = [(None if i % 3 else i % 5, f"{'w ' * (i % 7)}{i % 4}", "en", "src99999999999999999999" if i % 2 else None) for i in range(200)]
+    for order in (rows, rows[::-1]):  # ties do not go by the order of rows
+        df = mixing.with_domain(spark.createDataFrame(order, "doc_id long, text string, lang string, source string").repartition(3))
+        for epochs, fraction in ((1, 0.4), (4, 2.5)):
+            got = sorted(map(repr, mixing.mix(df, {}, fraction, epochs).collect()))
+            assert got == sorted(map(repr, mixing.mix(mixing.with_domain(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), {}, fraction, epochs).collect()))
+            taken = [r for r in mixing.mix(df, {}, fraction, epochs).collect() if r["copies"] > 0]
+            per_leaf, budget = Counter(), {}
+            for r in taken:
+                per_leaf[r["domain"], r["source"]] += r["copies"] * r["n_tokens"]
+                budget[r["domain"], r["source"]] = r["budget"]
+            assert all(budget[k] - 8 < n <= budget[k] for k, n in per_leaf.items()) and {r["copies"] for r in taken} <= set(range(1, epochs + 1))
+            if epochs > 1:
+                assert {r["copies"] for r in taken} == {2, 3}  # whole epochs, and the prefix of one more
     assert mixing.mix(mixing.with_domain(empty), {}, 0.5).count() == 0

@@ -487,11 +487,13 @@ def rarest(texts: DataFrame, similarity: float, shingle: int, seed: int) -> Data
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, segments: int = 40, sure: int = 48, radius: int = 120, most: int = 4, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, component_id), one per input row: components of texts whose sets of shingles are similar.
+    """Rows (doc_id, text_hash, root, component_id), one per input row: components of texts whose sets of shingles are similar.
+
+    text_hash is the text's XXH64, root a number of the component; component_id, its smallest doc_id, is null if all are.
 
     Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
     radius are computed exactly. A round checks the `most` nearest pairs of each row and block between components, joins
-    what is similar, and a next round with 64 times as many looks only at rows that had more, so that no pair is
+    what is similar, and a next round with 64 times as many looks only at rows that had more, so that no pair that tiles hold is
     left out and large groups of similar texts do not make all their pairs. Tiles of segments come first; tiles of the
     rarest shingles then hold all similar pairs, whatever their fingerprints, and only pairs of different components are looked at.
     """
@@ -534,7 +536,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
     rounds(by_shingle, 64 * words, most)
     rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
+    return rows.join(rooted.join(named, "root").select("v", "root", "component_id"), "v").select("doc_id", F.col("t").alias("text_hash"), "root", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
