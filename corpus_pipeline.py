@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs, whole texts. All but the last return the columns
-of documents. Defined cases are those of the operators; a stage over an empty table returns an empty table.
+of documents. A row is told by all it holds, not by its doc_id alone, so decisions hold for rows whose doc_id is null or
+repeated. Defined cases are otherwise those of the operators; a stage over an empty table returns an empty table.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonarm import ship
 from tonarm.llm.bpe import encode_decode
-from tonarm.llm.common import shared_dir
+from tonarm.llm.common import forget_at_exit, semi, shared_dir, step, stored
 from tonarm.llm.language_id import identify, learn_profiles
 from tonarm.llm.line_dedup import line_dedup
-from tonarm.llm.mixing import WEIGHTS, mix, with_domain
+from tonarm.llm.mixing import WEIGHTS, mix, text_hash, with_domain
 from tonarm.llm.simhash import similar_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,17 +53,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the row with the smallest doc_id stays (null last; then the smallest hash of its text; equal rows once)."""
     ready(spark)
-    kept = similar_groups(docs.select("doc_id", "text"), **NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left_semi").select(COLUMNS)
+    found = similar_groups(docs.select("doc_id", "text"), **NEAR).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = stored(found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("k")).select("k.*"), "kept")
+    keys = {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    out = semi(docs, kept.where("n = 1"), keys).select(COLUMNS)
+    if kept.where("n > 1").isEmpty():
+        return out
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    again = semi(docs, kept.where("n > 1"), keys).groupBy("doc_id", keys["text_hash"].alias("h")).agg(F.min(F.struct(*rest)).alias("r"))
+    return out.union(again.select("doc_id", "r.*").select(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the token budgets of domains, languages and sources take."""
+    """Keeps the rows that the token budgets of domains, languages and sources take."""
     ready(spark)
-    kept = mix(with_domain(docs), WEIGHTS, MIX_FRACTION, max_epochs=1).where("copies > 0").select(F.col("doc_id").alias("_d"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]), "left_semi").select(COLUMNS)
+    keys = {"doc_id": F.col("doc_id"), "text_hash": text_hash(), "lang": F.coalesce("lang", F.lit("?")), "source": F.coalesce("source", F.lit("?"))}
+    mixed = mix(with_domain(docs), WEIGHTS, MIX_FRACTION, max_epochs=1).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("copies") > 0).alias("take"))
+    mixed = stored(mixed.where("take > 0"), "taken")
+    out = semi(docs, mixed.where("take = n"), keys).select(COLUMNS)
+    some = mixed.where("take < n").select(*[F.col(k).alias(f"_{k}") for k in keys], "take")
+    if some.isEmpty():
+        return out
+    # Equal rows that a budget ends among: one key a leaf at most.
+    named = docs.select(*COLUMNS, *[c.alias(f"_{k}") for k, c in keys.items()]).withColumnRenamed("_doc_id", "_d")
+    met = named.join(some, [F.col("_d").eqNullSafe(some["_doc_id"]), *(named[f"_{k}"] == some[f"_{k}"] for k in keys if k != "doc_id")])
+    rank = F.row_number().over(Window.partitionBy("_d", *(named[f"_{k}"] for k in keys if k != "doc_id")).orderBy("lang", "source", "n_chars"))
+    return out.union(met.withColumn("rank", rank).where("rank <= take").select(COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +103,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/stage{i}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/stage{i}-{uuid.uuid4().hex}"
+        with step(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        forget_at_exit(spark, path)
+        docs = spark.read.parquet(path)
