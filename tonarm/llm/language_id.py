@@ -2,8 +2,8 @@
 
 A profile is the list of a text's most frequent letter n-grams, most frequent first. A document gets the language
 whose profile is nearest by out-of-place distance: the sum over its own n-grams of how far their ranks differ, with
-the profile's length for those that are missing. Profiles are learned from labelled rows outside the held-out fold;
-with more of them than SAMPLE_ROWS, from a share of them chosen by a hash of doc_id.
+the profile's length for those that are missing. Profiles are learned from labelled rows outside the held-out fold, of
+each language from an equal part of SAMPLE_ROWS at most, chosen by a hash of doc_id, so that rare languages are learned too.
 
 Defined cases: a null text or one without letters is `und` with score 0; so is every text if nothing could be
 learned; ties go to the first language in alphabetical order, ties of n-grams to the smaller code.
@@ -17,55 +17,69 @@ from pyspark.sql.window import Window
 
 from .common import make_room, table
 
-#: Bound on the labelled rows that profiles are learned from.
+#: Bound on the labelled rows that profiles are learned from, or one a language if there are more languages.
 SAMPLE_ROWS = 20_000
 LANGUAGE_GRAMS, DOCUMENT_GRAMS = 600, 400
 
 
-def letter_classes():
-    """A code 1..255 for each letter: its own for those below 256, a fixed hash for others; 0 for all else."""
+def letters():
+    """For each code point itself if it is a letter, else 0."""
     import numpy as np
 
-    codes = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            codes[c] = c if c < 256 else 1 + (c * 2654435761 >> 7) % 255
-    return codes
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int32)
 
 
 class Grams:
-    """Counts of 1- to 3-grams of letters in words, each run of other characters being one word border."""
+    """Counts of 1- to 3-grams of letters in words, each run of other characters being one word border (0).
+
+    An n-gram's number holds its length and its letters' code points, which take 20 bits at most, so no two are alike.
+    """
 
     def __init__(self):
-        self.codes = letter_classes()
+        self.codes = letters()
 
     def count(self, text: str):
         import numpy as np
 
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(text) == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        c = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
+            return none
+        c = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
         c = np.r_[np.int32(0), c, np.int32(0)]
         c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
         if len(c) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        two = c[:-1] << 8 | c[1:]
-        three = two[:-1] << 8 | c[2:]
-        three = three[(three & 0xFF00) != 0]  # no n-gram goes on beyond a border
-        counts = np.bincount(two, minlength=1 << 16)
-        ids2 = np.flatnonzero(counts)
-        ones = np.bincount(c[c > 0])
-        ids1 = np.flatnonzero(ones)
-        ids3, n3 = np.unique(three, return_counts=True)
-        return np.r_[ids1, ids2 | 1 << 24, ids3.astype(np.int64) | 2 << 24], np.r_[ones[ids1], counts[ids2], n3]
+            return none
+        # The text's own alphabet, in which n-grams are small numbers.
+        ones = np.bincount(c)
+        ones[0] = 1
+        alphabet = np.flatnonzero(ones)
+        k = len(alphabet)
+        place = np.zeros(len(ones), np.int32 if k < 1290 else np.int64)  # 1290 ** 3 fits 31 bits
+        place[alphabet] = np.arange(k)
+        d = place[c]
+        two = d[:-1] * k + d[1:]
+        three = (two[:-1] * k + d[2:])[d[1:-1] != 0]  # no n-gram goes on beyond a border
+        if k <= 1024:
+            n2 = np.bincount(two)
+            two = np.flatnonzero(n2)
+            n2 = n2[two]
+        else:
+            two, n2 = np.unique(two, return_counts=True)
+        three, n3 = np.unique(three, return_counts=True)
+        one = alphabet[1:]
+        two = alphabet[two // k] << 20 | alphabet[two % k] | 1 << 60
+        three = alphabet[three // (k * k)] << 40 | alphabet[three // k % k] << 20 | alphabet[three % k] | 2 << 60
+        return np.r_[one, two, three], np.r_[ones[one], n2, n3]
 
 
 def labelled(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """Rows to learn from: of each language all, or if it has more than its equal part of sample_rows, about so many, by a hash."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    return rows
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    quota = F.greatest(F.lit(1.0), sample_rows / F.count("*").over(Window.partitionBy(F.lit(0))))
+    shares = counts.select("lang", (quota / F.col("n")).alias("share"))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(2.0**53)
+    return rows.join(shares, "lang").where((F.col("share") >= 1) | (chance < F.col("share")))
 
 
 def learn_profiles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = LANGUAGE_GRAMS) -> dict[str, list[int]]:
