@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import zlib
 from collections import Counter
 
 import duckdb
@@ -243,12 +244,64 @@ def test_chat(spark):
     assert turns == {1: [("user", "a\\</turn><turn:x"), ("assistant", "\\<b\n"), ("us\ner\\l", "")], 2: [("", "x")], None: [("assistant", "")]}
 
 
-def test_shards(docs, empty):
-    rows = sharding.kd_shards(docs).collect()
-    assert len(rows) == len(ROWS) and all(0 <= r["shard"] < 16 for r in rows)
-    for s in {r["shard"] for r in rows}:
-        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    assert sharding.kd_shards(empty).count() == 0
+def check_shards(rows, found, shards):
+    """Rows of docs against those of the operator: sizes, sums, slots; returns bytes a shard."""
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == want
+    size, slots = Counter(), {}
+    for r in found:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(shards))
+    return size
+
+
+@pytest.mark.parametrize("shards", [1, 7, 16])
+def test_shards(spark, docs, empty, monkeypatch, shards):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)  # several cells a shard
+    check_shards([r[:2] for r in ROWS], sharding.kd_shards(docs, shards).collect(), shards)
+    assert sharding.kd_shards(empty, shards).count() == 0
+    # Equal texts beyond a shard, of null ids and of others, and a very long text.
+    rng = np.random.default_rng(9)
+    rows = [(i, "x" * int(rng.integers(0, 300)) + "\n" * int(rng.integers(0, 5)) + str(i // 3)) for i in range(2_000)]
+    rows += [(5_000 + i, "hot " * 20) for i in range(900)] + [(None, "null " * 20) for _ in range(900)] + [(9_999, "ä" * 5_000)]
+    found = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+    size = check_shards(rows, found, shards)
+    mean = sum(size.values()) / shards
+    assert len(size) == shards and max(size.values()) < 1.3 * mean and min(size.values()) > 0.7 * mean
+    places = {}
+    for r in found:
+        if r["doc_id"] is not None and r["doc_id"] < 5_000:
+            places.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in places.values())
+
+
+def test_tree_by_hand(spark):
+    """Every split against sorted points: the widest dimension, and no point could be moved for a better cut."""
+    rng = np.random.default_rng(10)
+    points = [(float(rng.integers(0, 6)), float(rng.random() * 3), float(i), int(rng.integers(1, 50))) for i in range(600)]
+    df = spark.createDataFrame(points, "x double, y double, tie double, w long").cache()
+    tree = sharding.kd_tree(df, ("x", "y"), "w", 12)
+    slack = sharding.SLACK * sum(p[3] for p in points) / 12
+    wide = [max(p[i] for p in points) - min(p[i] for p in points) for i in (0, 1)]
+
+    def walk(at, held):
+        node = tree[at]
+        if node.shards == 1:
+            assert node.dim < 0
+            return
+        span = [(max(p[i] for p in held) - min(p[i] for p in held)) / wide[i] for i in (0, 1)]
+        assert span[node.dim] == max(span)
+        held = sorted(held, key=lambda p: (p[node.dim], p[2]))
+        left = [p for p in held if p[node.dim] < node.cut or p[node.dim] == node.cut and p[2] <= node.tie]
+        assert left == held[: len(left)]
+        goal, got = sum(p[3] for p in held) * (node.shards // 2) / node.shards, sum(p[3] for p in left)
+        assert abs(got - goal) <= max(slack, max(p[3] for p in held) / 2)
+        walk(node.left, left)
+        walk(node.right, held[len(left) :])
+
+    walk(0, points)
+    assert sum(n.shards == 1 for n in tree) == 12
 
 
 def test_nearest(spark):
@@ -263,10 +316,69 @@ def test_nearest(spark):
     assert got == want
 
 
-def test_language(docs, empty):
+def grams_by_hand(text):
+    n = Counter()
+    word = ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            n.update(word)
+            framed = " " + word + " "
+            n.update(framed[i : i + 2] for i in range(len(framed) - 1))
+            n.update(framed[i : i + 3] for i in range(len(framed) - 2))
+            word = ""
+    return n
+
+
+def ranked_by_hand(n, most):
+    code = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    return sorted(n, key=lambda g: (-n[g], code(g)))[:most]
+
+
+def number(gram):
+    return len(gram) - 1 << 60 | sum((0 if c == " " else ord(c)) << 20 * i for i, c in enumerate(reversed(gram)))
+
+
+def test_grams():
+    grams = language_id.Grams()
+    for text in ("", " 1 2", "Ein Wort, ein Wort!", "日本語 и ещё один ÉÀ a", "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "\U00020000\U00020001 x"):
+        ids, n = grams.count(text)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {number(g): k for g, k in grams_by_hand(text).items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_language_by_hand(spark):
+    """The whole query against plain Python, and held-out accuracy."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    held_out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    known, docs = {}, {}
+    for d, t, lang in rows:
+        docs[d] = grams_by_hand(t or "")
+        if lang is not None and t is not None and not held_out[d]:
+            known.setdefault(lang, Counter()).update(docs[d])
+    places = {lang: {g: i for i, g in enumerate(ranked_by_hand(n, language_id.LANGUAGE_GRAMS))} for lang, n in known.items()}
+    want = {}
+    for d, n in docs.items():
+        mine = ranked_by_hand(n, language_id.DOCUMENT_GRAMS)
+        far = {lang: sum(min(abs(p[g] - i), len(p)) if g in p else len(p) for i, g in enumerate(mine)) / (len(p) * len(mine)) for lang, p in places.items()} if mine else {}
+        best = min(sorted(far), key=far.get, default="und")
+        want[d] = (held_out[d], best, round(1 - far[best], 9) if far else 0.0)
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in language_id.op10_language(spark, SF).collect()}
+    assert got == want
+    judged = [got[d][1] == lang for d, t, lang in rows if held_out[d] and lang is not None and got[d][1] != "und"]
+    assert len(judged) > 100 and sum(judged) / len(judged) > 0.97
+
+
+def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in language_id.identify(docs, {"en": [97, 98], "de": [122]}).collect()}
     assert got[1]["lang_pred"] == "und" and got[3]["lang_pred"] == "en" and 0 <= got[3]["score"] <= 1
     assert language_id.learn_profiles(empty) == {}
+    # A rare language is learned beside a common one, whatever the bound.
+    rows = [(i, "aaa", "en", None, None) for i in range(4_000)] + [(9_000 + i, "zzz", "xx", None, None) for i in range(4)]
+    sample = language_id.labelled(spark.createDataFrame(rows, DOCS), 100).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in sample}
+    assert 20 < n["en"] < 90 and n["xx"] == sum(zlib.crc32(str(9_000 + i).encode()) % 4 != 2 for i in range(4))
 
 
 def fill_by_hand(tree, budget, capacity, weight):
