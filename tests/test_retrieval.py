@@ -20,3 +20,29 @@ def test_all_prompts_in_slices(spark, monkeypatch, name):
     assert sorted(got) == sorted(want.fetchall())
     prompts = {r[0] for r in con.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
     assert {r[0] for r in got} == prompts and len(prompts) > 2
+
+
+def test_prompts_without_answers(spark, monkeypatch):
+    """Null and repeated ids, null vectors, prompts and vectors of other sizes; no prompt at all."""
+    monkeypatch.setattr(retrieval, "PROMPTS", 1)
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 1.0])], "index long, embedding array<float>")
+    schema = "prompt_id long, embedding array<float>"
+    prompts = spark.createDataFrame([(7, [1.0, 0.1, 5.0]), (7, [1.0, 0.1, 5.0]), (7, [2.0, 0.0]), (8, None), (None, [1.0, 0.0]), (9, [2.0])], schema)
+    got = {(r["prompt_id"], r["rank"]): r["index"] for r in retrieval.batch_shortlist(corpus, prompts, 2).collect()}
+    assert got == {(7, 1): 1, (7, 2): 4, (9, 1): 1, (9, 2): 4}
+    none = spark.createDataFrame([], schema)
+    assert retrieval.batch_shortlist(corpus, none).count() == 0 and retrieval.batch_recommend(corpus, corpus, none, none).count() == 0
+    meta = spark.createDataFrame([(1, "x")], "index long, caption string")
+    got = retrieval.recommend(corpus, corpus, prompts.where("prompt_id = 9"), prompts.where("prompt_id = 9"), meta, top=2, n=4).orderBy("rank").collect()
+    assert [(r["index"], r["caption"]) for r in got] == [(1, "x"), (4, None)]
+
+
+def test_meta_index(spark):
+    from tonarm.operators.catalogue import meta_index
+
+    df = spark.createDataFrame([(i % 50 if i % 7 else None, str(i)) for i in range(500)], "k long, v string").repartition(5)
+    rows = meta_index(df, "k").orderBy("index").collect()
+    assert [r["index"] for r in rows] == list(range(500))
+    want = sorted(((i % 50 if i % 7 else None, str(i)) for i in range(500)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [(r["k"], r["v"]) for r in rows] == want
+    assert meta_index(df.limit(0), "k").count() == 0

@@ -7,32 +7,37 @@ from pyspark.sql import functions as F
 
 # Variants of tags and the tag that stands for them, by category. No canonical tag is a variant itself.
 TAG_MAP = {
-    "genre": (
-        "punk punkrock, eletronica electronica, soundtracks soundtrack, electronical electronic, electronik electronic, electronicmusic electronic, "
-        "rockpop poprock, rockandroll rocknroll, ambiente ambient, ambiant ambient, popelectro electropop, houseelectro electrohouse, rhythmandblues rnb, "
-        "dancemusic dance, folkpop popfolk, loungemusic lounge, housemusic house, trancemusic trance, ambientmusic ambient, prog progressive, "
-        "electronicambient electroambient, classicalmusic classical, electronika electronica, raps rap, tecno techno, rockalternatif alternativerock, "
-        "hiphopinstrumental instrumentalhiphop"
-    ),
-    "mood/theme": (
-        "dreamy dream, emotion emotional, filmmusic film, energic energetic, energy energetic, inspirational inspiring, lovesong love, melancholy melancholic, "
-        "relaxed relaxing, melancolic melancholic, sadness sad, filmscore film, romance romantic, hope hopeful, motivation motivational, happiness happy, "
-        "sports sport, cinema film, relaxation relaxing, child children, kids children, relaxingmusic relaxing, trailermusic trailer, lovemusic love, joy joyful, "
-        "xmas christmas, epicmusic epic, motivate motivational, darkness dark, sciencefiction scifi, festif festive"
-    ),
-    "instrument": (
-        "synth synthesizer, drum drums, string strings, guitars guitar, synths synthesizer, pianosolo piano, sax saxophone, guitare guitar, synthesizers synthesizer, "
-        "beats beat, violins violin, bells bell, percussions percussion, choirs choir, pads pad, flutes flute, electricguitars electricguitar, synthetizer synthesizer, "
-        "keyboards keyboard, horns horn, guitares guitar, guitareelectrique electricguitar, guitarra guitar, batterie drums, keys keyboard, bongos bongo, "
-        "synthé synthesizer, accordeon accordion, violons violin, violon violin, pianoforte piano, pianos piano, chitarra guitar, basso bass, synthetiseur synthesizer, "
-        "batteria drums, bateria drums, bajo bass, synthetiseurs synthesizer, claviers clavier, teclados keyboard"
-    ),
+    "genre": {
+        "punk": "punkrock", "eletronica": "electronica", "soundtracks": "soundtrack", "electronical": "electronic", "electronik": "electronic",
+        "electronicmusic": "electronic", "rockpop": "poprock", "rockandroll": "rocknroll", "ambiente": "ambient", "ambiant": "ambient",
+        "popelectro": "electropop", "houseelectro": "electrohouse", "rhythmandblues": "rnb", "dancemusic": "dance", "folkpop": "popfolk",
+        "loungemusic": "lounge", "housemusic": "house", "trancemusic": "trance", "ambientmusic": "ambient", "prog": "progressive",
+        "electronicambient": "electroambient", "classicalmusic": "classical", "electronika": "electronica", "raps": "rap", "tecno": "techno",
+        "rockalternatif": "alternativerock", "hiphopinstrumental": "instrumentalhiphop",
+    },
+    "mood/theme": {
+        "dreamy": "dream", "emotion": "emotional", "filmmusic": "film", "energic": "energetic", "energy": "energetic", "inspirational": "inspiring",
+        "lovesong": "love", "melancholy": "melancholic", "relaxed": "relaxing", "melancolic": "melancholic", "sadness": "sad", "filmscore": "film",
+        "romance": "romantic", "hope": "hopeful", "motivation": "motivational", "happiness": "happy", "sports": "sport", "cinema": "film",
+        "relaxation": "relaxing", "child": "children", "kids": "children", "relaxingmusic": "relaxing", "trailermusic": "trailer", "lovemusic": "love",
+        "joy": "joyful", "xmas": "christmas", "epicmusic": "epic", "motivate": "motivational", "darkness": "dark", "sciencefiction": "scifi",
+        "festif": "festive",
+    },
+    "instrument": {
+        "synth": "synthesizer", "drum": "drums", "string": "strings", "guitars": "guitar", "synths": "synthesizer", "pianosolo": "piano", "sax": "saxophone",
+        "guitare": "guitar", "synthesizers": "synthesizer", "beats": "beat", "violins": "violin", "bells": "bell", "percussions": "percussion",
+        "choirs": "choir", "pads": "pad", "flutes": "flute", "electricguitars": "electricguitar", "synthetizer": "synthesizer", "keyboards": "keyboard",
+        "horns": "horn", "guitares": "guitar", "guitareelectrique": "electricguitar", "guitarra": "guitar", "batterie": "drums", "keys": "keyboard",
+        "bongos": "bongo", "synthé": "synthesizer", "accordeon": "accordion", "violons": "violin", "violon": "violin", "pianoforte": "piano",
+        "pianos": "piano", "chitarra": "guitar", "basso": "bass", "synthetiseur": "synthesizer", "batteria": "drums", "bateria": "drums", "bajo": "bass",
+        "synthetiseurs": "synthesizer", "claviers": "clavier", "teclados": "keyboard",
+    },
 }
 MAX_TAGS = 7
 
 
 def tag_map(category: str) -> dict[str, str]:
-    return dict(x.split(" ") for x in TAG_MAP[category].split(", "))
+    return dict(TAG_MAP[category])
 
 
 def gather_tags(*slots: Column) -> Column:
@@ -65,4 +70,9 @@ def combined_text(caption: Column, *tag_lists: Column, use_tags: bool = True) ->
 
 def list_from_text(c: Column) -> Column:
     """A list from its text form (single or double quotes), null where it is none."""
-    return F.from_json(c, "array<string>")
+    return F.when(c.rlike(r"^\s*\["), F.from_json(c, "array<string>"))
+
+
+def text_of_list(c: Column) -> Column:
+    """A list in text form as plain text; text that is no list is kept as it is, null is empty."""
+    return F.coalesce(F.nvl2(list_from_text(c), tags_text(list_from_text(c)), c), F.lit(""))

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
-SP = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SP = f"[{SPACE}]"
+#: The same characters, one by one.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 START, END = rf"(?<!{W})", rf"(?!{W})"
 
 # English stop words without those that hold an apostrophe, which tokens never do.
@@ -32,7 +35,7 @@ MARKER = "(?:keywords?|suggested tags?|suggested|tags?)"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SP}+|{SP}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
@@ -91,18 +94,20 @@ def _group(c: Column, pattern: str, n: int = 1) -> Column:
 
 
 def _first(s: Column, rules, version: int) -> Column:
-    """The first rule whose text looks like a list and yields keywords, or null."""
-    texts = F.array(*[F.struct(F.lit(m).alias("method"), t.alias("text")) for m, t in rules])
-    listed = F.filter(texts, lambda x: looks_like_tag_list(x["text"]))
-    made = F.transform(listed, lambda x: F.struct(split_candidates(x["text"], version).alias("keywords"), x["method"].alias("method")))
-    return F.try_element_at(F.filter(made, lambda x: F.size(x["keywords"]) > 0), F.lit(1))
+    """The first rule whose text looks like a list and yields keywords, or null; a later rule is looked at only if those before give nothing."""
+
+    def one(method: str, said: Column) -> Column:
+        listed = F.filter(F.array(said), looks_like_tag_list)
+        made = F.transform(listed, lambda t: F.struct(split_candidates(t, version).alias("keywords"), F.lit(method).alias("method")))
+        return F.try_element_at(F.filter(made, lambda x: F.size(x["keywords"]) > 0), F.lit(1))
+
+    return F.coalesce(*[one(m, t) for m, t in rules])
 
 
 def with_keywords(df: DataFrame, column: str, version: int = 2) -> DataFrame:
     """df with extracted_keywords, kw_method and n_keywords: the first rule, in a fixed order, whose text looks like a list and yields keywords.
 
-    A rule whose guard fails has a null text; rules are tried in three groups, the costly ones last and only where the
-    others give nothing. Null and blank captions give no keywords and `none`. Columns of df named like these are replaced.
+    A rule whose guard fails has a null text; rules are tried in order, the costly ones only where the others give nothing. Null and blank captions give no keywords and `none`. Columns of df named like these are replaced.
     """
     s, lines, at = F.col("_said"), F.col("_lines"), F.col("_at")
     ends = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -119,26 +124,28 @@ def with_keywords(df: DataFrame, column: str, version: int = 2) -> DataFrame:
         ("keywords_field", strip(_group(s, marker))),
         ("keywords_field_nextline", F.when((at > 0) & (at < n), line(F.greatest(at + 1, F.lit(1))))),
     ]
-    a = r"[A-Za-z0-9\-\s]"
+    a = rf"[A-Za-z0-9\-{SPACE}]"
     if version == 2:
         before = F.array_join(F.slice(lines, 1, F.greatest(at, F.lit(0))), " ")
         sentence = F.when(F.contains(before, F.lit(".")), strip(F.try_element_at(F.split(before, r"\.", -1), F.lit(-2)))).otherwise(before)
         mix = _group(sentence, rf"(?id)(?:mix|blend){SP}+of{SP}+(.+)$")
-        listed = _group(sentence, rf"(?d)({a}{{2,120}}(?:,\s*{a}{{1,120}}){{1,6}})(?:\s+with.*)?$")
+        listed = _group(sentence, rf"(?d)({a}{{2,120}}(?:,{SP}*{a}{{1,120}}){{1,6}})(?:{SP}+with.*)?$")
         marked.append(("prev_sentence_list", F.when(at > 0, F.coalesce(mix, listed))))
+    # What is in a last pair of brackets, from the first opening one after the last closing one before.
+    paren = F.substring_index(F.left(s, F.length(s) - 1), ")", -1)
+    inner = F.when(F.contains(paren, F.lit("(")), F.substring(paren, F.locate("(", paren) + 1, F.length(paren)))
     trailing = [
         ("trailing_double_pipe", F.when(F.contains(s, F.lit("||")), strip(F.substring_index(s, "||", -1)))),
         ("trailing_pipe", F.when(F.contains(s, F.lit("|")), strip(F.substring_index(s, "|", -1)))),
-        ("trailing_paren", F.when(F.endswith(s, F.lit(")")), _group(F.substring_index(s, "(", -1), r"^([^)]+)\)\z"))),
+        ("trailing_paren", F.when(F.endswith(s, F.lit(")")), F.nullif(inner, F.lit("")))),
         ("trailing_after_dot", F.when(F.contains(s, F.lit(".")), strip(F.substring_index(s, ".", -1)))),
         ("last_line_list", line(F.lit(-1))),
         ("last_lines_combined", F.when(n >= 2, F.concat_ws(" ", line(F.lit(-2)), line(F.lit(-1))))),
     ]
-    # Eight items of 120 characters at most: the last rule can only match at the end.
-    tail = rf"({a}{{3,120}}\s*,\s*{a}{{1,120}}\s*(?:,\s*{a}{{1,120}}){{1,6}})\s*\.?\s*\z"
-    # A guard that takes one pass: what follows the last comma but one is plain.
-    plain = F.substring_index(s, ",", -2).rlike(rf"^{a}+,{a}+\.?\s*\z")
-    rest = [("regex_tail_list", F.when(plain, _group(F.right(s, F.lit(4_000)), tail)))]
+    # The end of the text that is made of list characters alone, read from behind; of that the last eight items.
+    tail = rf"({a}{{3,120}}{SP}*,{SP}*{a}{{1,120}}{SP}*(?:,{SP}*{a}{{1,120}}){{1,6}}){SP}*\.?{SP}*\z"
+    end = F.reverse(F.regexp_extract(F.reverse(s), rf"^{SP}*+\.?[A-Za-z0-9\-,{SPACE}]*+", 0))
+    rest = [("regex_tail_list", _group(F.substring_index(F.when(F.regexp_count(end, F.lit(",")) >= 2, end), ",", -8), tail))]
     none = F.struct(F.array().cast("array<string>").alias("keywords"), F.lit("none").alias("method"))
     found = F.coalesce(F.when(F.col("_marked"), _first(s, marked, version)), _first(s, trailing, version), _first(s, rest, version), none)
     df = df.withColumn("_k", F.when(s == "", none).otherwise(found))

@@ -24,9 +24,10 @@ def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def align(v: Column, size: int) -> Column:
+def align(v: Column, size: int | Column) -> Column:
     """Cut to size, or filled up with zeros."""
-    return F.slice(F.concat(v, F.array_repeat(F.lit(0).cast("float"), size)), 1, size)
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.slice(F.concat(v, F.array_repeat(F.lit(0).cast("float"), size)), F.lit(1), size)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonarm.functions.text import path_candidates
+from tonarm.storage import stored
 
 
 def enrich(left: DataFrame, right: DataFrame, key: str, column: str, name: str | None = None) -> DataFrame:
@@ -46,10 +48,18 @@ def normalize_path(c):
 
 
 def meta_index(df: DataFrame, order: str) -> DataFrame:
-    """A dense index from 0 in the order of a column: a range sort, then positions by partition; no single task."""
-    cols = df.columns
-    sorted_ = df.orderBy(order)
-    return sorted_.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(f"index long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}").select("index", *cols)
+    """A dense index from 0 in the order of a column: a range sort, stored, then positions by partition; no single task.
+
+    Ties go by the other columns, so equal rows alone are interchangeable.
+    """
+    rest = [c for c in df.columns if c != order]
+    sorted_ = stored(df.orderBy(order, *rest).withColumn("_at", F.monotonically_increasing_id()), "index")
+    part = F.shiftright("_at", 33)  # the number of the partition; below it the place there
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    starts = counts.select("_part", F.coalesce(upto, F.lit(0)).alias("_start"))
+    met = sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return met.select((F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("index"), *df.columns)
 
 
 def resolve_paths(tracks: DataFrame, files: DataFrame, root: str) -> DataFrame:

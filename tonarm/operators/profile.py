@@ -73,6 +73,15 @@ def tfidf(df: DataFrame, key: str, tokens: Column, top: int = 5) -> DataFrame:
     return met.select(key, "token", "tf", "df", weight.alias("weight")).withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def inspection_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A repeatable random sample of n rows."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def inspection_sample(df: DataFrame, key: str, n: int, seed: int = 0, by: str | None = None) -> DataFrame:
+    """A repeatable random sample of n rows, of each value of the column `by` if one is given (a flag, or a few kinds)."""
+    order = [F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
+    if by is None:
+        return df.orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def fixed_rows(df: DataFrame, key: str, values) -> DataFrame:
+    """The rows of given keys, to look at after each run."""
+    return df.where(F.col(key).isin(*values))

@@ -6,25 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonarm.functions.vectors import dot, l2_normalize
+from tonarm.functions.vectors import align, dot, l2_normalize
 
-#: Prompts of one batch that are sent to every task (8 MB at 512 numbers each); more are searched in slices of this size.
+#: About so many prompts are sent to every task at a time (8 MB at 512 numbers each); more are searched in slices.
 PROMPTS = 2_000
 SHORTLIST, TOP = 300, 5
+#: Candidates of a batch up to this size, known from the number of prompts, are broadcast to the vectors they are joined to.
+BROADCAST_BYTES = 64 << 20
+#: Vectors that meet all prompts of a slice in one product.
+VECTORS = 2_000
+
+
+def _score(corpus: DataFrame, prompt: DataFrame) -> DataFrame:
+    """Rows (index, score): the prompt cut or filled up to the vectors' size, both of length one."""
+    one = prompt.select(F.col("embedding").alias("_q")).limit(1)
+    met = corpus.crossJoin(F.broadcast(one))  # one row
+    size = F.size("embedding")
+    q = F.when(F.size("_q") == size, F.col("_q")).otherwise(align(F.col("_q"), size))
+    return met.select("index", dot(l2_normalize(q), l2_normalize(F.col("embedding"))).alias("score"))
 
 
 def shortlist(corpus: DataFrame, prompt: DataFrame, n: int = SHORTLIST) -> DataFrame:
-    """The n best rows (index, score) of corpus (index, embedding) for one prompt row (embedding): exact, no sort of the corpus."""
-    one = prompt.select(l2_normalize(F.col("embedding")).alias("_q")).limit(1)
-    score = dot(F.col("_q"), l2_normalize(F.col("embedding")))
-    return corpus.crossJoin(F.broadcast(one)).select("index", score.alias("score")).orderBy(F.desc("score"), "index").limit(n)
+    """The n best rows (index, score) of corpus (index, embedding) for one prompt row (embedding): exact, no sort of the corpus.
+
+    A prompt of another size is cut or filled up with zeros; rows without a vector come last, without a score.
+    """
+    return _score(corpus, prompt).orderBy(F.desc_nulls_last("score"), "index").limit(n)
 
 
 def rerank(candidates: DataFrame, corpus: DataFrame, prompt: DataFrame, unprocessed: str = "zero") -> DataFrame:
     """Candidates (index) scored anew in corpus: ids outside it drop out of an inner join; with `zero` a null vector scores 0."""
-    one = prompt.select(l2_normalize(F.col("embedding")).alias("_q")).limit(1)
-    met = corpus.join(F.broadcast(candidates.select("index").distinct()), "index").crossJoin(F.broadcast(one))
-    scored = met.select("index", dot(F.col("_q"), l2_normalize(F.col("embedding"))).alias("score"))
+    met = corpus.join(F.broadcast(candidates.select("index").distinct()), "index")  # candidates: a shortlist
+    scored = _score(met, prompt)
     return scored.na.fill(0.0, ["score"]) if unprocessed == "zero" else scored.where(F.col("score").isNotNull())
 
 
@@ -35,59 +48,85 @@ def ranked(scored: DataFrame, n: int, by=()) -> DataFrame:
 
 
 def recommend(text: DataFrame, audio: DataFrame, text_prompt: DataFrame, audio_prompt: DataFrame, meta: DataFrame, rerank_by: str = "audio", top: int = TOP, n: int = SHORTLIST) -> DataFrame:
-    """Rows (rank, index, score, and meta's columns): the two stages and the metadata of the few that stay."""
+    """Rows (rank, index, score, and meta's columns): the two stages and the metadata of the few that stay.
+
+    The `top` results come to the driver, so that their ids are a filter of the scan of meta.
+    """
     found = shortlist(text, text_prompt, n)
     scored = rerank(found, audio, audio_prompt) if rerank_by == "audio" else rerank(found, text, text_prompt)
-    best = ranked(scored, top)
-    return meta.join(F.broadcast(best), "index", "right").select("rank", "index", "score", *[c for c in meta.columns if c != "index"])  # at most `top` rows
+    best = ranked(scored, top).select("rank", "index", "score")
+    rows = best.collect()
+    few = meta.where(F.col("index").isin([r["index"] for r in rows]))
+    return meta.sparkSession.createDataFrame(rows, best.schema).join(few, "index", "left").select("rank", "index", "score", *[c for c in meta.columns if c != "index"])
 
 
-def batch_shortlist(corpus: DataFrame, prompts: DataFrame, n: int = SHORTLIST) -> DataFrame:
-    """Rows (prompt_id, rank, index, score): all prompts (prompt_id, embedding) at once, a product of matrices for each Arrow batch.
+def one_each(prompts: DataFrame) -> DataFrame:
+    """prompts (prompt_id, embedding) with an id and a vector; of repeated ids the least vector."""
+    usable = prompts.where("prompt_id IS NOT NULL AND embedding IS NOT NULL")
+    return usable.groupBy("prompt_id").agg(F.min("embedding").alias("embedding"))
 
-    At most n rows a prompt leave a task. Prompts beyond PROMPTS are searched in slices, each a pass over the corpus.
-    """
-    ids = [r[0] for r in prompts.select("prompt_id").orderBy("prompt_id").limit(PROMPTS + 1).collect()]
-    if not ids:
-        empty = corpus.limit(0)
-        return empty.select(F.col("index").alias("prompt_id"), F.lit(0).alias("rank"), "index", F.lit(0.0).alias("score"))
-    if len(ids) > PROMPTS:
-        last = ids[PROMPTS - 1]
-        return batch_shortlist(corpus, prompts.where(F.col("prompt_id") <= last), n).union(batch_shortlist(corpus, prompts.where(F.col("prompt_id") > last), n))
-    rows = prompts.select("prompt_id", l2_normalize(F.col("embedding")).alias("v")).orderBy("prompt_id").collect()
+
+def _search(corpus: DataFrame, prompts: DataFrame, n: int) -> DataFrame:
+    """Rows (prompt_id, index, score): the best n of each task for each of a slice of prompts."""
+    rows = prompts.select("prompt_id", F.col("embedding").cast("array<double>").alias("v")).collect()
     sent = corpus.sparkSession.sparkContext.broadcast(([r["prompt_id"] for r in rows], [r["v"] for r in rows]))
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        names, q = sent.value[0], np.array(sent.value[1], float)
+        def unit(x):
+            return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+        names, asked = sent.value
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        q, size = None, None
         for pdf in batches:
             pdf = pdf[pdf["embedding"].notna()]
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-            scores, at = q @ x.T, pdf["index"].to_numpy()
-            for i in range(len(names)):
-                s, a = np.r_[best[i][0], scores[i]], np.r_[best[i][1], at]
-                if len(s) > 4 * n:  # the bound is kept with its ties
-                    keep = s >= -np.partition(-s, n - 1)[n - 1]
-                    s, a = s[keep], a[keep]
-                order = np.lexsort((a, -s))[:n]
-                best[i] = (s[order], a[order])
+            for at in range(0, len(pdf), VECTORS):
+                part = pdf.iloc[at : at + VECTORS]
+                x = unit(np.stack([np.asarray(v, float) for v in part["embedding"]]))
+                if size != x.shape[1]:  # prompts of other sizes are cut or filled up
+                    size = x.shape[1]
+                    q = unit(np.array([np.r_[v[:size], np.zeros(max(0, size - len(v)))] for v in asked]).reshape(-1, size))
+                scores, ids = q @ x.T, part["index"].to_numpy()
+                for i in range(len(names)):
+                    s, a = np.r_[best[i][0], scores[i]], np.r_[best[i][1], ids]
+                    if len(s) > 4 * n:  # the bound is kept with its ties
+                        keep = s >= -np.partition(-s, n - 1)[n - 1]
+                        s, a = s[keep], a[keep]
+                    order = np.lexsort((a, -s))[:n]
+                    best[i] = (s[order], a[order])
         for name, (s, a) in zip(names, best, strict=True):
             yield pd.DataFrame({"prompt_id": name, "index": a, "score": s})
 
-    found = corpus.select("index", "embedding").mapInPandas(run, "prompt_id long, index long, score double")
+    return corpus.select("index", "embedding").mapInPandas(run, "prompt_id long, index long, score double")
+
+
+def batch_shortlist(corpus: DataFrame, prompts: DataFrame, n: int = SHORTLIST) -> DataFrame:
+    """Rows (prompt_id, rank, index, score): all prompts (prompt_id, embedding) at once, a product of matrices for each Arrow batch.
+
+    At most n rows a prompt leave a task. Prompts are searched in slices of about PROMPTS, each a pass over the corpus, whose
+    vectors never move. Prompts without an id or a vector have no rows, those of a repeated id are one (`one_each`).
+    """
+    prompts = one_each(prompts)
+    slices = max(1, -(-prompts.count() // PROMPTS))
+    found = None
+    for i in range(slices):
+        some = prompts.where(F.pmod(F.xxhash64("prompt_id"), F.lit(slices)) == i) if slices > 1 else prompts
+        part = _search(corpus, some, n)
+        found = part if found is None else found.union(part)
     return ranked(found, n, ["prompt_id"]).select("prompt_id", "rank", "index", "score")
 
 
 def batch_recommend(text: DataFrame, audio: DataFrame, text_prompts: DataFrame, audio_prompts: DataFrame, top: int = TOP, n: int = SHORTLIST) -> DataFrame:
     """Rows (prompt_id, rank, index, score): shortlists joined to their vectors in the second space by key."""
-    found = batch_shortlist(text, text_prompts, n)
-    q = audio_prompts.select("prompt_id", l2_normalize(F.col("embedding")).alias("_q"))
-    met = found.select("prompt_id", "index").join(audio, "index").join(q, "prompt_id")
-    scored = met.select("prompt_id", "index", F.coalesce(dot(F.col("_q"), l2_normalize(F.col("embedding"))), F.lit(0.0)).alias("score"))
+    found = batch_shortlist(text, text_prompts, n).select("prompt_id", "index")
+    audio_prompts = one_each(audio_prompts)
+    if audio_prompts.count() * n * 16 <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    met = found.join(audio, "index").join(audio_prompts.withColumnRenamed("embedding", "_q"), "prompt_id")
+    size = F.size("embedding")
+    q = F.when(F.size("_q") == size, F.col("_q")).otherwise(align(F.col("_q"), size))
+    scored = met.select("prompt_id", "index", F.coalesce(dot(l2_normalize(q), l2_normalize(F.col("embedding"))), F.lit(0.0)).alias("score"))
     return ranked(scored, top, ["prompt_id"]).select("prompt_id", "rank", "index", "score")

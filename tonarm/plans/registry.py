@@ -14,6 +14,9 @@ from tonarm.functions import vectors as vc
 from tonarm.operators import catalogue as cat
 from tonarm.operators import jobs, profile
 from tonarm.operators import retrieval as ret
+from tonarm.plans import keyword_sql as kq
+from tonarm.sources import files as fs
+from tonarm.storage import new_path, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -266,7 +269,7 @@ _TOKENS_SQL = f"""k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coal
 
 @query(f"WITH {_TOKENS_SQL}, u AS (SELECT unnest(l) AS token FROM k) SELECT token, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, token LIMIT 100")
 def caption_token_top100(spark, sf_dir):
-    return profile.top_items(_t(spark, sf_dir, "documents"), tx.clean_and_tokenize(F.col("text")), "token", 100)
+    return profile.top_items(spread(_t(spark, sf_dir, "documents").select("text")), tx.clean_and_tokenize(F.col("text")), "token", 100)
 
 
 _SP_SQL = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -294,45 +297,95 @@ def tag_list_flag(spark, sf_dir):
 
 
 def _keywords(spark, sf_dir, version=2):
-    return tx.with_keywords(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", version)
+    return tx.with_keywords(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text", version)
 
 
-@query()
+def _kw_sql(select, version=2, source="documents", before=""):
+    return f"WITH {before}{kq.keywords(source, 'k', version)} {select}"
+
+
+_KW_ROWS = "SELECT doc_id, extracted_keywords, kw_method, n_keywords FROM k"
+
+
+@query(_kw_sql(_KW_ROWS, 1))
 def keywords_v1(spark, sf_dir):
     return _keywords(spark, sf_dir, 1).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
 
 
-@query()
+@query(_kw_sql(_KW_ROWS))
 def keywords_v2(spark, sf_dir):
     return _keywords(spark, sf_dir).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
 
 
-@query()
+# Captions of every form that the rules know, made of each document's text: its start, and words of its start as a list.
+_FORMS = (
+    ("", ". Keywords: ", ", ", ""), ("", "\nSuggested tags:\n", ", ", "\nmore"), ("A mix of ", "", ", ", " with a groove. Keywords:"), ("", " || ", ", ", ""), ("", " | ", "; ", ""), ("", " (calm (", ", ", ")"),
+    ("", ") (", "/", ")"), ("", ". ", " and ", ""), ("", "\n", ", ", "."), ("Tagged as ", "\n", " ", "\nlike that"), ("", "!? ", ", ", ". "), ("tags ", "... Suggested - ", " and ", "!"), ("", "\u2028Keyword\u3000", ",\u2003", ""),
+)
+
+
+def _forms(spark, sf_dir):
+    kind = F.pmod("doc_id", F.lit(len(_FORMS)))
+    said = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), r"[|()]", " ")
+    few = F.slice(tx.words(said), 1, 5)
+    made = F.lit(None).cast("string")
+    for i, (a, b, sep, z) in enumerate(_FORMS):
+        made = F.when(kind == i, F.concat(F.lit(a), said, F.lit(b), F.array_join(few, sep), F.lit(z))).otherwise(made)
+    return _t(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+
+
+def _forms_sql():
+    quote = lambda x: " || chr(10) || ".join("'" + y + "'" for y in x.split("\n"))
+    cases = " ".join(f"WHEN {i} THEN {quote(a)} || said || {quote(b)} || array_to_string(few, {quote(sep)}) || {quote(z)}" for i, (a, b, sep, z) in enumerate(_FORMS))
+    return f"""f0 AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[|()]', ' ', 'g') AS said FROM documents),
+f1 AS (SELECT doc_id, said, ({kq.words("said")})[1:5] AS few FROM f0), f AS (SELECT doc_id, CASE doc_id % {len(_FORMS)} {cases} END AS text FROM f1), """
+
+
+@query(_kw_sql(_KW_ROWS, 1, "f", _forms_sql()))
+def keyword_forms_v1(spark, sf_dir):
+    return tx.with_keywords(_forms(spark, sf_dir), "text", 1).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
+
+
+@query(_kw_sql(_KW_ROWS, 2, "f", _forms_sql()))
+def keyword_forms_v2(spark, sf_dir):
+    return tx.with_keywords(_forms(spark, sf_dir), "text").select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
+
+
+@query(_kw_sql(rf"""SELECT doc_id, n_keywords = 0 AND (regexp_matches({kq.strip("coalesce(text, '')")}, '(?i)(?:^|{kq.NOT_W})(?:keywords?|suggested tags?)(?:$|{kq.NOT_W})')
+  OR (len({kq.words("coalesce(text, '')")}) >= 40 AND len(regexp_extract_all(right({kq.strip("coalesce(text, '')")}, 180), ',')) >= 2)) AS likely_has_keywords FROM k"""))
 def likely_keywords(spark, sf_dir):
     return _keywords(spark, sf_dir).select("doc_id", tx.likely_has_keywords(F.col("text"), F.col("n_keywords")).alias("likely_has_keywords"))
 
 
-@query()
+@query(_kw_sql("SELECT count(*) AS total, round(coalesce(avg((n_keywords > 0)::INTEGER::DOUBLE) * 100, 0), 6) AS coverage FROM k"))
 def keyword_coverage(spark, sf_dir):
     share = F.avg((F.col("n_keywords") > 0).cast("double")) * 100
     return _keywords(spark, sf_dir).agg(F.count("*").alias("total"), F.round(F.coalesce(share, F.lit(0.0)), 6).alias("coverage"))
 
 
-@query()
+@query(_kw_sql("SELECT kw_method, count(*) AS n FROM k GROUP BY 1"))
 def kw_method_counts(spark, sf_dir):
     return _keywords(spark, sf_dir).groupBy("kw_method").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_kw_sql("SELECT keyword, count(*) AS n FROM (SELECT unnest(kw_list) AS keyword FROM k) WHERE keyword <> '' GROUP BY 1 ORDER BY n DESC, keyword LIMIT 60"))
 def top_keywords(spark, sf_dir):
     return profile.top_items(_keywords(spark, sf_dir), F.col("extracted_keywords"), "keyword", 60)
 
 
-@query()
+@query(_kw_sql("SELECT n_keywords, count(*) AS n FROM k GROUP BY 1"))
 def n_keywords_hist(spark, sf_dir):
     return _keywords(spark, sf_dir).groupBy("n_keywords").agg(F.count("*").alias("n"))
 
 
+@query(_kw_sql("""SELECT kw_method, q1, median, q3, min(v) AS low, max(v) AS high FROM (SELECT kw_method, n_keywords::DOUBLE AS v FROM k)
+JOIN (SELECT kw_method, quantile_cont(n_keywords::DOUBLE, 0.25) AS q1, quantile_cont(n_keywords::DOUBLE, 0.5) AS median, quantile_cont(n_keywords::DOUBLE, 0.75) AS q3 FROM k GROUP BY 1) USING (kw_method)
+WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL"""))
+def n_keywords_box(spark, sf_dir):
+    """Box statistics of the keywords a caption has, by method."""
+    return profile.box_stats(_keywords(spark, sf_dir).select("kw_method", "n_keywords"), "kw_method", "n_keywords")
+
+
 @query(f"""
 WITH {_TOKENS_SQL}, u AS (SELECT doc_id, unnest(l) AS token FROM k), tf AS (SELECT doc_id, token, count(*) AS tf FROM u GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
@@ -340,7 +393,7 @@ w AS (SELECT doc_id, token, tf, df, round(tf * (ln((1.0::DOUBLE + (SELECT count(
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token)::INTEGER AS rank FROM w)
 SELECT doc_id, token, tf, df, weight, rank FROM r WHERE rank <= 5""")
 def tfidf_keywords(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     return profile.tfidf(docs, "doc_id", tx.clean_and_tokenize(F.col("text")), 5)
 
 
@@ -543,6 +596,169 @@ def caption_job(spark, sf_dir):
     return jobs.caption(tracks, _t(spark, sf_dir, "labels").select(name, F.lit("done").alias("caption")), _make_names)
 
 
-@query()
+@query(_kw_sql("SELECT doc_id, kw_method, n_keywords FROM k ORDER BY md5('0/' || doc_id), doc_id LIMIT 8"))
 def inspection_sample(spark, sf_dir):
     return profile.inspection_sample(_keywords(spark, sf_dir).select("doc_id", "kw_method", "n_keywords"), "doc_id", 8)
+
+
+@query(_kw_sql("""SELECT doc_id, kw_method, n_keywords, found FROM (SELECT *, n_keywords > 0 AS found, row_number() OVER (PARTITION BY n_keywords > 0 ORDER BY md5('1/' || doc_id), doc_id) AS r FROM k) WHERE r <= 8
+UNION ALL SELECT doc_id, kw_method, n_keywords, NULL FROM k WHERE doc_id IN (0, 10, 100)"""))
+def inspection_groups(spark, sf_dir):
+    """Samples of rows with keywords and without, and the rows of fixed places."""
+    rows = _keywords(spark, sf_dir).select("doc_id", "kw_method", "n_keywords")
+    sample = profile.inspection_sample(rows.withColumn("found", F.col("n_keywords") > 0), "doc_id", 8, 1, "found")
+    return sample.union(profile.fixed_rows(rows, "doc_id", (0, 10, 100)).withColumn("found", F.lit(None).cast("boolean")))
+
+
+# Lists in the lines of all texts
+
+
+def _split_lists(spark, sf_dir, version):
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "pos", F.md5(_joined(tx.split_candidates(F.col("line"), version))).alias("keywords"))
+
+
+def _split_sql(version):
+    lines = "s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS pos FROM documents)"
+    return f"WITH {lines}, {kq.split('s', 'k', 'doc_id, pos', version)} SELECT doc_id, pos, md5(coalesce(array_to_string(keywords, '|'), '')) AS keywords FROM k"
+
+
+@query(_split_sql(1))
+def split_lists_v1(spark, sf_dir):
+    return _split_lists(spark, sf_dir, 1)
+
+
+@query(_split_sql(2))
+def split_lists_v2(spark, sf_dir):
+    return _split_lists(spark, sf_dir, 2)
+
+
+# Files: written from the tables to the shared folder, and read back
+
+
+@query("""SELECT 'track_' || p_partkey AS track_id, p_brand AS artist_id, 'album ' || p_size AS album_id, p_partkey || '.mp3' AS path, CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS duration,
+array_to_string(list_transform(list_concat(string_split(p_name, ' '), CASE WHEN p_size % 2 = 0 THEN [p_type] ELSE [] END), lambda t: 'genre---' || t), '|') AS tags FROM part""")
+def tag_table_roundtrip(spark, sf_dir):
+    tags = F.transform(F.concat(F.split("p_name", " "), F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>"))), lambda t: F.concat(F.lit("genre---"), t))
+    length = F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice").cast("string")).otherwise("unknown")
+    fields = (F.concat(F.lit("track_"), "p_partkey"), "p_brand", F.concat(F.lit("album "), "p_size"), F.concat("p_partkey", F.lit(".mp3")), length, F.array_join(tags, "\t"))
+    lines = _t(spark, sf_dir, "part").select(F.concat_ws("\t", *fields).alias("value"))
+    head = spark.createDataFrame([("\t".join((*(x.upper() for x in fs.FIELDS), "TAGS")),)], "value string")
+    path = new_path(spark, "tags")
+    head.union(lines).write.text(path)
+    return fs.read_tag_table(spark, path).withColumn("tags", _joined("tags"))
+
+
+@query(r"""SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, '["' || coalesce(replace(lang, '"', ''), 'none') || '","x, \"y\""]' AS tags FROM documents""")
+def csv_roundtrip(spark, sf_dir):
+    """Names with outer blanks and capitals, arrays, quotes and line ends inside fields."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias(" DOC_ID "), "text", "lang", "source", F.array(F.coalesce("lang", F.lit("none")), F.lit('x, "y"')).alias("tags"))
+    path = new_path(spark, "csv")
+    fs.write_csv(docs, path)
+    back = fs.read_csv(spark, path, required=("doc_id", "text", "tags"))
+    return back.select(F.col(fs.find_column(back, "doc_id")).alias("doc_id"), F.md5("text").alias("text"), "lang", "source", "tags")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'second ' || l.quality ELSE '' END AS caption FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def checkpoint_appends(spark, sf_dir):
+    """Two runs append to one checkpoint; a repeated key is read once, with the caption that is not empty."""
+    path = new_path(spark, "captions")
+    fs.append_checkpoint(_t(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("caption")), path)
+    fs.append_checkpoint(_t(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("second "), "quality").alias("caption")), path)
+    return fs.read_checkpoint(spark, path, "doc_id")
+
+
+@query("SELECT lpad((doc_id % 100)::VARCHAR, 2, '0') AS folder, 1::BIGINT AS n_files FROM documents GROUP BY ALL")
+def list_files(spark, sf_dir):
+    """One file in each of the folders 00 to 99 that hold a document, and one of another kind."""
+    path = new_path(spark, "audio")
+    docs = _t(spark, sf_dir, "documents").select(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0").alias("folder"), F.col("doc_id").cast("string").alias("value"))
+    docs.repartition("folder").write.partitionBy("folder").text(path)
+    docs.limit(1).select("value").write.json(f"{path}/folder=other")
+    found = fs.list_files(spark, path, "*.txt")
+    return found.groupBy(F.regexp_extract("path", r"folder=([^/]+)", 1).alias("folder")).agg(F.count("*").alias("n_files"))
+
+
+@query("""SELECT vec_id AS index, CASE WHEN vec_id % 7 <> 0 THEN len(embedding)::INTEGER END AS size, CASE WHEN vec_id % 7 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) END AS total FROM embeddings""")
+def vector_store(spark, sf_dir):
+    """Vectors of some rows are stored; all rows are looked up."""
+    text, path = _text(spark, sf_dir), new_path(spark, "vectors")
+    fs.write_vectors(text.where("index % 7 <> 0"), path)
+    v = F.col("embedding")
+    total = F.aggregate(vc.doubles(v), F.lit(0.0), lambda s, x: s + x)
+    return fs.read_vectors(spark, path, text).select("index", F.when(v.isNotNull(), F.size(v)).alias("size"), F.round(total, 6).alias("total"))
+
+
+@query(f"""WITH {_TRACKS_SQL}, m AS (SELECT doc_id, source, source LIKE '%7' AS bad FROM documents),
+w AS (SELECT 'failed.json' AS file, doc_id::VARCHAR AS key, 'ValueError: unreadable' AS said FROM m WHERE bad UNION ALL SELECT 'failed.csv', doc_id::VARCHAR, 'ValueError: unreadable' FROM m WHERE bad
+UNION ALL SELECT 'missing.csv', index::VARCHAR, '["' || array_to_string(c, '","') || '"]' FROM x WHERE resolved_path IS NULL UNION ALL SELECT 'missing.json', index::VARCHAR, array_to_string(c, '|') FROM x WHERE resolved_path IS NULL
+UNION ALL SELECT 'summary.json', CASE WHEN bad THEN 'failed' ELSE 'ok' END, count(*)::VARCHAR FROM m GROUP BY bad) SELECT file, key, said FROM w""")
+def diagnostics(spark, sf_dir):
+    """What a job could not do and what it did not find, as JSON and CSV, read back."""
+    made = jobs.run_model(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source", _make_names, "string", 32)
+    lost = _resolved(spark, sf_dir).where("resolved_path IS NULL").select("index", "track_id", "path_guesses")
+    path = new_path(spark, "diagnostics")
+    fs.write_diagnostics(made.select("doc_id", "status", "error"), path, lost)
+    js = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}.json")
+    found = [
+        ("failed.json", js("failed", "doc_id long, error string"), "doc_id", F.col("error")), ("failed.csv", fs.read_csv(spark, f"{path}/failed.csv"), "doc_id", F.col("error")),
+        ("missing.json", js("missing", "index long, path_guesses array<string>"), "index", _joined("path_guesses")), ("missing.csv", fs.read_csv(spark, f"{path}/missing.csv"), "index", F.col("path_guesses")),
+        ("summary.json", js("summary", "status string, n long"), "status", F.col("n").cast("string")),
+    ]
+    out = None
+    for name, df, key, said in found:
+        part = df.select(F.lit(name).alias("file"), F.col(key).cast("string").alias("key"), said.alias("said"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("""WITH w AS (SELECT l_orderkey AS tag_0, CASE WHEN l_linenumber > 2 THEN l_partkey END AS tag_1, CASE WHEN l_linenumber > 5 THEN l_suppkey END AS tag_2, CASE WHEN l_linenumber > 6 AND l_discount > 0.06 THEN l_suppkey END AS tag_3 FROM lineitem),
+c AS (SELECT 'tag_0' AS column_name, count(tag_0) AS non_null, count(*) - count(tag_0) AS nulls FROM w UNION ALL SELECT 'tag_1', count(tag_1), count(*) - count(tag_1) FROM w
+UNION ALL SELECT 'tag_2', count(tag_2), count(*) - count(tag_2) FROM w UNION ALL SELECT 'tag_3', count(tag_3), count(*) - count(tag_3) FROM w) SELECT * FROM c WHERE non_null >= 5000""")
+def drop_sparse_columns(spark, sf_dir):
+    """What is left after columns of fewer than 5,000 values have gone."""
+    some = lambda n, c: F.when(F.col("l_linenumber") > n, F.col(c))
+    wide = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tag_0"), some(2, "l_partkey").alias("tag_1"), some(5, "l_suppkey").alias("tag_2"), F.when((F.col("l_linenumber") > 6) & (F.col("l_discount") > 0.06), F.col("l_suppkey")).alias("tag_3"))
+    return profile.column_profile(profile.drop_sparse(wide, 5_000))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN replace(p_type, ' ', ' ') WHEN 1 THEN p_name WHEN 2 THEN '' ELSE p_brand || ' x' END AS said FROM part")
+def tag_text_or_raw(spark, sf_dir):
+    """Tag fields as text: lists in text form, text that is none, and nothing."""
+    kind = F.col("p_size") % 4
+    listed = F.concat(F.lit("['"), F.array_join(F.split("p_type", " "), "', '"), F.lit("', '']"))
+    field = F.when(kind == 0, listed).when(kind == 1, F.col("p_name")).when(kind == 3, F.concat(F.lit('["'), "p_brand", F.lit('", "x"]')))
+    return _t(spark, sf_dir, "part").select("p_partkey", tg.text_of_list(field).alias("said"))
+
+
+# Retrieval at its edges
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS ({_short()}), r AS (SELECT s.index, CASE WHEN e.index % 4 = 0 THEN 0.0::DOUBLE ELSE {_DOT.format(a='p.a', b='e.a')} END AS score FROM s JOIN e USING (index), (SELECT * FROM e WHERE index = 3) p)
+SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM r""")
+def rerank_unprocessed(spark, sf_dir):
+    """Tracks without an audio vector score 0, above negative scores; ids that stand for nothing drop out."""
+    space, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    some = audio.withColumn("embedding", F.when(F.col("index") % 4 != 0, F.col("embedding")))
+    found = ret.shortlist(space, _prompt(space)).select("index")
+    strays = found.select((-1 - F.col("index")).alias("index")).union(found.select((F.col("index") + 10**12).alias("index")))
+    return _rounded(ret.ranked(ret.rerank(found.union(strays), some, _prompt(audio)), 2 * ret.SHORTLIST))
+
+
+def _other_size(n):
+    cut = f"list_concat(embedding[1:{n}], list_transform(range(greatest(0, len(embedding) - {n})), lambda i: 0.0::FLOAT))[1:len(embedding)]"
+    return f"(SELECT {_UNIT.format(v='q')} AS t FROM (SELECT {cut} AS q FROM embeddings WHERE vec_id = 3))"
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS ({" UNION ALL ".join(f"SELECT * FROM (SELECT {n} AS size, e.index, {_DOT.format(a='p.t', b='e.t')} AS score FROM e, {_other_size(n)} p ORDER BY score DESC, e.index LIMIT 300)" for n in (48, 80))})
+SELECT size, index, round(score, 6) AS score, row_number() OVER (PARTITION BY size ORDER BY score DESC, index)::INTEGER AS rank FROM s""")
+def shortlist_other_size(spark, sf_dir):
+    """Prompts of fewer or more numbers than the vectors hold."""
+    space = _text(spark, sf_dir)
+    out = None
+    for n in (48, 80):
+        prompt = _prompt(space).withColumn("embedding", vc.align(F.col("embedding"), n))
+        part = ret.ranked(ret.shortlist(space, prompt), ret.SHORTLIST).withColumn("size", F.lit(n))
+        out = part if out is None else out.union(part)
+    return _rounded(out)

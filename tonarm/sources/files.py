@@ -47,14 +47,31 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
 
 
 def read_checkpoint(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Appended results, one row a key."""
-    return spark.read.parquet(path).dropDuplicates([key])
+    """Appended results, one row a key: of differing ones the greatest, so that a result is preferred to an empty one or null."""
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
 
 
-def list_audio(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of .mp3 files under root; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").option("recursiveFileLookup", True).load(root).select("path")
+def list_files(spark: SparkSession, root: str, pattern: str = "*.mp3") -> DataFrame:
+    """Paths of files under root; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path")
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
     df.select("index", "embedding").write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
+    """Rows (index, embedding) of a store; with an index table (index) one row for each of it, without a vector where none is stored."""
+    vectors = spark.read.parquet(path).select("index", "embedding")
+    return vectors if index is None else index.select("index").join(vectors, "index", "left")
+
+
+def write_diagnostics(made: DataFrame, folder: str, missing: DataFrame | None = None) -> None:
+    """Of a job's rows (..., status, error): the failed ones as `failed` in JSON and CSV, what could not be found as `missing`, counts by status."""
+    failed = made.where("status = 'failed'")
+    for name, rows in {"failed": failed, **({"missing": missing} if missing is not None else {})}.items():
+        rows.write.json(f"{folder}/{name}.json")
+        write_csv(rows, f"{folder}/{name}.csv")
+    made.groupBy("status").agg(F.count("*").alias("n")).write.json(f"{folder}/summary.json")
