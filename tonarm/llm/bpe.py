@@ -26,7 +26,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, spread, table
 
 #: Chunks of text whose encoding a task keeps: so many new ones at most, and as many of those before.
 KEPT = 200_000
@@ -376,7 +376,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep=("doc_id",)) -> DataFram
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

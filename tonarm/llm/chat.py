@@ -6,7 +6,7 @@ holds every turn. Turns are written `<turn:ROLE`, newline, TEXT, `</turn>`, newl
 and a control string gets a backslash after its `<`, so that no control string is left in them; in roles a newline is
 written `\l` too. Unescaping is the exact inverse.
 
-Defined cases: null roles and texts are empty; a null conv_id is a conversation; turns of equal number are ordered
+Defined cases: null roles and texts are empty; each row of a null conv_id is a conversation of its own; turns of equal number are ordered
 by role and text, repeated rows stay; role `assistant` is matched exactly.
 """
 
@@ -60,32 +60,33 @@ def read_turns(formatted: Column) -> Column:
 
 
 def chat_examples(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, example, target_turn, text, loss_start, loss_len, whole): the loss span in code points, none for a remainder; `whole` marks the last example, which holds the whole conversation."""
+    """Rows (conv_id, single, example, target_turn, text, loss_start, loss_len, whole): single numbers the rows of null conv_id, the loss span in code points, none for a remainder; `whole` marks the last example, which holds the whole conversation."""
     rows = turns.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("single"),
         F.struct(
             F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
         ).alias("t"),
     )
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    convs = rows.groupBy("conv_id", "single").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     convs = convs.select(
-        "conv_id",
+        "conv_id", "single",
         F.transform("ts", lambda t: format_turn(t["role"], t["text"])).alias("pieces"),
         F.transform("ts", lambda t: F.struct((t["role"] == "assistant").alias("reply"), F.char_length(escape(t["text"])).alias("n"))).alias("marks"),
     )
     ends = F.filter(F.sequence(F.lit(1), F.size("marks")), lambda i: F.element_at("marks", i)["reply"] | (i == F.size("marks")))
-    each = convs.select("conv_id", "pieces", "marks", F.posexplode(ends).alias("example", "i"))
+    each = convs.select("conv_id", "single", "pieces", "marks", F.posexplode(ends).alias("example", "i"))
     mark = F.element_at("marks", F.col("i"))
     text = F.array_join(F.slice("pieces", F.lit(1), F.col("i")), "")
     return each.select(
-        "conv_id",
+        "conv_id", "single",
         "example",
         F.when(mark["reply"], F.col("i") - 1).alias("target_turn"),
         text.alias("text"),
         F.when(mark["reply"], mark["n"]).otherwise(0).alias("loss_len"),
         (F.col("i") == F.size("pieces")).alias("whole"),
     ).select(
-        "conv_id", "example", "target_turn", "text",
+        "conv_id", "single", "example", "target_turn", "text",
         F.when(F.col("target_turn").isNotNull(), F.char_length("text") - len(CLOSE) - 1 - F.col("loss_len")).alias("loss_start"),
         "loss_len", "whole",
     )
@@ -99,8 +100,8 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     own = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t")).select(F.lit(-7).alias("conv_id"), "t.turn", "t.role", said.alias("text"))
     found = chat_examples(turns.unionByName(own))
     loss = unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_len")))
-    each = found.select("conv_id", "example", F.char_length("text").alias("chars"), F.when(F.col("loss_len") > 0, loss).otherwise("").alias("loss"), F.when(F.col("whole"), F.col("text")).alias("formatted"))
-    convs = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.max("formatted").alias("formatted"), F.sum("chars").alias("formatted_chars"))
+    each = found.select("conv_id", "single", "example", F.char_length("text").alias("chars"), F.when(F.col("loss_len") > 0, loss).otherwise("").alias("loss"), F.when(F.col("whole"), F.col("text")).alias("formatted"))
+    convs = each.groupBy("conv_id", "single").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.max("formatted").alias("formatted"), F.sum("chars").alias("formatted_chars"))
     convs = convs.select("conv_id", read_turns(F.col("formatted")).alias("turns"), F.array_join(F.transform("losses", lambda x: x["loss"]), "").alias("loss"), "formatted_chars")
     return convs.select(
         "conv_id",

@@ -2,66 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonarm.storage import new_path, shared_dir, spread, step, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where none is set, a temporary one, but only for a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tonarm-"))
-    return sc.getCheckpointDir()
-
-
-_steps: list[list[str]] = []
-
+__all__ = ["binary", "components", "held", "make_room", "new_path", "row_key", "semi", "shared_dir", "spread", "step", "stored", "table"]
 
-def _path(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    files, at = _path(spark, path)
-    files.deleteOnExit(at)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives the loss of executors.
-
-    The table goes at the end of the `step` it was written in, or else of the application.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _steps:
-        _steps[-1].append(path)
-    forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def step(spark: SparkSession):
-    """Tables stored inside are deleted at the end: only for work whose results have been written by then."""
-    _steps.append([])
-    try:
-        yield
-    finally:
-        for path in _steps.pop():
-            files, at = _path(spark, path)
-            files.delete(at, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def semi(docs: DataFrame, wanted: DataFrame, keys: dict) -> DataFrame:

@@ -4,7 +4,7 @@ A text's fingerprint is a polynomial of its bytes under two primes, composed fro
 length-shifted arithmetic: H(AB) = H(A) * B^|B| + H(B). Rows are range-partitioned by fingerprint, length and
 doc_id, so that a group of copies of any size spreads over as many partitions as it fills; each partition is
 streamed, and every text is compared chunk by chunk with the classes of its run before it joins one. Classes of a
-partition's first and last runs may go on elsewhere: one text of each is kept to settle them.
+partition's first and last runs may go on elsewhere: those of equal fingerprint, length and SHA-256 are one class.
 
 Defined cases: null text equals the empty text; of equal texts the row with the largest doc_id stays (null is
 smallest; of equal rows all carry the same keep_id and `kept` is true for each of them only if it is that id).
@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, stored, table
+from .common import binary, spread, stored, table
 
 CHUNK = 1 << 15
 PRIMES = (2_147_483_629, 2_147_483_587)
 BASES = (1_000_003, 998_244_353)
-OUT = "doc_id long, fp long, size long, sha string, part long, cls long, edge boolean, body binary"
+OUT = "doc_id long, fp long, size long, sha string, part long, cls long, edge boolean"
 
 
 class Polynomial:
@@ -78,10 +78,10 @@ def stream_classes(batches):
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def last(reps, edge):
-        rows = [(None, *run, sha, part, c, edge, body) for c, body, sha in reps]
+        rows = [(None, *run, sha, part, c, edge) for c, _, sha in reps]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
         rows = []
         for doc_id, body, fp, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -97,30 +97,13 @@ def stream_classes(batches):
                 cls += 1
                 known = (cls, body, hashlib.sha256(body).hexdigest())
                 classes.append(known)
-            rows.append((doc_id, fp, size, known[2], part, known[0], False, None))
+            rows.append((doc_id, fp, size, known[2], part, known[0], False))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     if run is not None:
         yield last(classes, True)
 
 
-def settle(key, group):
-    """One class number for equal classes that stand in several partitions: that of the first of them."""
-    import pyarrow as pa
-
-    rows = sorted(group.select(["part", "cls", "body"]).to_pylist(), key=lambda r: (r["part"], r["cls"]))
-    known, out = [], []
-    for r in rows:
-        for k in known:
-            if same(k[1], r["body"]):
-                break
-        else:
-            k = ((r["part"], r["cls"]), r["body"])
-            known.append(k)
-        out.append({"part": r["part"], "cls": r["cls"], "part0": k[0][0], "cls0": k[0][1]})
-    return pa.Table.from_pylist(out, schema=pa.schema([(x, pa.int64()) for x in ("part", "cls", "part0", "cls0")]))
-
-
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per input row."""
     spark = docs.sparkSession
@@ -128,8 +111,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fingerprint_rows, "doc_id long, body binary, fp long, size long")
     ranged = marked.repartitionByRange(parts, "fp", "size", "doc_id").sortWithinPartitions("fp", "size")
     rows = stored(ranged.mapInArrow(stream_classes, OUT), "classes")
-    # A few texts a partition, those of its first and last runs: settled per fingerprint, then no larger than that.
-    edges = rows.where("edge").groupBy("fp", "size").applyInArrow(settle, "part long, cls long, part0 long, cls0 long").dropDuplicates(["part", "cls"])
+    # The classes of each partition's first and last runs, by the first of those that are one class.
+    edges = rows.where("edge").select("fp", "size", "sha", "part", "cls").distinct()
+    first = edges.groupBy("fp", "size", "sha").agg(F.min(F.struct("part", "cls")).alias("f"))
+    edges = edges.join(first, ["fp", "size", "sha"]).select("part", "cls", F.col("f.part").alias("part0"), F.col("f.cls").alias("cls0"))
     own = rows.where("not edge").groupBy("part", "cls").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     named = stored(own.join(edges, ["part", "cls"], "left").select("part", "cls", "keep_id", "group_size", F.coalesce("part0", "part").alias("part0"), F.coalesce("cls0", "cls").alias("cls0")), "named")
     whole = named.groupBy("part0", "cls0").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
@@ -139,7 +124,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_groups(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 SQL = """

@@ -25,8 +25,8 @@ FEW = 1 << 10
 
 
 class Scratch:
-    def __init__(self, limit: int = ARRAY_MEMORY):
-        self.limit, self.folder = limit, None
+    def __init__(self, limit: int | None = None):
+        self.limit, self.folder = ARRAY_MEMORY if limit is None else limit, None
 
     def path(self) -> str:
         if self.folder is None:
@@ -46,9 +46,9 @@ class Scratch:
 class BucketQueue:
     """A monotone priority queue of (position, rank of its inducer) by bucket; within a bucket in order of arrival."""
 
-    def __init__(self, buckets: int, scratch: Scratch, memory: int = QUEUE_MEMORY):
+    def __init__(self, buckets: int, scratch: Scratch, memory: int | None = None):
         self.blocks: list[list] = [[] for _ in range(buckets)]
-        self.scratch, self.memory, self.held = scratch, memory, 0
+        self.scratch, self.memory, self.held = scratch, QUEUE_MEMORY if memory is None else memory, 0
 
     def push(self, at: int, pos, rank) -> None:
         self.blocks[at].append((pos, rank))

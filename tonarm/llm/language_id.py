@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import make_room, table
+from .common import make_room, spread, table
 
 #: Bound on the labelled rows that profiles are learned from, or one a language if there are more languages.
 SAMPLE_ROWS = 20_000
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep=("doc_id",))
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     found = identify(docs.select("doc_id", "text"), learn_profiles(docs))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(True))  # a null id is never learned from
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -160,7 +160,7 @@ def keep_lines(batches):
 
     for batch in batches:
         texts, sizes, gone = [], [], []
-        for text, keep in zip(binary(batch.column("text")), batch.column("keep").to_pylist(), strict=True):
+        for text, keep in zip(binary(batch.columns[-2]), batch.columns[-1].to_pylist(), strict=True):
             lines = text.split(b"\n")
             sizes.append(len(lines))
             if keep is not None:
@@ -170,17 +170,17 @@ def keep_lines(batches):
             else:
                 gone.append(0)
             texts.append(text)
-        rest = [c for c in batch.schema.names if c not in ("text", "keep")]
+        rest = batch.schema.names[:-2]
         made = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, "text", "n_lines", "n_dropped"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=[*rest, "text", "n_lines", "n_dropped"])
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the lines that stay as text, and n_lines and n_dropped; a document without a bitmap stays whole."""
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "keep", "_k")]
-    left = docs.select(*rest, "text", row_key().alias("_k"))
-    maps = bitmaps.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_r"), "keep")
-    met = left.join(maps, left["doc_id"].cast("long").eqNullSafe(maps["_d"]) & (left["_k"] == maps["_r"]), "left").select(*rest, "text", "keep")
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    left = docs.select(*rest, row_key().alias("_row_key"), F.col("doc_id").cast("long").alias("_row_id"), F.col("text").alias("_row_text"))
+    maps = bitmaps.select(F.col("doc_id").alias("_map_id"), F.col("row_key").alias("_map_key"), F.col("keep").alias("_map"))
+    met = left.join(maps, left["_row_id"].eqNullSafe(maps["_map_id"]) & (left["_row_key"] == maps["_map_key"]), "left").select(*rest, "_row_text", "_map")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest]
     return met.mapInArrow(keep_lines, ", ".join([*kinds, "text string", "n_lines long", "n_dropped long"]))
 

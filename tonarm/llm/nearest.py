@@ -7,7 +7,8 @@ anew in double precision, and heaps merge them, first within a cell and then ove
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no
 part; a query never finds its own id; fewer candidates than k are all returned; ties go to the smaller id; repeated
-rows of one id are candidates each; an empty table gives no rows. Vectors must be of one length.
+rows of one id are candidates each, and of repeated ids the least vector is the query; an empty table gives no rows; vectors
+of another length than the most common one (of equally common ones the longest) take no part.
 """
 
 from __future__ import annotations
@@ -116,9 +117,9 @@ def cells(k: int):
                     continue
                 near = (query.codes @ block.codes.T).astype(np.float64) * query.scale[:, None] * block.scale[None, :]
                 bound = query.lost[:, None] * block.norm[None, :] + (query.norm + query.lost)[:, None] * block.lost[None, :] + 1e-12 * query.norm[:, None] * block.norm[None, :]
-                if len(block.ids) > k:  # k + 1, for the query's own vector may be among them
-                    low = near - bound
-                    floor = np.maximum(floor, np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1])
+                if len(block.ids) >= k:
+                    low = np.where(query.ids[:, None] == block.ids[None, :], -np.inf, near - bound)
+                    floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
                 at, of = np.nonzero(near + bound >= floor[:, None])
                 other = query.ids[at] != block.ids[of]
                 at, of = at[other], of[other]
@@ -141,7 +142,11 @@ def cells(k: int):
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """queries and candidates: rows (id, v) of `usable`. Rows (query_id, rank, vec_id, score)."""
-    nq, nc = queries.count(), candidates.count()
+    sizes = [(r["count"], r["n"]) for r in candidates.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()]
+    nc, length = sizes[0] if sizes else (0, 0)
+    candidates = candidates.where(F.size("v") == length)
+    queries = queries.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
+    nq = queries.count()
     groups = max(1, math.ceil(nc / (BLOCK * GROUP_BLOCKS)))
     q_blocks = max(1, math.ceil(nq / QUERY_BLOCK))
     q = blocks(queries, nq, QUERY_BLOCK).select(F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("kind"), "ids", "vectors")

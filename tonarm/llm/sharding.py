@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import spread, stored, table
 
 SHARDS = 16
 BINS = 1024
@@ -171,7 +171,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    found = kd_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = kd_shards(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, stored, table
+from .common import binary, spread, stored, table
 
 LENGTH, ANCHOR = 200, 64
 #: Classes of windows by the place of their anchor.
@@ -33,7 +33,7 @@ SHARD_BYTES = 2 << 20
 CORE_ROWS = 5_000
 #: Bytes of texts whose anchors are found at a time; places within them fit PLACE bits.
 BLOCK_BYTES, PLACE = 1 << 20, 22
-SEGMENTS = "mhash long, digest long, doc_id long, row_key int, loc long"
+SEGMENTS = "mhash long, digest long, doc_id long, row_key long, loc long"
 
 
 def _mix(x):
@@ -131,7 +131,7 @@ def compress(batches):
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in binary(batch.column(2))], pa.binary())], names=["doc_id", "row_key", "packed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack(t) for t in binary(batch.columns[-1])], pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
 
 def pieces(length: int, anchor: int):
@@ -162,7 +162,7 @@ def pieces(length: int, anchor: int):
                             left, right = m - lo, m - hi + length
                             key = xxh3_128_digest(text[left:right], i)
                             rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc_id, row_key, a, x["single"], text[a:left], text[right : b + length], b - a + 1))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k1", "k2", "doc_id", "row_key", "start", "single", "lhs", "rhs", "n"])
 
@@ -191,7 +191,7 @@ def sort_shard(length: int, anchor: int):
                 edge = np.flatnonzero(np.diff(np.r_[0, hit[:n].astype(np.int8), 0]))
                 out += [(doc_id, row_key, start + int(a), start + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row_key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row_key", "a", "b"])
 
     return run
 
@@ -203,7 +203,7 @@ def windows(length: int):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
         def out(rows):
             cols = list(zip(*rows, strict=True)) or [[]] * 6
@@ -225,8 +225,10 @@ def windows(length: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("row_key"), "text")
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """Rows (doc_id, row_key, keep..., text): a null doc_id is replaced by a second hash of the text, so that 128 bits tell such rows apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias("doc_id"), F.xxhash64(text).alias("row_key"), *keep, "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -246,28 +248,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     mixed = stored(mixed, "mixed")
     reps = classes.join(mixed, "mhash", "left_semi").select("rep.*", (F.col("n") == 1).alias("single"))
     by_doc = reps.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("loc", "single")).alias("found"))
-    texts = rows.mapInArrow(compress, "doc_id long, row_key int, packed binary").dropDuplicates(["doc_id", "row_key"])
-    met = _join(texts, by_doc, "inner").select("doc_id", "row_key", "packed", "found")
-    cut = stored(met.mapInArrow(pieces(length, anchor), "k1 long, k2 long, doc_id long, row_key int, start long, single boolean, lhs binary, rhs binary, n int"), "pieces")
+    texts = rows.mapInArrow(compress, "doc_id long, row_key long, packed binary").dropDuplicates(["doc_id", "row_key"])
+    met = texts.join(by_doc, ["doc_id", "row_key"]).select("doc_id", "row_key", "packed", "found")
+    cut = stored(met.mapInArrow(pieces(length, anchor), "k1 long, k2 long, doc_id long, row_key long, start long, single boolean, lhs binary, rhs binary, n int"), "pieces")
     shared = cut.groupBy("k1", "k2").agg(F.count("*").alias("k"), F.count_if("single").alias("singles"), F.sum(F.octet_length("lhs") + F.octet_length("rhs") + 4).alias("size")).where("k > 1 and singles > 0")
     shared = stored(shared, "keys")
     few = shared.where(F.col("k") <= CORE_ROWS)
     size = few.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
     dealt = cut.join(few.select("k1", "k2"), ["k1", "k2"], "left_semi").repartition(shards, "k1", "k2")
-    found = whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key int, a long, b long"))
+    found = whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key long, a long, b long"))
     # Each of these keys stands for more than CORE_ROWS pieces, so there are few of them.
     hot = cut.join(F.broadcast(shared.where(F.col("k") > CORE_ROWS).select("k1", "k2")), ["k1", "k2"], "left_semi")
-    hot = stored(hot.mapInArrow(windows(length), "w1 long, w2 long, doc_id long, row_key int, a long, single boolean"), "windows")
+    hot = stored(hot.mapInArrow(windows(length), "w1 long, w2 long, doc_id long, row_key long, a long, single boolean"), "windows")
     twice = stored(hot.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
     return found.union(hot.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "row_key", "a", (F.col("a") + length).alias("b")))
 
 
-def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    other = other.withColumnsRenamed({"doc_id": "_d", "row_key": "_r"})
-    return texts.join(other, texts["doc_id"].eqNullSafe(other["_d"]) & (texts["row_key"] == other["_r"]), how)
-
-
 def cut_spans(batches):
     import pyarrow as pa
     import zstandard
@@ -297,12 +294,12 @@ def cut_spans(batches):
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one per input row; kept is the bytes that stay."""
     spans = repeated_spans(docs, length, anchor).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    texts = keyed(docs).mapInArrow(compress, "doc_id long, row_key int, packed binary")
-    return _join(texts, spans, "left").select("doc_id", "packed", "spans").mapInArrow(cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = keyed(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id").mapInArrow(compress, "doc_id long, row_key long, _id long, packed binary")
+    return texts.join(spans, ["doc_id", "row_key"], "left").select(F.col("_id").alias("doc_id"), "packed", "spans").mapInArrow(cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    found = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substring_dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
