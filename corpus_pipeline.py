@@ -7,15 +7,13 @@ repeated. Defined cases are otherwise those of the operators; a stage over an em
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tonarm import ship
 from tonarm.llm.bpe import encode_decode
-from tonarm.llm.common import forget_at_exit, semi, shared_dir, step, stored
+from tonarm.llm.common import new_path, semi, step, stored
 from tonarm.llm.language_id import identify, learn_profiles
 from tonarm.llm.line_dedup import line_dedup
 from tonarm.llm.mixing import WEIGHTS, mix, text_hash, with_domain
@@ -105,8 +103,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         if i == len(STAGES) - 1:
             return stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/stage{i}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"stage{i}")
         with step(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        forget_at_exit(spark, path)
         docs = spark.read.parquet(path)
