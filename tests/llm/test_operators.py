@@ -1,12 +1,15 @@
 import hashlib
 import json
 import os
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tonarm.llm import bpe, chat, exact_dedup, induced, language_id, line_dedup, mixing, nearest, sharding, simhash, substring_dedup
 
@@ -39,6 +42,24 @@ def test_repeated_windows():
         assert [x.tolist() for x in induced.repeated_windows(strings, n)] == want
 
 
+def test_repeated_windows_on_disk(monkeypatch):
+    """Queues and arrays beyond their memory go to disk, with the same result."""
+    monkeypatch.setattr(induced, "QUEUE_MEMORY", 512)
+    monkeypatch.setattr(induced, "ARRAY_MEMORY", 256)
+    monkeypatch.setattr(induced, "BATCH", 64)
+    spills = []
+    spill = induced.BucketQueue.spill
+    monkeypatch.setattr(induced.BucketQueue, "spill", lambda q: (spills.append(1), spill(q)))
+    rng = np.random.default_rng(6)
+    for letters in (2, 40):
+        strings = [bytes(rng.integers(65, 65 + letters, 400).tolist()) for _ in range(12)]
+        strings += [strings[0][50:300] + strings[1][:100], strings[2]]
+        seen = Counter(s[i : i + 12] for s in strings for i in range(len(s) - 11))
+        want = [[seen[s[i : i + 12]] > 1 for i in range(len(s) - 11)] for s in strings]
+        assert [x.tolist() for x in induced.repeated_windows(strings, 12)] == want
+    assert len(spills) > 10
+
+
 def test_queue_spills():
     scratch = induced.Scratch()
     q = induced.BucketQueue(3, scratch, memory=64)
@@ -64,6 +85,26 @@ def test_substrings(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_substrings_by_hand(spark, monkeypatch):
+    """The whole query against counts of all windows, with sorters that have next to no memory."""
+    monkeypatch.setattr(induced, "QUEUE_MEMORY", 4_096)
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    texts = {d: (t or "").encode() for d, t in rows}
+    seen = Counter(hash(t[i : i + 200]) for t in texts.values() for i in range(len(t) - 199))
+    want = {}
+    for d, t in texts.items():
+        gone = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 199):
+            if seen[hash(t[i : i + 200])] > 1:
+                gone[i] += 1
+                gone[i + 200] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        want[d] = (len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.op1_substring_dedup(spark, SF).collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 50
+
+
 def test_substrings_of_hot_core(spark, monkeypatch):
     """A passage in different contexts: its pieces, all of one core, go to no shard."""
     monkeypatch.setattr(substring_dedup, "CORE_ROWS", 10)
@@ -108,6 +149,23 @@ def test_lines(docs, empty):
     got = {(r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(docs).collect()}
     assert {(100, "own 0", 2), (None, "last", 1), (3, "a b c d", 0), (1, "", 0)} <= got
     assert line_dedup.line_dedup(docs).count() == len(ROWS) and line_dedup.line_dedup(empty).count() == 0
+    assert {r["keep"] for r in line_dedup.line_dedup(docs).collect()} == {"x", None}  # a column of the caller named like one inside
+
+
+def test_lines_of_hot_keys(spark):
+    """A line of every document, in runs over several partitions, beside a very long text."""
+    rows = [(i if i % 3 else None, f"own {i}\n" + "hot\n" * (i % 4) + f"some {i // 12}\nnine {i % 400 // 9}") for i in range(3_600)] + [(9_999, "\n".join(map(str, range(50_000))) + "\n HOT ")]
+    docs = {}
+    for i, (_, t) in enumerate(rows):
+        for line in set(t.split("\n")):
+            docs.setdefault(line.strip().lower(), set()).add(i)
+    want = Counter()
+    for d, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if not x.strip() or len(docs[x.strip().lower()]) < 10]
+        want[d, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert Counter(tuple(r) for r in line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_dropped", "text").collect()) == want
 
 
 def test_simhash(docs, empty):
@@ -117,6 +175,45 @@ def test_simhash(docs, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def fingerprint_by_hand(text, n=3):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]).encode(), 42) for i in range(max(1, len(w) - n + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_by_hand(marks, ids, radius=2):
+    """Smallest id reachable by links within the radius."""
+    marks = np.array(marks, np.uint64)
+    labels = np.arange(len(marks))
+    a, b = np.nonzero(np.bitwise_count(marks[:, None] ^ marks[None]) <= radius)
+    simhash.join_labels(labels, a, b)
+    least = {}
+    for i, x in enumerate(labels):
+        least[x] = min(least.get(x, ids[i]), ids[i])
+    return [least[x] for x in labels]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_simhash_by_hand(spark):
+    rows = sorted(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    marks = [fingerprint_by_hand(t) for _, t in rows]
+    want = {d: (f"{m:016x}", c) for (d, _), m, c in zip(rows, marks, groups_by_hand(marks, [d for d, _ in rows]), strict=True)}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op3_simhash(spark, SF).collect()} == want
+
+
+def test_simhash_of_large_tiles(spark, monkeypatch):
+    """Many fingerprints that differ in few places: tiles dealt into cells, and blocks within them."""
+    monkeypatch.setattr(simhash, "TILE", 300)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    low = rng.integers(0, 1 << 21, 1_500, dtype=np.uint64)  # the upper segments are one tile
+    marks = np.unique(low ^ np.uint64(0x5A5A_0000_0000_0000))
+    df = spark.createDataFrame([(int(np.int64(m.view("i8"))),) for m in marks], "v long").withColumn("w0", F.col("v"))
+    roots = {r["v"]: r["root"] for r in simhash.components(simhash.near_links(df, 2)).collect()}
+    ids = [int(m.view("i8")) for m in marks]
+    assert [roots.get(i, i) for i in ids] == groups_by_hand(marks, ids)
+
+
 def similar_by_hand(texts, similarity=0.8, n=5):
     """Component (smallest position) of every text by the similarity of all pairs."""
     sets = []
@@ -184,7 +281,7 @@ def test_sift_large_tile():
     fp = fp[np.argsort(np.bitwise_count(fp).sum(axis=1), kind="stable")]
     far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2, dtype=np.int64)
     keys, root = np.zeros((len(fp), 4), np.int64), np.arange(len(fp))
-    child, parent, a, b, more = simhash.sift(keys, fp, root, 20, 60, 10_000)
+    child, parent, a, b, more = simhash.sift(keys, fp, root, 20, simhash.Bits(8, 60), 10_000)
     label = root.copy()
     simhash.join_labels(label, *np.nonzero(far <= 20))
     mine = root.copy()
@@ -200,7 +297,32 @@ def test_exact(docs, empty):
     assert got[6]["text_sha256"] == hashlib.sha256(ROWS[5][1].encode()).hexdigest()
     assert exact_dedup.exact_groups(empty).count() == 0
     p = exact_dedup.Polynomial(8)
-    assert p.of(b"some longer text") == p.of(b"some longer text"[:]) != p.of(b"some longer texu")
+    said = b"some longer text in chunks"
+    chunks = [said[i : i + 8] for i in range(0, len(said), 8)]
+    whole = 0
+    for prime, base, at in zip(exact_dedup.PRIMES, exact_dedup.BASES, (31, 0), strict=True):
+        whole |= sum((c + 1) * pow(base, len(said) - 1 - i, prime) for i, c in enumerate(said)) % prime << at
+    assert p.of(said) == whole != p.of(said[:-1] + b"t")
+    h = [(p.of_chunk(c), len(c)) for c in chunks]
+    both = lambda x, y: (p.combine(x[0], y[0], y[1]), x[1] + y[1])
+    for way in (both(both(both(h[0], h[1]), h[2]), h[3]), both(h[0], both(h[1], both(h[2], h[3]))), both(both(h[0], h[1]), both(h[2], h[3]))):
+        assert way[0][0] << 31 | way[0][1] == whole
+
+
+def test_exact_over_partitions(spark, monkeypatch):
+    """A hot text that fills several partitions, null and repeated ids, and texts of equal fingerprints."""
+    monkeypatch.setattr(exact_dedup.Polynomial, "of", lambda self, data: len(data) % 3)
+    rows = [(i, "hot") for i in range(2_000)] + [(None, "hot"), (None, None), (None, "")] + [(i % 700, f"t{i % 40}") for i in range(800)] + [(5, "y" * 300_000), (6, "y" * 299_999 + "z"), (7, "y" * 300_000)]
+    members = {}
+    for d, t in rows:
+        members.setdefault(t or "", []).append(d)
+    want = Counter()
+    for d, t in rows:
+        ids = [x for x in members[t or ""] if x is not None]
+        keep = max(ids, default=None)
+        want[d, keep, len(members[t or ""]), d == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in exact_dedup.exact_groups(df).collect()) == want
 
 
 def test_bpe(spark, docs, empty, monkeypatch):
@@ -241,6 +363,9 @@ def test_chat(spark):
     rows = [(1, 0, "user", "a\\</turn><turn:x"), (1, 1, "assistant", "\\<b\n"), (1, 2, "us\ner\\l", None), (2, 0, None, "x"), (None, 0, "assistant", "")]
     got = chat.chat_examples(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).where("whole")
     turns = {r[0]: [(t["role"], t["text"]) for t in r[1]] for r in got.select("conv_id", chat.read_turns(got["text"])).collect()}
+    singles = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn int, role string, text string")
+    assert sorted((r["text"], r["loss_len"]) for r in chat.chat_examples(singles).collect()) == [("<turn:assistant\nb</turn>\n", 1), ("<turn:user\na</turn>\n", 0), ("<turn:user\na</turn>\n", 0)]
+    assert chat.chat_examples(singles.limit(0)).count() == 0
     assert turns == {1: [("user", "a\\</turn><turn:x"), ("assistant", "\\<b\n"), ("us\ner\\l", "")], 2: [("", "x")], None: [("assistant", "")]}
 
 
@@ -316,6 +441,21 @@ def test_nearest(spark):
     assert got == want
 
 
+def test_nearest_at_its_edges(spark):
+    """Many rows of the query's own id, a repeated query, other lengths, fewer candidates than asked for, nothing."""
+    schema = "vec_id long, embedding array<float>"
+    rng = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0])] * 70 + [(0, [9.0, 0.0])] + [(i, rng.normal(size=2).tolist()) for i in range(1, 90)] + [(200, [1.0]), (201, [1.0, 2.0, 3.0]), (202, [])]
+    use = nearest.usable(spark.createDataFrame(rows, schema), "vec_id", "embedding")
+    got = [r["vec_id"] for r in nearest.nearest(use.where("id = 0"), use, 20).orderBy("rank").collect()]
+    f = np.float32
+    want = sorted((-float(f(v[0])), i) for i, v in rows if 0 < i < 200)
+    assert got == [i for _, i in want[:20]]
+    few = use.where("id IN (0, 3, 4)")
+    assert sorted(r["vec_id"] for r in nearest.nearest(few.where("id = 0"), few, 20).collect()) == [3, 4]
+    assert nearest.nearest(use.where("id = 200"), use, 5).count() == 0 and nearest.nearest(use.limit(0), use.limit(0), 5).count() == 0
+
+
 def grams_by_hand(text):
     n = Counter()
     word = ""
