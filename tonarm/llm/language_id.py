@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import make_room, spread, table
 
-#: Bound on the labelled rows that profiles are learned from, or one a language if there are more languages.
+#: Bound on the labelled rows that profiles are learned from, and so on languages: of more, the most frequent ones count.
 SAMPLE_ROWS = 20_000
 LANGUAGE_GRAMS, DOCUMENT_GRAMS = 600, 400
 
@@ -75,9 +75,9 @@ class Grams:
 def labelled(docs: DataFrame, sample_rows: int) -> DataFrame:
     """Rows to learn from: of each language all, or if it has more than its equal part of sample_rows, about so many, by a hash."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows)  # one row a language
     quota = F.greatest(F.lit(1.0), sample_rows / F.count("*").over(Window.partitionBy(F.lit(0))))
-    shares = counts.select("lang", (quota / F.col("n")).alias("share"))
+    shares = F.broadcast(counts.select("lang", (quota / F.col("n")).alias("share")))  # of sample_rows rows at most
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(2.0**53)
     return rows.join(shares, "lang").where((F.col("share") >= 1) | (chance < F.col("share")))
 
