@@ -51,21 +51,21 @@ def budgets(leaves: DataFrame, weights: dict[tuple, float], fraction: float, max
         usable = usable & (F.col(f"weight{k}") > 0)
     leaves = weighted(leaves, weights, names)
     leaves = leaves.withColumn("capacity", F.when(usable, F.col("t") * float(max_epochs)).otherwise(0.0))
-    above = leaves.agg((F.sum("t") * fraction).alias("b")).withColumn("root", F.lit(0))  # one row
-    parent = ["root"]
+    above = None
     for k in range(len(names)):
-        path = names[: k + 1]
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first(f"weight{k}").alias("weight")).withColumn("root", F.lit(0))
+        parent, path = names[:k], names[: k + 1]
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first(f"weight{k}").alias("weight"))
         live = nodes.where("capacity > 0").withColumn("full_at", F.col("capacity") / F.col("weight"))
-        steps = live.groupBy(*parent, "full_at").agg(F.sum("capacity").alias("c"), F.sum("weight").alias("w")).join(above, parent)
-        order = Window.partitionBy(*parent).orderBy("full_at")
+        steps = live.groupBy(*parent, "full_at").agg(F.sum("capacity").alias("c"), F.sum("weight").alias("w"))
+        steps = steps.join(above, parent) if parent else steps.withColumn("b", F.lit((leaves.agg(F.sum("t")).first()[0] or 0) * fraction))
+        order = Window.partitionBy(*(parent or [F.lit(0)])).orderBy("full_at")
         left = F.col("b") - F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         rate = left / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
         rates = steps.select(*parent, rate.alias("rate")).groupBy(*parent).agg(F.max("rate").alias("rate"))
-        dealt = nodes.join(rates, parent, "left")
+        # The rate of the root is one number.
+        dealt = nodes.join(rates, parent, "left") if parent else nodes.withColumn("rate", F.lit(rates.first()["rate"]).cast("double"))
         share = F.when(F.col("capacity") > 0, F.least("capacity", F.col("rate") * F.col("weight")))
-        above = dealt.select(*path, "root", F.coalesce(share, F.lit(0.0)).alias("b"))
-        parent = ["root", *path]
+        above = dealt.select(*path, F.coalesce(share, F.lit(0.0)).alias("b"))
     return leaves.select(*names, "t").join(above.select(*names, F.col("b").alias("budget")), names)
 
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[tuple, float], fraction: float, max_epoch
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
     )
     rows = stored(rows, "leaves")
-    leaf = budgets(rows.groupBy(*names).agg(F.sum("n_tokens").alias("t")), weights, fraction, max_epochs, names)
+    leaf = budgets(stored(rows.groupBy(*names).agg(F.sum("n_tokens").alias("t")), "tokens"), weights, fraction, max_epochs, names)
     budget, whole = F.floor(F.col("budget") + 1e-6), F.floor((F.col("budget") + 1e-6) / F.col("t"))
     leaf = leaf.select(*names, budget.alias("budget"), F.when(F.col("t") > 0, whole).otherwise(0).alias("epochs"), "t")
     leaf = stored(leaf.select(*names, "budget", "epochs", F.when(F.col("t") > 0, F.col("budget") - F.col("epochs") * F.col("t")).otherwise(0).alias("rest")), "budgets")
