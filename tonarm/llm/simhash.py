@@ -10,7 +10,9 @@ components job.
 
 simhash_groups takes the fingerprints' word for it. similar_groups links texts of a given similarity of their sets of
 shingles: wide fingerprints find most pairs, those that are too far apart to be surely similar are computed exactly; what
-fingerprints miss is found by the rarest shingles of each text, of which similar texts must have one in common.
+fingerprints miss is found by the rarest shingles of each text, of which similar texts must have one in common. A parity
+map of the set (one bit for each of 512 classes of shingles: whether an odd number falls into it) rules out pairs before any
+text is read: two maps differ in no more bits than the sets have elements apart.
 
 Defined cases: null text is empty; a text of fewer words than a shingle is one shingle, without words the fingerprint
 is zero and links like any other; equal rows share a fingerprint; a null doc_id takes part but names no component
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary, components, make_room, stored, table
+from .common import binary, components, make_room, spread, stored, table
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints of one tile in one task; larger tiles are dealt into pairs of parts of about this size.
@@ -60,13 +62,20 @@ def shingles_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED):
 
 
 def fingerprints_of(texts, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, distinct: bool = False):
-    """An array of a row of 64-bit words for each text (UTF-8); the first word is of the XXH64 hashes themselves. distinct: each shingle counts once."""
+    """An array of a row of 64-bit words for each text (UTF-8); the first word is of the XXH64 hashes themselves.
+
+    distinct: each shingle counts once, and the set's parity map (as many words) and its size follow.
+    """
     import numpy as np
 
-    marks = np.zeros((len(texts), words), np.uint64)
+    marks = np.zeros((len(texts), 2 * words + 1 if distinct else words), np.uint64)
     for i, text in enumerate(texts):
         h = shingles_of(text, shingle, seed)
-        h = np.unique(h) if distinct else h
+        if distinct:
+            h = np.unique(h)
+            odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+            marks[i, words:-1] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+            marks[i, -1] = len(h)
         for j in range(words):
             ones = np.zeros(64, np.int64)
             for at in range(0, len(h), 8192):
@@ -76,13 +85,13 @@ def fingerprints_of(texts, shingle: int = SHINGLE, seed: int = SEED, words: int
     return marks
 
 
-def _names(words: int) -> list[str]:
-    return [f"w{j}" for j in range(words)]
+def _names(words: int, sets: bool = False) -> list[str]:
+    return [f"w{j}" for j in range(words)] + ([*(f"p{j}" for j in range(words)), "n"] if sets else [])
 
 
 def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, distinct: bool = False, keep=("doc_id",)) -> DataFrame:
-    """Rows (keep..., w0, ...): columns of docs as longs, and each word of the fingerprint as a signed long."""
-    names = _names(words)
+    """Rows (keep..., w0, ...): columns of docs as longs, and each word of the fingerprint as a signed long; distinct: and p0, ..., n of the set."""
+    names = _names(words, distinct)
 
     def run(batches):
         import numpy as np
@@ -91,7 +100,7 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words
         make_room()
         for batch in batches:
             marks = fingerprints_of(binary(batch.column(batch.num_columns - 1)), shingle, seed, words, distinct)
-            marks = [pa.array(np.ascontiguousarray(marks[:, j]).view("i8")) for j in range(words)]
+            marks = [pa.array(np.ascontiguousarray(marks[:, j]).view("i8")) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *marks], names=[*keep, *names])
 
     return docs.select(*[F.col(c).cast("long").alias(c) for c in keep], "text").mapInArrow(run, ", ".join(f"{x} long" for x in [*keep, *names]))
@@ -165,8 +174,62 @@ def nearest_few(a, b, far, most):
     return pairs[:, 0], pairs[:, 1], x[rank == most]
 
 
-def sift(keys, fp, root, sure, radius, most):
-    """Row numbers of rows sorted as for link: links (a, b) within `sure` bits that join roots; pairs (a, b) beyond
+#: A distance beyond any radius.
+TOO_FAR = 1 << 14
+#: Sets of so many shingles at least are not similar if their fingerprints of 512 bits differ in more bits than this: at a
+#: similarity of 0.8 the mean is 78 and the deviation 8, so ten deviations away.
+MANY_SHINGLES, FAR_BITS = 100, 160
+
+
+class Bits:
+    """Distances of fingerprints, rows being in order of population count."""
+
+    def __init__(self, words: int, radius: int):
+        self.words, self.radius = words, radius
+
+    def far(self, a, b):
+        """a, b: the columns of rows, shaped to meet."""
+        import numpy as np
+
+        return sum(np.bitwise_count(a[w] ^ b[w]).astype(np.int16) for w in range(self.words))
+
+    def order(self, fp):
+        import numpy as np
+
+        return np.bitwise_count(fp[:, : self.words]).sum(axis=1, dtype=np.int64)
+
+    def beyond(self, least: int, most: int) -> bool:
+        """Whether rows from `least` on in their order are out of reach of rows up to `most`."""
+        return least - most > self.radius
+
+
+class Sets(Bits):
+    """The same where sets can be similar, and TOO_FAR where they cannot; rows in order of the sets' sizes."""
+
+    def __init__(self, words: int, similarity: float):
+        super().__init__(words, 64 * words)
+        self.similarity = similarity
+
+    def far(self, a, b):
+        import numpy as np
+
+        w, s = self.words, self.similarity
+        n, m = a[2 * w].astype(np.float32), b[2 * w].astype(np.float32)
+        apart = sum(np.bitwise_count(a[i] ^ b[i]).astype(np.int16) for i in range(w, 2 * w))
+        low = np.minimum(n, m)
+        fine = (low >= s * np.maximum(n, m) - 1e-3) & (apart * (1 + s) <= (1 - s) * (n + m) + 1e-3)
+        far = super().far(a, b)
+        return np.where(fine & ((far <= FAR_BITS * w / 8) | (low < MANY_SHINGLES)), far, TOO_FAR)
+
+    def order(self, fp):
+        return fp[:, 2 * self.words].astype("i8")
+
+    def beyond(self, least: int, most: int) -> bool:
+        return most < self.similarity * least - 1e-3
+
+
+def sift(keys, fp, root, sure, by: Bits, most):
+    """Row numbers of rows sorted by key and by by.order: links (a, b) within `sure` bits that join roots; pairs (a, b) beyond
     it and within the radius, of different components, the `most` nearest of each row and block; rows that have more."""
     import numpy as np
 
@@ -176,6 +239,7 @@ def sift(keys, fp, root, sure, radius, most):
     before = first[of]
     labels = before.copy()
     pairs = []
+    columns = list(fp.T)
 
     def take(a, b, far):
         near = far <= sure
@@ -194,22 +258,20 @@ def sift(keys, fp, root, sure, radius, most):
     mid = []
     for lag in range(1, int(sizes[small].max(initial=1))):
         a = np.flatnonzero(run[:-lag] == run[lag:])
-        far = np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64)
-        a, far = a[far <= radius], far[far <= radius]
+        far = by.far([c[a] for c in columns], [c[a + lag] for c in columns]).astype(np.int64)
+        a, far = a[far <= by.radius], far[far <= by.radius]
         mid.append(take(a, a + lag, far))
     if mid:
         add(*(np.concatenate(x) for x in zip(*mid, strict=True)))
     for at, n in zip(starts[~small], sizes[~small], strict=True):
-        tile = fp[at : at + n]
-        ones = np.bitwise_count(tile).sum(axis=1, dtype=np.int64)
+        tile = [c[at : at + n] for c in columns]
+        order = by.order(fp[at : at + n])
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
-                if ones[j] - ones[min(i + BLOCK, n) - 1] > radius:
+                if by.beyond(order[j], order[min(i + BLOCK, n) - 1]):
                     break
-                far = 0
-                for w in range(tile.shape[1]):
-                    far = far + np.bitwise_count(tile[i : i + BLOCK, w][:, None] ^ tile[None, j : j + BLOCK, w]).astype(np.int16)
-                a, b = np.nonzero(far <= radius)
+                far = by.far([c[i : i + BLOCK, None] for c in tile], [c[None, j : j + BLOCK] for c in tile])
+                a, b = np.nonzero(far <= by.radius)
                 far, a, b = far[a, b].astype(np.int64), a + i, b + j
                 ahead = a < b
                 add(*take(a[ahead] + at, b[ahead] + at, far[ahead]))
@@ -272,7 +334,7 @@ def tile_links(radius: int):
 SURE, PAIR, MORE = 0, 1, 2
 
 
-def tile_pairs(sure: int, radius: int, most: int):
+def tile_pairs(sure: int, by: Bits, most: int):
     """Over the same rows: sift's findings as (a, b, kind) of vertices."""
 
     def run(batches):
@@ -280,7 +342,7 @@ def tile_pairs(sure: int, radius: int, most: int):
         import pyarrow as pa
 
         def work(keys, v, root, fp):
-            child, parent, a, b, more = sift(keys, fp, root, sure, radius, most)
+            child, parent, a, b, more = sift(keys, fp, root, sure, by, most)
             kind = np.repeat(np.array([SURE, PAIR, MORE], np.int32), [len(child), len(a), len(more)])
             a, b = v[np.r_[child, a, more]], v[np.r_[parent, b, more]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(kind)], names=["a", "b", "kind"])
@@ -303,15 +365,15 @@ def tiles(marks: DataFrame, words: int, segments: int) -> DataFrame:
     return cells(marks.select("v", "root", *names, F.explode(F.array(*parts)).alias("t")).select("t.*", "v", "root", *names), names)
 
 
-def cells(dealt: DataFrame, names: list[str]) -> DataFrame:
-    """dealt: rows (seg, key, v, root, words...). Rows (seg, key, x, y, v, root, words...) sorted by tile."""
+def cells(dealt: DataFrame, names: list[str], order=None) -> DataFrame:
+    """dealt: rows (seg, key, v, root, words...). Rows (seg, key, x, y, v, root, words...) sorted by tile, then by order or else by population count."""
     sizes = dealt.groupBy("seg", "key").count().where(F.col("count") > TILE)
     # A large tile becomes cells of two parts each, so that no task holds it whole.
     met = dealt.join(sizes, ["seg", "key"], "left").withColumn("m", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("long"))
     met = met.withColumn("p", F.pmod(F.xxhash64("v"), F.col("m"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     keys = ["seg", "key", "x", "y"]
     met = met.select("seg", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "v", "root", *names)
-    ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
+    ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0])) if order is None else F.col(order)
     return met.repartition(*keys).sortWithinPartitions(*keys, ones, *names)
 
 
@@ -338,6 +400,17 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 FEW_ENDS = 500_000
 
 
+def plausible(pairs: DataFrame, marks: DataFrame, similarity: float, words: int) -> DataFrame:
+    """pairs without those whose sizes or parity maps rule the similarity out."""
+    names = [*(f"p{j}" for j in range(words)), "n"]
+    side = lambda end: marks.select(F.col("v").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in names])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = sum(F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(words))
+    n, m = F.col("n_a"), F.col("n_b")
+    fine = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-9)
+    return met.where(fine).select("a", "b")
+
+
 def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """Those of pairs (a, b) whose sets of shingles have at least this Jaccard similarity, computed exactly."""
 
@@ -486,44 +559,46 @@ def rarest(texts: DataFrame, similarity: float, shingle: int, seed: int) -> Data
     return met.where(F.col("rank") <= F.col("k") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("t", "h")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, segments: int = 40, sure: int = 48, radius: int = 120, most: int = 4, seed: int = SEED) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, segments: int = 32, sure: int = 48, radius: int = 88, most: int = 4, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, text_hash, root, component_id), one per input row: components of texts whose sets of shingles are similar.
 
     text_hash is the text's XXH64, root a number of the component; component_id, its smallest doc_id, is null if all are.
 
     Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
-    radius are computed exactly. A round checks the `most` nearest pairs of each row and block between components, joins
-    what is similar, and a next round with 64 times as many looks only at rows that had more, so that no pair that tiles hold is
-    left out and large groups of similar texts do not make all their pairs. Tiles of segments come first; tiles of the
-    rarest shingles then hold all similar pairs, whatever their fingerprints, and only pairs of different components are looked at.
+    radius are computed exactly. Tiles of segments come first, once: of each row and block they give the `most` nearest pairs between
+    components, and so join most of what is similar at little cost. Tiles of the rarest shingles then hold all similar pairs,
+    whatever their fingerprints; only pairs of different components that sizes and parity maps leave open are looked at, the `most`
+    nearest of each row and block, and in a next round 64 times as many of the rows that had more, so that no pair is left
+    out and large groups of similar texts do not make all their pairs.
     """
-    names = _names(words)
+    names, sets = _names(words), _names(words, True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     rows = fingerprint(texts, shingle, seed, words, True, ("doc_id", "t"))
     rows = stored(rows.withColumn("v", F.xxhash64(*names)), "fingerprints")
-    marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in names]), "marks")
+    marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in sets]), "marks")
     roots, tested = None, None
 
-    def rounds(deal, radius: int, most: int) -> None:
+    def rounds(deal, by: Bits, most: int, again: bool) -> None:
         nonlocal roots, tested
         live = marks if roots is None else marks.join(roots, "v", "left")
         live = live.withColumn("root", F.col("v") if roots is None else F.coalesce("root", "v"))
         while True:
-            found = stored(deal(live).mapInArrow(tile_pairs(sure, radius, most), "a long, b long, kind int"), "found")
+            found = stored(deal(live).mapInArrow(tile_pairs(sure, by, most), "a long, b long, kind int"), "found")
             pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
             pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.union(pairs)
-            linked = found.where(F.col("kind") == SURE).select("a", "b").union(similar_pairs(pairs, marks, texts, similarity, shingle, seed))
-            linked = stored(linked, "links")
+            linked = found.where(F.col("kind") == SURE).select("a", "b")
+            open_ = stored(plausible(pairs, marks, similarity, words), "plausible")
+            linked = stored(linked.union(similar_pairs(open_, marks, texts, similarity, shingle, seed)), "links")
             # Components so far stand for the links of earlier rounds.
             roots = stored(components(linked if roots is None else linked.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), "roots")
             more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
-            if more.isEmpty():
+            if not again or more.isEmpty():
                 break
             live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
             most *= 64
 
-    rounds(lambda live: tiles(live, words, segments), radius, most)
+    rounds(lambda live: tiles(live, words, segments), Bits(words, radius), most, False)
     first = rarest(texts, similarity, shingle, seed).join(rows.select("t", "v").distinct(), "t").select("v", "h").distinct()
     first = stored(first, "rarest")
 
@@ -531,16 +606,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
         dealt = first.join(live.select("v", "root"), "v")
         apart = dealt.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
         dealt = stored(dealt.join(apart, "h", "left_semi").select("v", "h"), "apart").join(live, "v")
-        return cells(dealt.select(F.lit(-1).cast("long").alias("seg"), F.col("h").alias("key"), "v", "root", *names), names)
+        return cells(dealt.select(F.lit(-1).cast("long").alias("seg"), F.col("h").alias("key"), "v", "root", *sets), sets, "n")
 
-    rounds(by_shingle, 64 * words, most)
+    rounds(by_shingle, Sets(words, similarity), most, True)
     rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("v", "root", "component_id"), "v").select("doc_id", F.col("t").alias("text_hash"), "root", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = simhash_groups(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
