@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tonarm import ship
 from tonarm.llm.bpe import encode_decode
-from tonarm.llm.common import new_path, semi, step, stored
+from tonarm.llm.common import new_path, semi, spread, step, stored
 from tonarm.llm.language_id import identify, learn_profiles
 from tonarm.llm.line_dedup import line_dedup
 from tonarm.llm.mixing import WEIGHTS, mix, text_hash, with_domain
@@ -22,7 +22,7 @@ from tonarm.llm.simhash import similar_groups
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates' sets of five-word shingles have a Jaccard similarity of 0.8 or more; their cosine is then 0.89 at
 #: least, at which 78 of 512 bits differ on average, with a deviation of 8.
-NEAR = {"similarity": 0.8, "shingle": 5, "words": 8, "segments": 40, "sure": 48, "radius": 120}
+NEAR = {"similarity": 0.8, "shingle": 5, "words": 8, "segments": 32, "sure": 48, "radius": 88}
 #: The share of all tokens that the mixture takes, without repeating any document.
 MIX_FRACTION = 0.9
 TOKENIZER = "word_bpe_49k.json"
@@ -99,7 +99,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (_, stage) in enumerate(STAGES):
         if i == len(STAGES) - 1:
             return stage(spark, docs, sf_dir)
