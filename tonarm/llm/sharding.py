@@ -94,8 +94,8 @@ def cuts(at: DataFrame, dims, weight: str, search: dict[int, dict], slack: float
     found: dict[int, tuple[float, float]] = {}
     search = {n: {"below": 0.0, "value": None, **s} for n, s in search.items()}
     while search:
-        rows = [(n, s["dim"], float(s["goal"]), float(s["lo"]), float(s["hi"]), float(s["below"]), s["value"]) for n, s in search.items()]
-        asked = at.sparkSession.createDataFrame(rows, "node int, dim int, goal double, lo double, hi double, below double, value double")
+        given = [F.struct(F.lit(n).alias("node"), *[F.lit(s[x]).alias(x) for x in ("dim", "goal", "lo", "hi", "below")], F.lit(s["value"]).cast("double").alias("value")) for n, s in search.items()]
+        asked = at.sparkSession.range(1).select(F.inline(F.array(*given)))  # a row for each open node
         met = at.join(F.broadcast(asked), "node").withColumn("d", F.get(F.array(*dims), F.col("dim")))
         met = met.withColumn("v", F.when(F.col("value").isNull(), F.col("d")).when(F.col("d") == F.col("value"), F.col("tie"))).where("v BETWEEN lo AND hi")
         part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))).otherwise(0)
@@ -134,7 +134,7 @@ def kd_tree(points: DataFrame, dims, weight: str, shards: int) -> list[Node]:
         for n, r in spans.items():
             dim = max(range(len(dims)), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"]) / widths[i])  # noqa: B023
             k = tree[n].shards
-            search[n] = {"dim": dim, "goal": r["w"] * (k // 2) / k, "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"], "ties": r["ties"]}
+            search[n] = {"dim": dim, "goal": float(r["w"] * (k // 2) / k), "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"], "ties": r["ties"]}
         level = []
         for n, (cut, tie) in cuts(at, dims, weight, search, SLACK * target).items():
             node, k = tree[n], tree[n].shards // 2
