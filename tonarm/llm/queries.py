@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tonarm import shipped
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, nearest, sharding, simhash, substring_dedup
+from . import bpe, chat, exact_dedup, language_id, lexical_search, line_dedup, mixing, nearest, periodic_runs, sharding, simhash, substring_dedup, token_counts
 
 MODULES = {
     "op1_substring_dedup": (substring_dedup, substring_dedup.op1_substring_dedup),
@@ -17,6 +17,9 @@ MODULES = {
     "op8_sharding": (sharding, sharding.op8_sharding),
     "op9_nearest": (nearest, nearest.op9_nearest),
     "op10_language": (language_id, language_id.op10_language),
+    "op11_lexical_search": (lexical_search, lexical_search.op11_lexical_search),
+    "op12_periodic_runs": (periodic_runs, periodic_runs.op12_periodic_runs),
+    "op13_token_counts": (token_counts, token_counts.op13_token_counts),
 }
 
 
