@@ -9,8 +9,8 @@ are skipped. A tile returns a spanning forest of its links, never all pairs; for
 components job.
 
 simhash_groups takes the fingerprints' word for it. similar_groups links texts of a given similarity of their sets of
-shingles: wide fingerprints find most pairs, those that are too far apart to be surely similar are computed exactly; what
-fingerprints miss is found by the rarest shingles of each text, of which similar texts must have one in common. A parity
+shingles, every link computed exactly: wide fingerprints find most pairs; what they miss is found by the rarest shingles of
+each text, of which similar texts must have one in common. A parity
 map of the set (one bit for each of 512 classes of shingles: whether an odd number falls into it) rules out pairs before any
 text is read: two maps differ in no more bits than the sets have elements apart.
 
@@ -176,9 +176,6 @@ def nearest_few(a, b, far, most):
 
 #: A distance beyond any radius.
 TOO_FAR = 1 << 14
-#: Sets of so many shingles at least are not similar if their fingerprints of 512 bits differ in more bits than this: at a
-#: similarity of 0.8 the mean is 78 and the deviation 8, so ten deviations away.
-MANY_SHINGLES, FAR_BITS = 100, 160
 
 
 class Bits:
@@ -218,8 +215,7 @@ class Sets(Bits):
         apart = sum(np.bitwise_count(a[i] ^ b[i]).astype(np.int16) for i in range(w, 2 * w))
         low = np.minimum(n, m)
         fine = (low >= s * np.maximum(n, m) - 1e-3) & (apart * (1 + s) <= (1 - s) * (n + m) + 1e-3)
-        far = super().far(a, b)
-        return np.where(fine & ((far <= FAR_BITS * w / 8) | (low < MANY_SHINGLES)), far, TOO_FAR)
+        return np.where(fine, super().far(a, b), TOO_FAR)
 
     def order(self, fp):
         return fp[:, 2 * self.words].astype("i8")
@@ -564,32 +560,31 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
 
     text_hash is the text's XXH64, root a number of the component; component_id, its smallest doc_id, is null if all are.
 
-    Fingerprints are of distinct shingles. Those within `sure` bits are linked outright; pairs beyond it and within the
-    radius are computed exactly. Tiles of segments come first, once: of each row and block they give the `most` nearest pairs between
-    components, and so join most of what is similar at little cost. Tiles of the rarest shingles then hold all similar pairs,
+    Every link is computed exactly; fingerprints, of distinct shingles, only say what is computed first. Tiles of segments
+    come first, once: of fingerprints within `sure` bits they give a spanning forest, beyond it and within the radius the `most`
+    nearest pairs of each row and block, and so join most of what is similar at little cost. Tiles of the rarest shingles then hold all similar pairs,
     whatever their fingerprints; only pairs of different components that sizes and parity maps leave open are looked at, the `most`
     nearest of each row and block, and in a next round 64 times as many of the rows that had more, so that no pair is left
     out and large groups of similar texts do not make all their pairs.
     """
-    names, sets = _names(words), _names(words, True)
+    sets = _names(words, True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     rows = fingerprint(texts, shingle, seed, words, True, ("doc_id", "t"))
-    rows = stored(rows.withColumn("v", F.xxhash64(*names)), "fingerprints")
+    rows = stored(rows.withColumn("v", F.xxhash64(*sets)), "fingerprints")
     marks = stored(rows.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *[F.first(n).alias(n) for n in sets]), "marks")
     roots, tested = None, None
 
-    def rounds(deal, by: Bits, most: int, again: bool) -> None:
+    def rounds(deal, by: Bits, sure: int, most: int, again: bool) -> None:
         nonlocal roots, tested
         live = marks if roots is None else marks.join(roots, "v", "left")
         live = live.withColumn("root", F.col("v") if roots is None else F.coalesce("root", "v"))
         while True:
             found = stored(deal(live).mapInArrow(tile_pairs(sure, by, most), "a long, b long, kind int"), "found")
-            pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+            pairs = found.where(F.col("kind") != MORE).select("a", "b").distinct()
             pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.union(pairs)
-            linked = found.where(F.col("kind") == SURE).select("a", "b")
             open_ = stored(plausible(pairs, marks, similarity, words), "plausible")
-            linked = stored(linked.union(similar_pairs(open_, marks, texts, similarity, shingle, seed)), "links")
+            linked = stored(similar_pairs(open_, marks, texts, similarity, shingle, seed), "links")
             # Components so far stand for the links of earlier rounds.
             roots = stored(components(linked if roots is None else linked.union(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), "roots")
             more = found.where(F.col("kind") == MORE).select(F.col("a").alias("v")).distinct()
@@ -598,7 +593,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
             live = marks.join(more, "v", "left_semi").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
             most *= 64
 
-    rounds(lambda live: tiles(live, words, segments), Bits(words, radius), most, False)
+    rounds(lambda live: tiles(live, words, segments), Bits(words, radius), sure, most, False)
     first = rarest(texts, similarity, shingle, seed).join(rows.select("t", "v").distinct(), "t").select("v", "h").distinct()
     first = stored(first, "rarest")
 
@@ -608,7 +603,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, w
         dealt = stored(dealt.join(apart, "h", "left_semi").select("v", "h"), "apart").join(live, "v")
         return cells(dealt.select(F.lit(-1).cast("long").alias("seg"), F.col("h").alias("key"), "v", "root", *sets), sets, "n")
 
-    rounds(by_shingle, Sets(words, similarity), most, True)
+    # No pair stands for others here: a forest's edge that fails would hide them.
+    rounds(by_shingle, Sets(words, similarity), -1, most, True)
     rooted = marks.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("v", "root", "component_id"), "v").select("doc_id", F.col("t").alias("text_hash"), "root", "component_id")
