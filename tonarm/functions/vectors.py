@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonarm.functions.stem import once
+
 
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -19,9 +21,13 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    """v / max(|v|, eps): a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    """v / max(|v|, eps): a zero vector stays zero. The norm is computed once, not for each element."""
+    return once(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+
+def unit_dot(unit: Column, v: Column, eps: float = 1e-12) -> Column:
+    """The inner product of a vector of length one and v scaled to length one, without scaling it."""
+    return dot(unit, v) / F.greatest(norm(v), F.lit(eps))
 
 
 def align(v: Column, size: int | Column) -> Column:

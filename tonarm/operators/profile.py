@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonarm.storage import stored
+
 
 def column_profile(df: DataFrame, columns=None) -> DataFrame:
     """Rows (column_name, non_null, nulls), from one aggregation over the table."""
@@ -57,15 +59,25 @@ def combinations(df: DataFrame, tags: str) -> DataFrame:
 
 
 def top_items(df: DataFrame, items: Column, name: str, n: int) -> DataFrame:
-    """The n most frequent items of lists; ties by item."""
-    return df.select(F.explode(items).alias(name)).where(F.col(name) != "").groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
-
-
-def tfidf(df: DataFrame, key: str, tokens: Column, top: int = 5) -> DataFrame:
-    """Rows (key, token, tf, df, weight, rank): tf * (ln((1 + N) / (1 + df)) + 1), the top tokens of each document; N counts documents with tokens or without."""
-    docs = df.select(key, tokens.alias("_t"))
-    tf = docs.select(key, F.explode("_t").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n_docs"))
+    """The n most frequent items of lists; ties by item. Empty items go after the counts, so no filter makes the lists a second time."""
+    counts = df.select(F.explode_outer(items).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    return counts.where(F.col(name) != "").orderBy(F.desc("n"), name).limit(n)
+
+
+def tfidf(df: DataFrame, key: str, tokens: Column, top: int = 5, stemmer=None) -> DataFrame:
+    """Rows (key, token, tf, df, weight, rank): tf * (ln((1 + N) / (1 + df)) + 1), the top tokens of each document; N counts documents with tokens or without.
+
+    Texts are tokenised once: counts by document are stored, and counts of documents come from them. With a stemmer (a
+    function of a column) tokens of one stem count together; it sees each distinct token once.
+    """
+    # explode_outer: the null of a list without tokens goes after the exchange, so no filter tokenises a second time.
+    tf = df.select(key, F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count("token").alias("tf"))
+    tf = stored(tf, "tf").where("token IS NOT NULL")
+    if stemmer is not None:
+        named = tf.select("token").distinct().select("token", stemmer(F.col("token")).alias("_stem"))
+        tf = tf.join(named, "token").groupBy(key, F.col("_stem").alias("token")).agg(F.sum("tf").alias("tf"))
+        tf = stored(tf, "stems")
+    n = df.agg(F.count("*").alias("n_docs"))
     per_token = tf.groupBy("token").agg(F.count("*").alias("df"))
     met = tf.join(per_token, "token").crossJoin(F.broadcast(n))  # one row
     weight = F.round(F.col("tf") * (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0), 6)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tonarm.functions import stem as st
 from tonarm.functions import tags as tg
 from tonarm.functions import text as tx
 from tonarm.functions import vectors as vc
@@ -15,6 +16,7 @@ from tonarm.operators import catalogue as cat
 from tonarm.operators import jobs, profile
 from tonarm.operators import retrieval as ret
 from tonarm.plans import keyword_sql as kq
+from tonarm.plans import stem_sql as sq
 from tonarm.sources import files as fs
 from tonarm.storage import new_path, spread
 
@@ -397,6 +399,42 @@ def tfidf_keywords(spark, sf_dir):
     return profile.tfidf(docs, "doc_id", tx.clean_and_tokenize(F.col("text")), 5)
 
 
+# Stems of words
+
+_STEMS_SQL = f"{_TOKENS_SQL}, u AS (SELECT doc_id, unnest(l) AS token FROM k), {sq.stems('u', 'z')}"
+
+
+@query(f"WITH {_STEMS_SQL} SELECT token, any_value(stem) AS stem, count(*) AS n FROM u JOIN z USING (token) GROUP BY 1")
+def stemmed_tokens(spark, sf_dir):
+    """All tokens of texts with their stems and counts: counted first, so that each is stemmed once."""
+    docs = spread(_t(spark, sf_dir, "documents").select("text"))
+    counts = docs.select(F.explode_outer(tx.clean_and_tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.where("token IS NOT NULL").select("token", st.stem(F.col("token")).alias("stem"), "n")
+
+
+@query(f"""WITH {_STEMS_SQL}, tf AS (SELECT doc_id, stem AS token, count(*) AS tf FROM u JOIN z USING (token) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT doc_id, token, tf, df, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE), 6) AS weight FROM tf JOIN df USING (token)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token)::INTEGER AS rank FROM w)
+SELECT doc_id, token, tf, df, weight, rank FROM r WHERE rank <= 5""")
+def tfidf_stems(spark, sf_dir):
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return profile.tfidf(docs, "doc_id", tx.clean_and_tokenize(F.col("text")), 5, st.stem)
+
+
+_ENGLISH = ("relaxing", "energetic", "melancholic", "happiness", "guitars", "drums", "dancing", "dances", "voices")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, list_concat(string_split(p_name, ' '), [['{"', '".join(_ENGLISH)}'][(p_size % {len(_ENGLISH)} + 1)::INTEGER], 'dances']) AS l FROM part),
+u AS (SELECT p_partkey, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM s), {sq.stems('u', 'z')},
+f AS (SELECT p_partkey, stem, min(pos) AS pos FROM u JOIN z USING (token) GROUP BY ALL) SELECT p_partkey, string_agg(stem, '|' ORDER BY pos) AS tags FROM f GROUP BY 1""")
+def tag_stems(spark, sf_dir):
+    """Words of the name and a tag, stemmed, repeats dropped after the first."""
+    extra = F.element_at(F.array(*[F.lit(x) for x in _ENGLISH]), (F.col("p_size") % len(_ENGLISH) + 1).cast("int"))
+    tags = F.concat(F.split("p_name", " "), F.array(extra, F.lit("dances")))
+    return _t(spark, sf_dir, "part").select("p_partkey", _joined(st.stems(tags)).alias("tags"))
+
+
 # Corpus of texts
 
 
