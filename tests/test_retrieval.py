@@ -1,18 +1,24 @@
 import os
+import time
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tonarm.functions.vectors import l2_normalize
 from tonarm.operators import retrieval
 
 DIR = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
-@pytest.mark.parametrize("name", ["batch_shortlist_hundredth", "batch_recommend_hundredth"])
-def test_all_prompts_in_slices(spark, monkeypatch, name):
-    monkeypatch.setattr(retrieval, "PROMPTS", 2)  # several slices
+@pytest.mark.parametrize("name", ["batch_shortlist_hundredth", "batch_recommend_hundredth", "batch_shortlist", "batch_recommend"])
+def test_all_prompts_in_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(retrieval, "PROMPTS", 2)  # several blocks of prompts and of vectors
+    monkeypatch.setattr(retrieval, "CELL", 150)
+    monkeypatch.setattr(retrieval, "VECTORS", 40)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DIR}/embeddings.parquet'")
     want = con.sql(entry.oracle_sql()[name])
@@ -37,6 +43,49 @@ def test_prompts_without_answers(spark, monkeypatch):
     assert [(r["index"], r["caption"]) for r in got] == [(1, "x"), (4, None)]
 
 
+def test_block_join_of_ties(spark, monkeypatch):
+    """Many equal scores, vectors of several sizes, more prompts than a block: against all pairs by hand."""
+    monkeypatch.setattr(retrieval, "PROMPTS", 3)
+    monkeypatch.setattr(retrieval, "CELL", 11)
+    monkeypatch.setattr(retrieval, "VECTORS", 4)
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.integers(-1, 2, 3 + i % 3).astype(float) for i in range(70)}
+    asked = {1000 + i: rng.integers(-1, 2, 4).astype(float) for i in range(10)}
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + [(500, None)], "index long, embedding array<double>").repartition(3)
+    prompts = spark.createDataFrame([(i, v.tolist()) for i, v in asked.items()], "prompt_id long, embedding array<float>")
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    want = {}
+    for p, q in asked.items():
+        scored = sorted((-round(float(unit(np.r_[q, 0.0][: len(v)]) @ unit(v)), 9), i) for i, v in vectors.items())
+        want[p] = [-s for s, _ in scored[:6]]
+    got = {}
+    for r in retrieval.batch_shortlist(corpus, prompts, 6).orderBy("prompt_id", "rank").collect():
+        got.setdefault(r["prompt_id"], []).append(round(r["score"], 9))
+    assert got == want
+
+
+def test_prompts_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """However many blocks of prompts there are, the plan scans the corpus once and broadcasts nothing."""
+    monkeypatch.setattr(retrieval, "PROMPTS", 2)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "index long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "v"))
+    corpus = spark.read.parquet(str(tmp_path / "v"))
+    plan = retrieval.batch_shortlist(corpus, df.where("index % 5 = 0").withColumnRenamed("index", "prompt_id"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Broadcast" not in plan
+
+
+def test_normalize_is_linear(spark):
+    """Eight times the numbers take about eight times as long, not 64 times."""
+    took = {}
+    for size in (64, 512):
+        df = spark.range(2_000, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda x: (x + F.col("id")).cast("float")).alias("v"))
+        for _ in range(2):  # the first run compiles
+            began = time.perf_counter()
+            df.select(l2_normalize(F.col("v"))).write.format("noop").mode("overwrite").save()
+            took[size] = time.perf_counter() - began
+    assert took[512] < 30 * max(took[64], 0.1)
+
+
 def test_meta_index(spark):
     from tonarm.operators.catalogue import meta_index
 

@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonarm.functions.vectors import align, dot, l2_normalize
+from tonarm.functions.vectors import align, l2_normalize, unit_dot
 
-#: About so many prompts are sent to every task at a time (8 MB at 512 numbers each); more are searched in slices.
-PROMPTS = 2_000
+#: About so many prompts, and so many vectors of the corpus, meet in a cell of a batch.
+PROMPTS, CELL = 2_000, 100_000
 SHORTLIST, TOP = 300, 5
 #: Candidates of a batch up to this size, known from the number of prompts, are broadcast to the vectors they are joined to.
 BROADCAST_BYTES = 64 << 20
-#: Vectors that meet all prompts of a slice in one product.
+#: Vectors that meet all prompts of a cell in one product.
 VECTORS = 2_000
 
 
+def _met_score(q: str = "_q", unit: str = "_u"):
+    """The score of the column embedding: the prompt q, whose unit vector stands beside it, is cut or filled up to the vector's size."""
+    size = F.size("embedding")
+    fit = F.when(F.size(q) == size, F.col(unit)).otherwise(l2_normalize(align(F.col(q), size)))
+    return unit_dot(fit, F.col("embedding"))
+
+
 def _score(corpus: DataFrame, prompt: DataFrame) -> DataFrame:
     """Rows (index, score): the prompt cut or filled up to the vectors' size, both of length one."""
-    one = prompt.select(F.col("embedding").alias("_q")).limit(1)
-    met = corpus.crossJoin(F.broadcast(one))  # one row
-    size = F.size("embedding")
-    q = F.when(F.size("_q") == size, F.col("_q")).otherwise(align(F.col("_q"), size))
-    return met.select("index", dot(l2_normalize(q), l2_normalize(F.col("embedding"))).alias("score"))
+    one = prompt.limit(1).select(F.col("embedding").alias("_q"), l2_normalize(F.col("embedding")).alias("_u"))
+    return corpus.crossJoin(F.broadcast(one)).select("index", _met_score().alias("score"))  # one row
 
 
 def shortlist(corpus: DataFrame, prompt: DataFrame, n: int = SHORTLIST) -> DataFrame:
@@ -36,7 +40,7 @@ def shortlist(corpus: DataFrame, prompt: DataFrame, n: int = SHORTLIST) -> DataF
 
 def rerank(candidates: DataFrame, corpus: DataFrame, prompt: DataFrame, unprocessed: str = "zero") -> DataFrame:
     """Candidates (index) scored anew in corpus: ids outside it drop out of an inner join; with `zero` a null vector scores 0."""
-    met = corpus.join(F.broadcast(candidates.select("index").distinct()), "index")  # candidates: a shortlist
+    met = corpus.join(candidates.select("index").distinct(), "index")
     scored = _score(met, prompt)
     return scored.na.fill(0.0, ["score"]) if unprocessed == "zero" else scored.where(F.col("score").isNotNull())
 
@@ -66,57 +70,121 @@ def one_each(prompts: DataFrame) -> DataFrame:
     return usable.groupBy("prompt_id").agg(F.min("embedding").alias("embedding"))
 
 
-def _search(corpus: DataFrame, prompts: DataFrame, n: int) -> DataFrame:
-    """Rows (prompt_id, index, score): the best n of each task for each of a slice of prompts."""
-    rows = prompts.select("prompt_id", F.col("embedding").cast("array<double>").alias("v")).collect()
-    sent = corpus.sparkSession.sparkContext.broadcast(([r["prompt_id"] for r in rows], [r["v"] for r in rows]))
+def _grid(n_prompts: int, n_vectors: int, least: int) -> tuple[int, int]:
+    """Blocks of the corpus and blocks of prompts, so that cells are bounded and there are `least` cells at least."""
+    columns = max(1, -(-n_prompts // PROMPTS))
+    return max(1, -(-n_vectors // CELL), -(-least // columns)), columns
+
+
+class _Best:
+    """The n best of each prompt of a cell."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.n, self.asked, self.ids, self.units = n, [], [], {}
+        self.best: list = []
+        self.empty = (np.zeros(0), np.zeros(0, np.int64))
+
+    def ask(self, ids, vectors) -> None:
+        self.ids += ids.tolist()
+        self.asked += list(vectors)
+        self.units = {}
+
+    def prompts(self, size: int):
+        """Unit vectors of all prompts, cut or filled up to size."""
+        import numpy as np
+
+        if size not in self.units:
+            q = np.zeros((len(self.asked), size))
+            for i, v in enumerate(self.asked):
+                q[i, : min(size, len(v))] = v[:size]
+            self.units[size] = unit_rows(q)
+        return self.units[size]
+
+    def meet(self, ids, vectors) -> None:
+        import numpy as np
+
+        if not self.ids:
+            return
+        self.best = self.best or [self.empty] * len(self.ids)
+        x = unit_rows(vectors.astype(float))
+        for at in range(0, len(x), VECTORS):
+            scores, names = self.prompts(x.shape[1]) @ x[at : at + VECTORS].T, ids[at : at + VECTORS]
+            least = np.array([s[-1] if len(s) == self.n else -np.inf for s, _ in self.best])
+            better = scores >= least[:, None]
+            for i in np.flatnonzero(better.any(axis=1)):
+                s, a = np.r_[self.best[i][0], scores[i][better[i]]], np.r_[self.best[i][1], names[better[i]]]
+                if len(s) > 4 * self.n:  # the bound is kept with its ties
+                    keep = s >= -np.partition(-s, self.n - 1)[self.n - 1]
+                    s, a = s[keep], a[keep]
+                order = np.lexsort((a, -s))[: self.n]
+                self.best[i] = (s[order], a[order])
+
+    def rows(self):
+        import numpy as np
+        import pyarrow as pa
+
+        if self.best:
+            ids = np.repeat(self.ids, [len(s) for s, _ in self.best])
+            scores, names = (np.concatenate(x) for x in zip(*self.best, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(scores)], names=["prompt_id", "index", "score"])
+
+
+def unit_rows(x):
+    import numpy as np
+
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
+def _cells(n: int):
+    """Over rows (r, c, kind, size, id, embedding) sorted by the first four, prompts before vectors: each cell's n best of each prompt."""
 
     def run(batches):
         import numpy as np
-        import pandas as pd
-
-        def unit(x):
-            return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-
-        names, asked = sent.value
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
-        q, size = None, None
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            for at in range(0, len(pdf), VECTORS):
-                part = pdf.iloc[at : at + VECTORS]
-                x = unit(np.stack([np.asarray(v, float) for v in part["embedding"]]))
-                if size != x.shape[1]:  # prompts of other sizes are cut or filled up
-                    size = x.shape[1]
-                    q = unit(np.array([np.r_[v[:size], np.zeros(max(0, size - len(v)))] for v in asked]).reshape(-1, size))
-                scores, ids = q @ x.T, part["index"].to_numpy()
-                for i in range(len(names)):
-                    s, a = np.r_[best[i][0], scores[i]], np.r_[best[i][1], ids]
-                    if len(s) > 4 * n:  # the bound is kept with its ties
-                        keep = s >= -np.partition(-s, n - 1)[n - 1]
-                        s, a = s[keep], a[keep]
-                    order = np.lexsort((a, -s))[:n]
-                    best[i] = (s[order], a[order])
-        for name, (s, a) in zip(names, best, strict=True):
-            yield pd.DataFrame({"prompt_id": name, "index": a, "score": s})
-
-    return corpus.select("index", "embedding").mapInPandas(run, "prompt_id long, index long, score double")
+
+        open_, best = None, None
+        for batch in batches:
+            r, c, kind, size, ids, vectors = batch.columns
+            keys = np.stack([x.to_numpy() for x in (r, c, kind, size)], axis=1)
+            cuts = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1), True]) if len(keys) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                cell = tuple(keys[a, :2])
+                if cell != open_:
+                    if best is not None:
+                        yield from best.rows()
+                    open_, best = cell, _Best(n)
+                part = vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, keys[a, 3])
+                (best.meet if keys[a, 2] else best.ask)(ids.slice(a, b - a).to_numpy(), part)
+        if best is not None:
+            yield from best.rows()
+
+    return run
+
+
+def _search(corpus: DataFrame, prompts: DataFrame, n: int) -> DataFrame:
+    """Rows (prompt_id, index, score): a block of prompts and a block of the corpus meet in each cell, which returns the n best of its prompts."""
+    spark = corpus.sparkSession
+    corpus = corpus.where("embedding IS NOT NULL")
+    rows, columns = _grid(prompts.count(), corpus.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = ["r", "c", "kind", F.size("embedding").alias("size"), "id", "embedding"]
+    asked = prompts.select(every(rows).alias("r"), block("prompt_id", columns).alias("c"), F.lit(0).alias("kind"), F.col("prompt_id").cast("long").alias("id"), "embedding")
+    there = corpus.select(block("index", rows).alias("r"), every(columns).alias("c"), F.lit(1).alias("kind"), F.col("index").cast("long").alias("id"), "embedding")
+    met = asked.select(own).union(there.select(own)).repartition(rows * columns, "r", "c").sortWithinPartitions("r", "c", "kind", "size")
+    return met.mapInArrow(_cells(n), "prompt_id long, index long, score double")
 
 
 def batch_shortlist(corpus: DataFrame, prompts: DataFrame, n: int = SHORTLIST) -> DataFrame:
-    """Rows (prompt_id, rank, index, score): all prompts (prompt_id, embedding) at once, a product of matrices for each Arrow batch.
+    """Rows (prompt_id, rank, index, score): all prompts (prompt_id, embedding) at once, in one pass over the corpus.
 
-    At most n rows a prompt leave a task. Prompts are searched in slices of about PROMPTS, each a pass over the corpus, whose
-    vectors never move. Prompts without an id or a vector have no rows, those of a repeated id are one (`one_each`).
+    A block join: prompts and vectors are dealt to blocks by a hash of their ids, every block of prompts meets every block of
+    the corpus in a cell of bounded size, by products of matrices, and cells keep n rows a prompt. No prompt comes to the
+    driver or is broadcast; a vector moves once for each block of PROMPTS prompts. Prompts without an id or a vector have
+    no rows, those of a repeated id are one (`one_each`).
     """
-    prompts = one_each(prompts)
-    slices = max(1, -(-prompts.count() // PROMPTS))
-    found = None
-    for i in range(slices):
-        some = prompts.where(F.pmod(F.xxhash64("prompt_id"), F.lit(slices)) == i) if slices > 1 else prompts
-        part = _search(corpus, some, n)
-        found = part if found is None else found.union(part)
-    return ranked(found, n, ["prompt_id"]).select("prompt_id", "rank", "index", "score")
+    return ranked(_search(corpus, one_each(prompts), n), n, ["prompt_id"]).select("prompt_id", "rank", "index", "score")
 
 
 def batch_recommend(text: DataFrame, audio: DataFrame, text_prompts: DataFrame, audio_prompts: DataFrame, top: int = TOP, n: int = SHORTLIST) -> DataFrame:
@@ -125,8 +193,7 @@ def batch_recommend(text: DataFrame, audio: DataFrame, text_prompts: DataFrame,
     audio_prompts = one_each(audio_prompts)
     if audio_prompts.count() * n * 16 <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    met = found.join(audio, "index").join(audio_prompts.withColumnRenamed("embedding", "_q"), "prompt_id")
-    size = F.size("embedding")
-    q = F.when(F.size("_q") == size, F.col("_q")).otherwise(align(F.col("_q"), size))
-    scored = met.select("prompt_id", "index", F.coalesce(dot(l2_normalize(q), l2_normalize(F.col("embedding"))), F.lit(0.0)).alias("score"))
+    asked = audio_prompts.select("prompt_id", F.col("embedding").alias("_q"), l2_normalize(F.col("embedding")).alias("_u"))
+    met = found.join(audio, "index").join(asked, "prompt_id")
+    scored = met.select("prompt_id", "index", F.coalesce(_met_score(), F.lit(0.0)).alias("score"))
     return ranked(scored, top, ["prompt_id"]).select("prompt_id", "rank", "index", "score")

@@ -554,41 +554,47 @@ def recommend(spark, sf_dir):
 
 
 def _prompts(space):
-    return space.where("index < 10").select(F.col("index").alias("prompt_id"), "embedding")
+    """The query set of searches: every row whose id is divisible by 100, so that the work grows with the table."""
+    return space.where("index % 100 = 0").select(F.col("index").alias("prompt_id"), "embedding")
 
 
-@query(f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.t', b='e.t')} AS score FROM e, (SELECT * FROM e WHERE index < 10) p),
+def _batch_sql(q, v):
+    return f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.' + q, b='e.' + v)} AS score FROM e, (SELECT * FROM e WHERE index % 100 = 0) p),
 r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, index)::INTEGER AS rank FROM s)
-SELECT prompt_id, rank, index, round(score, 6) AS score FROM r WHERE rank <= 300""")
-def batch_shortlist(spark, sf_dir):
-    text = _text(spark, sf_dir)
-    return _rounded(ret.batch_shortlist(text, _prompts(text)))
+SELECT prompt_id, rank, index, round(score, 6) AS score FROM r WHERE rank <= 300"""
 
 
-@query(f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.t', b='e.t')} AS score, {_DOT.format(a='p.a', b='e.a')} AS other FROM e, (SELECT * FROM e WHERE index < 10) p),
+def _batch_recommend_sql(q, by):
+    return f"""WITH {_SPACES_SQL}, s AS (SELECT p.index AS prompt_id, e.index, {_DOT.format(a='p.' + q, b='e.' + q)} AS score, {_DOT.format(a='p.' + by, b='e.' + by)} AS other FROM e, (SELECT * FROM e WHERE index % 100 = 0) p),
 r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, index) AS rank FROM s),
 k AS (SELECT prompt_id, index, other AS score, row_number() OVER (PARTITION BY prompt_id ORDER BY other DESC, index)::INTEGER AS rank FROM r WHERE rank <= 300)
-SELECT prompt_id, rank, index, round(score, 6) AS score FROM k WHERE rank <= 5""")
-def batch_recommend(spark, sf_dir):
-    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
-    return _rounded(ret.batch_recommend(text, audio, _prompts(text), _prompts(audio)))
+SELECT prompt_id, rank, index, round(score, 6) AS score FROM k WHERE rank <= 5"""
 
 
-def _hundredth(space):
-    """The query set of searches: every row whose id is divisible by 100, so that the work grows with the table."""
-    return space.where("index % 100 = 0").select(F.col("index").alias("prompt_id"), "embedding")
+@query(_batch_sql("a", "t"))
+def batch_shortlist(spark, sf_dir):
+    """Texts for recordings: prompts are vectors of the second space."""
+    return _rounded(ret.batch_shortlist(_text(spark, sf_dir), _prompts(_audio(spark, sf_dir))))
+
+
+@query(_batch_recommend_sql("a", "t"))
+def batch_recommend(spark, sf_dir):
+    """Shortlists by recordings, scored anew by texts."""
+    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    return _rounded(ret.batch_recommend(audio, text, _prompts(audio), _prompts(text)))
 
 
-@query(SQL["batch_shortlist"].replace("index < 10", "index % 100 = 0"))
+@query(_batch_sql("t", "t"))
 def batch_shortlist_hundredth(spark, sf_dir):
     text = _text(spark, sf_dir)
-    return _rounded(ret.batch_shortlist(text, _hundredth(text)))
+    return _rounded(ret.batch_shortlist(text, _prompts(text)))
 
 
-@query(SQL["batch_recommend"].replace("index < 10", "index % 100 = 0"))
+@query(_batch_recommend_sql("t", "a"))
 def batch_recommend_hundredth(spark, sf_dir):
+    """Shortlists by texts, scored anew by recordings."""
     text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
-    return _rounded(ret.batch_recommend(text, audio, _hundredth(text), _hundredth(audio)))
+    return _rounded(ret.batch_recommend(text, audio, _prompts(text), _prompts(audio)))
 
 
 # Jobs around models, with stand-ins for the models
