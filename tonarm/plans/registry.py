@@ -18,6 +18,7 @@ from tonarm.operators import retrieval as ret
 from tonarm.plans import keyword_sql as kq
 from tonarm.plans import stem_sql as sq
 from tonarm.sources import files as fs
+from tonarm.sources import vector_store as vs
 from tonarm.storage import new_path, spread
 
 QUERIES: dict = {}
@@ -597,6 +598,38 @@ def batch_recommend_hundredth(spark, sf_dir):
     return _rounded(ret.batch_recommend(text, audio, _prompts(text), _prompts(audio)))
 
 
+# The clustered store of vectors
+
+
+def _clustered(spark, sf_dir):
+    """A store written in two parts, rows without a vector among them."""
+    path, text = new_path(spark, "clustered"), _text(spark, sf_dir)
+    some = text.withColumn("embedding", F.when(F.col("index") % 9 != 4, F.col("embedding")))
+    vs.write_clustered(some.where("index % 3 <> 0"), path)
+    vs.append_clustered(some.where("index % 3 = 0"), path)
+    return path
+
+
+@query(f"""WITH {_SPACES_SQL}, s AS (SELECT e.index, {_DOT.format(a='p.t', b='e.t')} AS score FROM e, (SELECT * FROM e WHERE index = 3) p WHERE e.index % 9 <> 4 ORDER BY score DESC, e.index LIMIT 20)
+SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM s""")
+def clustered_shortlist(spark, sf_dir):
+    """The 20 best by a search that reads files in order of their bounds."""
+    found, _ = vs.search_clustered(spark, _clustered(spark, sf_dir), _prompt(_text(spark, sf_dir)), 20)
+    return _rounded(ret.ranked(found, 20))
+
+
+@query("""SELECT (SELECT count(*) FROM embeddings) AS n_rows, (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 4) AS n_null, (SELECT count(*) FROM embeddings) AS n_listed,
+(SELECT round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) FROM embeddings WHERE vec_id % 9 <> 4) AS total""")
+def clustered_store(spark, sf_dir):
+    """What the store holds, by its rows and by its manifest."""
+    path = _clustered(spark, sf_dir)
+    rows = vs.read_clustered(spark, path)
+    total = F.aggregate(vc.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    held = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.col("embedding").isNull()).alias("n_null"), F.round(F.sum(total), 4).alias("total"))
+    listed = vs.read_manifest(spark, path).agg(F.sum("rows").alias("n_listed"))
+    return held.crossJoin(listed)  # one row each
+
+
 # Jobs around models, with stand-ins for the models
 
 
