@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonarm.operators.quantiles import exact_quantiles
 from tonarm.storage import stored
 
 
@@ -29,13 +30,15 @@ def missing_stats(df: DataFrame, lists) -> DataFrame:
     return flags.unpivot([], list(lists), "tag_type", "status").groupBy("tag_type", "status").agg(F.count("*").alias("n"))
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles and whiskers: the extreme values within 1.5 quartile distances of the box."""
-    v = F.col(value).cast("double")
-    q = df.groupBy(group).agg(*[F.percentile(v, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+def box_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
+    """Quartiles and whiskers: the extreme values within 1.5 quartile distances of the box; of each group, or of all rows (one row)."""
+    g, v = (F.col(group) if group else F.lit(0)).alias("g"), F.col(value).cast("double")
+    rows = stored(df.select(g, v.alias("v")), "box")
+    q = exact_quantiles(rows, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "g").withColumnRenamed("g", "_g")
     step = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(F.broadcast(q), group).where(v.between(F.col("q1") - step, F.col("q3") + step))  # q: a row for each group of a few
-    return inside.groupBy(group, "q1", "median", "q3").agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    inside = rows.join(q, F.col("g").eqNullSafe(F.col("_g")) & F.col("v").between(F.col("q1") - step, F.col("q3") + step))
+    box = inside.groupBy("g", "q1", "median", "q3").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return box.withColumnRenamed("g", group) if group else box.drop("g")
 
 
 def tag_counts(df: DataFrame, lists) -> DataFrame:

@@ -7,13 +7,14 @@ a partial subset and the set of what is done, embeddings are text vectors and, r
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonarm.functions import stem as st
 from tonarm.functions import tags as tg
 from tonarm.functions import text as tx
 from tonarm.functions import vectors as vc
 from tonarm.operators import catalogue as cat
-from tonarm.operators import jobs, profile
+from tonarm.operators import jobs, profile, quantiles, sketches
 from tonarm.operators import retrieval as ret
 from tonarm.plans import keyword_sql as kq
 from tonarm.plans import stem_sql as sq
@@ -400,6 +401,66 @@ def tfidf_keywords(spark, sf_dir):
     return profile.tfidf(docs, "doc_id", tx.clean_and_tokenize(F.col("text")), 5)
 
 
+_BOX_SQL = """SELECT {g}q1, median, q3, min(v) AS low, max(v) AS high FROM {t} {join} WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL"""
+_QUARTERS_SQL = "quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3"
+
+
+@query(_kw_sql(f"SELECT * FROM ({_BOX_SQL.format(g='', t='(SELECT n_keywords::DOUBLE AS v FROM k)', join=f'CROSS JOIN (SELECT {_QUARTERS_SQL} FROM (SELECT n_keywords::DOUBLE AS v FROM k))')})"))
+def n_keywords_box_all(spark, sf_dir):
+    """One box over all captions."""
+    return profile.box_stats(_keywords(spark, sf_dir).select("n_keywords"), None, "n_keywords")
+
+
+_PRICES_SQL = "p AS (SELECT l_returnflag, l_extendedprice::DOUBLE AS v FROM lineitem)"
+
+
+@query(f"""WITH {_PRICES_SQL}, q AS (SELECT l_returnflag, {_QUARTERS_SQL} FROM p GROUP BY 1), b AS ({_BOX_SQL.format(g="l_returnflag, ", t="p", join="JOIN q USING (l_returnflag)")})
+SELECT l_returnflag, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, low, high FROM b""")
+def price_box(spark, sf_dir):
+    """A box of values that hardly repeat."""
+    box = profile.box_stats(_t(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return box.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "low", "high")
+
+
+@query(f"""WITH {_PRICES_SQL} SELECT l_returnflag, count(*) AS n, {", ".join(f"round(quantile_cont(v, {x}), 4) AS {n}" for n, x in (("p01", 0.01), ("p50", 0.5), ("p999", 0.999)))} FROM p GROUP BY 1""")
+def price_quantiles(spark, sf_dir):
+    found = quantiles.exact_quantiles(_t(spark, sf_dir, "lineitem"), "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p999": 0.999}, "l_returnflag")
+    return found.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("p01", "p50", "p999")])
+
+
+# Sketches
+
+
+@query(f"WITH {_TOKENS_SQL}, u AS (SELECT unnest(l) AS token FROM k), c AS (SELECT token, count(*) AS n FROM u GROUP BY 1) SELECT token, n, row_number() OVER (ORDER BY n DESC, token)::INTEGER AS rank FROM c ORDER BY n DESC, token LIMIT 100")
+def heavy_tokens(spark, sf_dir):
+    """The 100 most frequent tokens by mergeable counters."""
+    docs = spread(_t(spark, sf_dir, "documents").select("text"))
+    return sketches.heavy_hitters(docs.select(F.explode_outer(tx.clean_and_tokenize(F.col("text"))).alias("token")), "token", 100)
+
+
+@query(SQL["top_tags_per_type"])
+def heavy_tags(spark, sf_dir):
+    """The 15 most frequent tags of each list by mergeable counters."""
+    lists = _tag_lists(spark, sf_dir)
+    each = lists.select(F.explode(F.array(*[F.struct(F.lit(c).alias("tag_type"), F.col(c).alias("l")) for c in _LISTS])).alias("s"))
+    return sketches.heavy_hitters(each.select("s.tag_type", F.explode_outer("s.l").alias("tag")), "tag", 15, "tag_type")
+
+
+@query("SELECT part, n, row_number() OVER (ORDER BY n DESC, part)::INTEGER AS rank FROM (SELECT l_partkey::VARCHAR AS part, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, part LIMIT 50")
+def heavy_parts(spark, sf_dir):
+    """Items that are all about as frequent, from few counters: these grow until they prove the result."""
+    return sketches.heavy_hitters(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("part")), "part", 50, capacity=64)
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('5/' || l_orderkey || '-' || l_linenumber), l_orderkey || '-' || l_linenumber)::INTEGER AS r FROM lineitem) WHERE r <= 25""")
+def stratified_sample(spark, sf_dir):
+    """25 rows of each flag, from bounded states."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    found = sketches.stratified_sample(lines, "line", 25, "l_returnflag", 5)
+    place = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.md5(F.concat(F.lit("5/"), "line")), "line"))
+    return found.select("l_returnflag", "l_orderkey", "l_linenumber", place.alias("place"))
+
+
 # Stems of words
 
 _STEMS_SQL = f"{_TOKENS_SQL}, u AS (SELECT doc_id, unnest(l) AS token FROM k), {sq.stems('u', 'z')}"
