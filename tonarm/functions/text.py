@@ -153,6 +153,17 @@ def with_keywords(df: DataFrame, column: str, version: int = 2) -> DataFrame:
     return df.drop("_said", "_lines", "_marked", "_at", "_k")
 
 
+def caption_with_keywords(caption: Column, keywords: Column, most: int = 4) -> Column:
+    """`<caption> || kw, kw, ...` of the first `most` keywords that are not empty, which `trailing_double_pipe` reads again; without keywords the caption alone.
+
+    Bars in a caption would end it early, so each becomes a slash; so do bars and commas of keywords, which would split them.
+    """
+    said = F.replace(strip(F.coalesce(caption, F.lit(""))), F.lit("|"), F.lit("/"))
+    words_ = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: strip(F.translate(k, "|,", "//")))
+    few = F.slice(F.filter(words_, lambda k: k != ""), 1, most)
+    return F.when(F.size(few) > 0, F.concat(said, F.lit(" || "), F.array_join(few, ", "))).otherwise(said)
+
+
 def likely_has_keywords(c: Column, n_keywords: Column) -> Column:
     s = strip(F.coalesce(c, F.lit("")))
     marked = s.rlike(rf"(?i){START}(?:keywords?|suggested tags?){END}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonarm.functions.vectors import align, l2_normalize, unit_dot
+from tonarm.functions.vectors import align, cosine, l2_normalize, unit_dot
 
 #: About so many prompts, and so many vectors of the corpus, meet in a cell of a batch.
 PROMPTS, CELL = 2_000, 100_000
@@ -45,6 +45,21 @@ def rerank(candidates: DataFrame, corpus: DataFrame, prompt: DataFrame, unproces
     return scored.na.fill(0.0, ["score"]) if unprocessed == "zero" else scored.where(F.col("score").isNotNull())
 
 
+def similarities(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (index, score), cosines of rows (index, embedding) and texts (index, embedding).
+
+    As many texts as rows: each row against the text of its index. Else each row against the first text, that of the least
+    index; without any text there are no rows. Other sizes than a row's give an error, as do nulls a null score.
+    """
+    fits = F.size("embedding") == F.size("_t")
+    score = F.when(fits | F.col("embedding").isNull() | F.col("_t").isNull(), cosine(F.col("embedding"), F.col("_t"))).otherwise(F.raise_error(F.lit("vectors of different sizes")))
+    if rows.count() == texts.count():
+        met = rows.join(texts.select("index", F.col("embedding").alias("_t")), "index")
+    else:
+        met = rows.crossJoin(F.broadcast(texts.orderBy("index").limit(1).select(F.col("embedding").alias("_t"))))  # one row
+    return met.select("index", score.alias("score"))
+
+
 def ranked(scored: DataFrame, n: int, by=()) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "index"))
     top = scored if by else scored.orderBy(F.desc("score"), "index").limit(n)

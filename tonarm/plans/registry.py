@@ -6,6 +6,8 @@ a partial subset and the set of what is done, embeddings are text vectors and, r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +22,8 @@ from tonarm.plans import keyword_sql as kq
 from tonarm.plans import stem_sql as sq
 from tonarm.sources import files as fs
 from tonarm.sources import vector_store as vs
+from tonarm.sources.checkpoint import Checkpoint
+from tonarm.sources.track_store import TrackStore
 from tonarm.storage import new_path, spread
 
 QUERIES: dict = {}
@@ -321,7 +325,7 @@ def keywords_v2(spark, sf_dir):
     return _keywords(spark, sf_dir).select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
 
 
-# Captions of every form that the rules know, made of each document's text: its start, and words of its start as a list.
+# Captions of every form that the rules know, made of each document's text, and of its first words as a list.
 _FORMS = (
     ("", ". Keywords: ", ", ", ""), ("", "\nSuggested tags:\n", ", ", "\nmore"), ("A mix of ", "", ", ", " with a groove. Keywords:"), ("", " || ", ", ", ""), ("", " | ", "; ", ""), ("", " (calm (", ", ", ")"),
     ("", ") (", "/", ")"), ("", ". ", " and ", ""), ("", "\n", ", ", "."), ("Tagged as ", "\n", " ", "\nlike that"), ("", "!? ", ", ", ". "), ("tags ", "... Suggested - ", " and ", "!"), ("", "\u2028Keyword\u3000", ",\u2003", ""),
@@ -330,18 +334,18 @@ _FORMS = (
 
 def _forms(spark, sf_dir):
     kind = F.pmod("doc_id", F.lit(len(_FORMS)))
-    said = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), r"[|()]", " ")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[|()]", " ")
     few = F.slice(tx.words(said), 1, 5)
     made = F.lit(None).cast("string")
     for i, (a, b, sep, z) in enumerate(_FORMS):
         made = F.when(kind == i, F.concat(F.lit(a), said, F.lit(b), F.array_join(few, sep), F.lit(z))).otherwise(made)
-    return _t(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", made.alias("text"))
 
 
 def _forms_sql():
     quote = lambda x: " || chr(10) || ".join("'" + y + "'" for y in x.split("\n"))
     cases = " ".join(f"WHEN {i} THEN {quote(a)} || said || {quote(b)} || array_to_string(few, {quote(sep)}) || {quote(z)}" for i, (a, b, sep, z) in enumerate(_FORMS))
-    return f"""f0 AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[|()]', ' ', 'g') AS said FROM documents),
+    return f"""f0 AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[|()]', ' ', 'g') AS said FROM documents),
 f1 AS (SELECT doc_id, said, ({kq.words("said")})[1:5] AS few FROM f0), f AS (SELECT doc_id, CASE doc_id % {len(_FORMS)} {cases} END AS text FROM f1), """
 
 
@@ -355,6 +359,19 @@ def keyword_forms_v2(spark, sf_dir):
     return tx.with_keywords(_forms(spark, sf_dir), "text").select("doc_id", _joined("extracted_keywords").alias("extracted_keywords"), "kw_method", "n_keywords")
 
 
+_WRITTEN_SQL = r"""w0 AS (SELECT doc_id, replace(regexp_replace(coalesce(text, ''), '^{sp}+|{sp}+\z', '', 'g'), '|', '/') AS said, list_filter(list_transform([lang, source, source || ',|' || doc_id, '', 'fourth', 'fifth'], lambda x: translate(x, '|,', '//')), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT doc_id, said || ' || ' || array_to_string(l[1:4], ', ') AS text FROM w0), """.replace("{sp}", _SP_SQL)
+
+
+@query(_kw_sql("SELECT k.doc_id, md5(w.text) AS caption, extracted_keywords, kw_method FROM k JOIN w USING (doc_id)", 2, "w", _WRITTEN_SQL))
+def captions_with_keywords(spark, sf_dir):
+    """Captions written with their keywords, and read again."""
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    given = F.array("lang", "source", F.concat("source", F.lit(",|"), "doc_id"), F.lit(""), F.lit("fourth"), F.lit("fifth"))
+    written = docs.select("doc_id", tx.caption_with_keywords(F.col("text"), given).alias("text"))
+    return tx.with_keywords(written, "text").select("doc_id", F.md5("text").alias("caption"), _joined("extracted_keywords").alias("extracted_keywords"), "kw_method")
+
+
 @query(_kw_sql(rf"""SELECT doc_id, n_keywords = 0 AND (regexp_matches({kq.strip("coalesce(text, '')")}, '(?i)(?:^|{kq.NOT_W})(?:keywords?|suggested tags?)(?:$|{kq.NOT_W})')
   OR (len({kq.words("coalesce(text, '')")}) >= 40 AND len(regexp_extract_all(right({kq.strip("coalesce(text, '')")}, 180), ',')) >= 2)) AS likely_has_keywords FROM k"""))
 def likely_keywords(spark, sf_dir):
@@ -575,6 +592,18 @@ def pairwise_cosine(spark, sf_dir):
     return _text(spark, sf_dir).select("index", F.round(vc.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("score"))
 
 
+@query(f"""WITH {_SPACES_SQL} SELECT e.index, 'fewer texts' AS texts, round({_DOT.format(a='f.t', b='e.a')}, 6) AS score FROM e, (SELECT t FROM e WHERE index % 5 = 2 ORDER BY index LIMIT 1) f
+UNION ALL SELECT index, 'as many', round({_DOT.format(a='t', b='a')}, 6) FROM e""")
+def similarity_rules(spark, sf_dir):
+    """Each recording against the first text where there are fewer texts, else against its own."""
+    text, audio = _text(spark, sf_dir), _audio(spark, sf_dir)
+    out = None
+    for name, texts in (("fewer texts", text.where("index % 5 = 2")), ("as many", text)):
+        part = ret.similarities(audio, texts).select("index", F.lit(name).alias("texts"), F.round("score", 6).alias("score"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(f"WITH {_SPACES_SQL}, s AS ({_short()}) SELECT index, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, index)::INTEGER AS rank FROM s")
 def shortlist_topk(spark, sf_dir):
     space = _text(spark, sf_dir)
@@ -748,6 +777,57 @@ def inspection_groups(spark, sf_dir):
     return sample.union(profile.fixed_rows(rows, "doc_id", (0, 10, 100)).withColumn("found", F.lit(None).cast("boolean")))
 
 
+# Stores of the catalogue: tables in buckets, checkpoints, and jobs that are taken up again
+
+
+def _tracks(spark, sf_dir):
+    store = TrackStore(spark, new_path(spark, "tracks"), "doc_id", 16, f"t{uuid.uuid4().hex}")
+    store.write("documents", _t(spark, sf_dir, "documents").select("doc_id", "lang", "source"))
+    store.write("labels", _t(spark, sf_dir, "labels"))
+    store.write("captions", _t(spark, sf_dir, "conversations").where("turn = 0").withColumnRenamed("conv_id", "doc_id"))
+    return store
+
+
+@query(SQL["tags_left_enrich"])
+def bucketed_enrich(spark, sf_dir):
+    """The enrichment of tags_left_enrich from tables in the same buckets: without an exchange."""
+    columns = {"genre_tag": ("labels", "quality"), "instrument_tag": ("labels", "toxic"), "caption": ("captions", "text")}
+    return _tracks(spark, sf_dir).enrich("documents", columns).select("doc_id", "lang", "genre_tag", "instrument_tag", "caption")
+
+
+@query(SQL["resume_todo"])
+def bucketed_todo(spark, sf_dir):
+    return _tracks(spark, sf_dir).missing("documents", "labels").select("doc_id", "source")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'caption ' || l.quality ELSE '' END AS caption, 1::BIGINT AS n_rows FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def checkpoint_merged(spark, sf_dir):
+    """Six appends, the later ones of captions that were empty before; merged, old files deleted, and read."""
+    store = Checkpoint(spark, new_path(spark, "checkpoint"), "doc_id", "doc_id long, caption string")
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    for i in range(3):
+        store.append(docs.where(F.col("doc_id") % 3 == i).select("doc_id", F.lit("").alias("caption")))
+        store.append(labels.where(F.col("doc_id") % 3 == (i + 1) % 3).select("doc_id", F.concat(F.lit("caption "), "quality").alias("caption")))
+    store.merge(2)
+    store.vacuum()
+    return store.read().groupBy("doc_id").agg(F.max("caption").alias("caption"), F.count("*").alias("n_rows"))
+
+
+@query("""WITH r AS (SELECT doc_id, source, source LIKE '%7' AS bad, doc_id % 3 <> 0 AS before FROM documents)
+SELECT 'results' AS part, doc_id, 'A track at ' || source AS said, 1::BIGINT AS n FROM r WHERE NOT bad UNION ALL SELECT 'dead letters', doc_id, 'ValueError: unreadable', 1 FROM r WHERE bad
+UNION ALL SELECT 'run 1', NULL, 'failed ' || count_if(bad), count(*) FROM r WHERE before UNION ALL SELECT 'run 2', NULL, 'failed ' || count_if(bad), count(*) FROM r WHERE NOT before
+UNION ALL SELECT 'run 3', NULL, 'failed 0', 0""")
+def resumable_job(spark, sf_dir):
+    """A first run over a part, a second that does the rest, and a third that has nothing to do; then the results, the dead letters and what each run did."""
+    job = jobs.ResumableJob(spark, new_path(spark, "job"), "doc_id", "long", "string")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    runs = [job.run(part, "source", _make_names, 32, slices=3) for part in (docs.where("doc_id % 3 <> 0"), docs, docs)]
+    told = spark.createDataFrame([(f"run {i + 1}", None, f"failed {r['failed']}", r["todo"]) for i, r in enumerate(runs)], "part string, doc_id long, said string, n long")
+    one = F.lit(1).cast("long").alias("n")
+    results = job.results().select(F.lit("results").alias("part"), "doc_id", F.col("result").alias("said"), one)
+    return results.union(job.dead_letters().select(F.lit("dead letters").alias("part"), "doc_id", F.col("error").alias("said"), one)).union(told)
+
+
 # Lists in the lines of all texts
 
 
