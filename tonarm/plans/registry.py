@@ -23,6 +23,7 @@ from tonarm.plans import stem_sql as sq
 from tonarm.sources import files as fs
 from tonarm.sources import vector_store as vs
 from tonarm.sources.checkpoint import Checkpoint
+from tonarm.sources.inventory import Inventory, opened
 from tonarm.sources.track_store import TrackStore
 from tonarm.storage import new_path, spread
 
@@ -828,6 +829,42 @@ def resumable_job(spark, sf_dir):
     return results.union(job.dead_letters().select(F.lit("dead letters").alias("part"), "doc_id", F.col("error").alias("said"), one)).union(told)
 
 
+def _touch(root, gone=False):
+    """Over rows (path): makes the file below root, or takes it away."""
+
+    def run(frames):
+        files, top = opened(root)
+        for pdf in frames:
+            for path in pdf["path"]:
+                if gone:
+                    files.delete_file(f"{top}/{path}")
+                else:
+                    files.create_dir(f"{top}/{path.rpartition('/')[0]}")
+                    files.open_output_stream(f"{top}/{path}").close()
+            yield pdf
+
+    return run
+
+
+@query("""WITH d AS (SELECT doc_id, lpad((doc_id % 100)::VARCHAR, 2, '0') || '/' || (doc_id % 3) || '/' || doc_id || '.mp3' AS path FROM documents)
+SELECT 'run 1' AS run, 'added' AS change, path FROM d WHERE doc_id % 5 <> 0 UNION ALL SELECT 'run 2', 'added', path FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT 'run 2', 'removed', path FROM d WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0""")
+def inventory_changes(spark, sf_dir):
+    """A file for each document in folders of two levels; some come and some go between two runs."""
+    place = F.concat_ws("/", F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.col("doc_id") % 3, F.concat("doc_id", F.lit(".mp3")))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", place.alias("path"))
+    root = new_path(spark, "recordings")
+    listing = Inventory(spark, root, new_path(spark, "inventory"))
+    made = lambda rows, gone=False: rows.select("path").repartition(8).mapInPandas(_touch(root, gone), "path string").count()
+    made(docs.where("doc_id % 5 <> 0"))
+    listing.update()
+    made(docs.where("doc_id % 5 = 0"))
+    made(docs.where("doc_id % 5 <> 0 AND doc_id % 7 = 0"), True)
+    listing.update()
+    one = lambda n: listing.changes(n).select(F.lit(f"run {n}").alias("run"), "change", "path")
+    return one(1).union(one(2))
+
+
 # Lists in the lines of all texts
 
 
