@@ -42,6 +42,28 @@ def test_repeated_windows():
         assert [x.tolist() for x in induced.repeated_windows(strings, n)] == want
 
 
+def test_spans_of_crafted_texts(spark):
+    """One repeated byte, a pattern on which polynomials modulo 2^64 collide with its opposite, and a very long text; clashing columns."""
+    from tonarm.llm.induced import repeated_windows
+
+    swap = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = (bytes(97 + (x ^ k) for x in swap).decode() for k in (0, 1))
+    rng = np.random.default_rng(9)
+    long = "".join(chr(x) for x in rng.integers(97, 123, 600_000))
+    texts = ["z" * 5_000, one[:1024], two[1024:], "q" + one[:300] + "q", long, long[1_000:1_400] + "x" * 150]
+    df = spark.createDataFrame([(i, t, "x", "y", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, spans string, packed string, a long, row_key long")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in substring_dedup.substring_dedup(df).collect()}
+    for i, found in enumerate(repeated_windows([t.encode() for t in texts], 200)):
+        cover = np.zeros(len(texts[i]) + 1, int)
+        for at in np.flatnonzero(found):
+            cover[at] += 1
+            cover[at + 200] -= 1
+        gone = np.cumsum(cover)[:-1] > 0
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        assert got[i] == (int(gone.sum()), runs, "".join(c for c, g in zip(texts[i], gone, strict=True) if not g))
+    assert got[0][0] == 5_000 and got[4][0] == 400
+
+
 def test_repeated_windows_on_disk(monkeypatch):
     """Queues and arrays beyond their memory go to disk, with the same result."""
     monkeypatch.setattr(induced, "QUEUE_MEMORY", 512)

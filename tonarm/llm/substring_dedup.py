@@ -22,6 +22,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import binary, spread, stored, table
 
@@ -31,6 +32,8 @@ CUTS = 4
 SHARD_BYTES = 2 << 20
 #: Pieces with one core that may go to one shard; of more, the windows are told by 128-bit hashes and counted.
 CORE_ROWS = 5_000
+#: Keys of such cores that are broadcast (16 bytes each); more are joined by a shuffle.
+FEW_KEYS = 1_000_000
 #: Bytes of texts whose anchors are found at a time; places within them fit PLACE bits.
 BLOCK_BYTES, PLACE = 1 << 20, 22
 SEGMENTS = "mhash long, digest long, doc_id long, row_key long, loc long"
@@ -53,7 +56,7 @@ class Anchors:
         import numpy as np
 
         self.length, self.anchor, self.np = length, anchor, np
-        self.letters = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * i + 3)) for i in range(2)]
+        self.letters = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(3))
         self.grow(BLOCK_BYTES)
 
     def grow(self, n: int) -> None:
@@ -73,9 +76,12 @@ class Anchors:
             yield self.block(block, first)
 
     def block(self, texts: list[bytes], first: int):
+        from xxhash import xxh3_64_intdigest
+
         np, k = self.np, self.anchor
         w = self.length - k + 1
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
         n = len(data)
         none = np.zeros(0, np.int64)
         if n < self.length:
@@ -86,8 +92,8 @@ class Anchors:
             raise ValueError("a text of more than 2^40 bytes")
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
-        sums = [np.r_[np.uint64(0), np.cumsum(x[data] * self.power[:n], dtype=np.uint64)] for x in self.letters]
-        h = _mix((sums[0][k:] - sums[0][:-k]) * self.inverse[: n - k + 1])
+        sums = np.r_[np.uint64(0), np.cumsum(self.letters[data] * self.power[:n], dtype=np.uint64)]
+        h = _mix((sums[k:] - sums[:-k]) * self.inverse[: n - k + 1])
         bits = max(PLACE, n.bit_length())
         key = h >> np.uint64(bits) << np.uint64(bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
         low, span = key, 1
@@ -105,8 +111,9 @@ class Anchors:
         count = np.diff(np.r_[start, len(p)])
         s, m, of = p[start], a[start], d[start]
         end = s + count - 1 + self.length
-        digest = (sums[1][end] - sums[1][s]) * self.inverse[s] + (count * 1024 + (m - s)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        return of + first, s - (ends - sizes)[of], count, m - s, h[m].view(np.int64), _mix(digest).view(np.int64)
+        # Of the bytes, with the numbers of windows and the anchor's place as the seed.
+        digest = np.array([xxh3_64_intdigest(whole[a:b], x) for a, b, x in zip(s.tolist(), end.tolist(), (count * 1024 + (m - s)).tolist(), strict=True)], np.uint64)
+        return of + first, s - (ends - sizes)[of], count, m - s, h[m].view(np.int64), digest.view(np.int64)
 
 
 def segment_rows(length: int, anchor: int, hashes_only: bool):
@@ -258,13 +265,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     shards = max(1, math.ceil(size / SHARD_BYTES))
     dealt = cut.join(few.select("k1", "k2"), ["k1", "k2"], "left_semi").repartition(shards, "k1", "k2")
     found = whole.union(dealt.mapInArrow(sort_shard(length, anchor), "doc_id long, row_key long, a long, b long"))
-    # Each of these keys stands for more than CORE_ROWS pieces, so there are few of them.
-    hot = cut.join(F.broadcast(shared.where(F.col("k") > CORE_ROWS).select("k1", "k2")), ["k1", "k2"], "left_semi")
+    many = shared.where(F.col("k") > CORE_ROWS).select("k1", "k2")
+    many = F.broadcast(many) if many.count() <= FEW_KEYS else many
+    hot = cut.join(many, ["k1", "k2"], "left_semi")
     hot = stored(hot.mapInArrow(windows(length), "w1 long, w2 long, doc_id long, row_key long, a long, single boolean"), "windows")
     twice = stored(hot.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
     return found.union(hot.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "row_key", "a", (F.col("a") + length).alias("b")))
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_key, a, b): of each text the spans that touch or overlap as one, put together in order of their starts,
+    before a text's spans are gathered: there are length / 2 times fewer of them than bytes, at most."""
+    own = Window.partitionBy("doc_id", "row_key").orderBy("a", "b")
+    before = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.coalesce(F.col("a") > before, F.lit(True)).cast("long"))
+    runs = marked.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "row_key", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+
+
 def cut_spans(batches):
     import pyarrow as pa
     import zstandard
@@ -293,7 +311,7 @@ def cut_spans(batches):
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one per input row; kept is the bytes that stay."""
-    spans = repeated_spans(docs, length, anchor).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = merged_spans(repeated_spans(docs, length, anchor)).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     texts = keyed(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id").mapInArrow(compress, "doc_id long, row_key long, _id long, packed binary")
     return texts.join(spans, ["doc_id", "row_key"], "left").select(F.col("_id").alias("doc_id"), "packed", "spans").mapInArrow(cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
