@@ -347,6 +347,36 @@ def test_exact_over_partitions(spark, monkeypatch):
     assert Counter(tuple(r) for r in exact_dedup.exact_groups(df).collect()) == want
 
 
+def test_exact_in_blocks(spark, monkeypatch):
+    """Texts beyond HUGE: blocks are hashed in several tasks, and the result is that of whole texts; clashing columns."""
+    rng = np.random.default_rng(12)
+    long = "".join(chr(x) for x in rng.integers(97, 123, 3_000))
+    said = [long, long, long[:-1] + "é", long + "x", long[:1_000], long[:1_000], "", None, "é" * 600, "é" * 600, long[1_000:] + long[:1_000]]
+    df = spark.createDataFrame([(i, t, 1, "k", 2, b"x") for i, t in enumerate(said)], "doc_id long, text string, fp long, key string, block int, body binary").repartition(3)
+    want = {}
+    for i, t in enumerate(said):
+        same = [j for j, u in enumerate(said) if (u or "") == (t or "")]
+        want[i] = (max(same), len(same), i == max(same), hashlib.sha256((t or "").encode()).hexdigest())
+    whole = {r["doc_id"]: r["fp"] for r in exact_dedup.fingerprints(df).collect()}
+    for huge in (1 << 20, 100, 1_000):
+        monkeypatch.setattr(exact_dedup, "HUGE", huge)
+        assert {r["doc_id"]: r["fp"] for r in exact_dedup.fingerprints(df).collect()} == whole
+        assert {r[0]: tuple(r)[1:] for r in exact_dedup.exact_groups(df).collect()} == want
+    monkeypatch.setattr(exact_dedup, "HUGE", 100)
+    blocks = exact_dedup.in_blocks(df.where("doc_id = 0").select("key", F.col("text").cast("binary").alias("body")), "key").repartition(4, "key", "block")
+    assert blocks.count() == 30 and blocks.select(F.spark_partition_id()).distinct().count() > 1
+    assert b"".join(bytes(r["body"]) for r in blocks.orderBy("block").collect()) == long.encode()
+
+
+def test_exact_edges_are_compared(spark, monkeypatch):
+    """Classes of different partitions are one only if all their blocks are equal, whatever their hashes say."""
+    monkeypatch.setattr(exact_dedup, "HUGE", 4)
+    told = [(0, 0, b"abcdefghij"), (1, 0, b"abcdefghij"), (2, 0, b"abcdefgh_j"), (3, 0, b"abcdefghij"), (4, 1, b"abcdxxghij")]
+    rows = spark.createDataFrame([(None, 7, 10, "sha", p, c, True, b) for p, c, b in told] + [(1, 7, 10, "sha", 0, 0, False, None)], exact_dedup.OUT)
+    assert {tuple(r) for r in exact_dedup.edge_classes(rows).collect()} == {(0, 0, 0, 0), (1, 0, 0, 0), (3, 0, 0, 0)}
+    assert exact_dedup.edge_classes(rows.limit(0)).count() == 0
+
+
 def test_bpe(spark, docs, empty, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
