@@ -12,6 +12,7 @@ All steps run over numpy blocks; arrays larger than a bound are files in a tempo
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
@@ -30,7 +31,9 @@ class Scratch:
 
     def path(self) -> str:
         if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory(prefix="induced-")
+            # In a task the disks that Spark spills to; they go with the executor.
+            local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+            self.folder = tempfile.TemporaryDirectory(prefix="induced-", dir=local if os.path.isdir(local) else None)
         return self.folder.name
 
     def empty(self, n: int, kind):
@@ -353,6 +356,8 @@ def repeated_windows(strings, length: int, marks=None):
     text[starts + sizes] = 1  # between strings
     if marks:
         at, number = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+        if number.max() >= 1 << 24:
+            raise ValueError("more than 2^24 cores in a shard")
         for i in range(3):
             text[starts + at + i] = 258 + (number >> 8 * i & 255)
     text = np.r_[text, 0]
