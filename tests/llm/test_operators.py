@@ -399,6 +399,37 @@ def test_bpe(spark, docs, empty, monkeypatch):
     assert {r["n_tokens"] for r in got.where("doc_id IN (1, 2)").collect()} == {0} and bpe.encode_decode(empty, path).count() == 0
 
 
+class Tape(str):
+    """A word that notes in which order its symbols are read."""
+
+    def __getitem__(self, i):
+        self.__dict__.setdefault("seen", []).append(i)
+        return str.__getitem__(self, i)
+
+
+def test_bpe_reads_once(monkeypatch):
+    """Each symbol is read once, in order: no step goes back, in words that read otherwise would (a longest arc first is wrong in many)."""
+    auto = bpe.Automaton(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    encoder = bpe.Encoder(auto)
+    rng = np.random.default_rng(13)
+    words = ["anwhingen", "e" * 40, "!" * 30, *("".join(rng.choice(list("aeinorst"), n)) for n in rng.integers(1, 60, 300))]
+    greedy = 0
+    for w in words:
+        tape = Tape(w)
+        ids = encoder.path(tape)
+        assert tape.seen == list(range(len(w))) and "".join(auto.spelled[t] for t in ids) == w
+        longest = max((t for t in auto.spelled if w.startswith(auto.spelled[t])), key=lambda t: auto.size[t]) if len(w) < 12 else None
+        greedy += longest is not None and longest != ids[0]
+    assert greedy > 5
+    read = []
+    real = encoder._read
+    monkeypatch.setattr(encoder, "_read", lambda state, symbol: (read.append(len(symbol)), real(state, symbol))[1])
+    ids, cuts = encoder.paths(words)
+    assert sum(read) == sum(map(len, words)) and len(read) == max(map(len, words))
+    for w, a, b in zip(words, cuts, [*cuts[1:], len(ids)], strict=True):
+        assert ids[a:b].tolist() == encoder.path(w)
+
+
 def test_bpe_refuses_other_files(tmp_path):
     tokenizers = pytest.importorskip("public_tokenizers")
     with pytest.raises(ValueError, match="of another kind"):

@@ -3,10 +3,11 @@
 The driver compiles the merges of a tokenizer file, in rank order, into a deterministic automaton over tokens. A state
 is what the last token leaves open at its right end, an arc is a token. The gadget of a merge (u, v) -> w makes w an arc
 and closes every passage from a token that ends in a live u to one that begins with a live v: w must be read there
-instead. After the last gadget exactly one path of arcs reads a pre-split word, its BPE encoding. Tokens with equal ends
+instead. After the last gadget exactly one path of arcs reads a pre-split word, its BPE encoding, and so it is for every
+beginning of a word: a word is read once, symbol by symbol, and where it has been read to is told by one arc, the last of that path. Tokens with equal ends
 share a row or a column of the table of passages, which takes one bit a pair (20 MB for 49,000 merges); it is broadcast,
-for its size follows from the vocabulary alone. Arcs are found by the transitions of the trie of their spellings. Texts
-are decoded by emitting the labels of their arcs, joined by blanks.
+for its size follows from the vocabulary alone. The arcs that end at a place come from the transitions of a second table, of
+the spellings with their suffixes. Texts are decoded by emitting the labels of their arcs, joined by blanks.
 
 Normaliser, split pattern, special tokens and end-of-word suffix are read from the file; a file that asks for anything
 else is refused with a ValueError, as is one whose vocabulary cannot spell every byte.
@@ -106,9 +107,9 @@ class Automaton:
         return token
 
     def _trie(self) -> None:
-        """Transitions of spellings, the token that ends in each state, and the longest shorter token that begins each token."""
+        """Transitions of spellings; of each state the state of its longest proper suffix and the longest token it ends in; of each token the next shorter one it ends in."""
         self.step: list[dict[str, int]] = [{}]
-        self.accepts = [-1]
+        own: dict[int, int] = {}
         for token, symbols in self.spelled.items():
             at = 0
             for c in symbols:
@@ -116,17 +117,24 @@ class Automaton:
                 if nxt is None:
                     nxt = self.step[at][c] = len(self.step)
                     self.step.append({})
-                    self.accepts.append(-1)
                 at = nxt
-            self.accepts[at] = token
-        self.shorter = {}
-        for token, symbols in self.spelled.items():
-            at, best = 0, -1
-            for c in symbols[:-1]:
-                at = self.step[at][c]
-                if self.accepts[at] >= 0:
-                    best = self.accepts[at]
-            self.shorter[token] = best
+            own[at] = token
+        self.fail, self.ends = [0] * len(self.step), [-1] * len(self.step)
+        level = list(self.step[0].values())
+        for at in level:
+            self.ends[at] = own.get(at, -1)
+        while level:  # level by level, so that suffixes are known
+            after = []
+            for at in level:
+                for c, to in self.step[at].items():
+                    f = self.fail[at]
+                    while f and c not in self.step[f]:
+                        f = self.fail[f]
+                    self.fail[to] = self.step[f].get(c, 0)
+                    self.ends[to] = own.get(to, self.ends[self.fail[to]])
+                    after.append(to)
+            level = after
+        self.shorter = {token: self.ends[self.fail[at]] for at, token in own.items()}
 
     def _passages(self, arcs: list[int], merges: list[tuple[int, int, int]]) -> None:
         """The table of closed passages, by the merges' gadgets in rank order.
@@ -198,7 +206,7 @@ class Encoder:
         self.width = len(self.symbols) + 1
         arcs = sorted((at * self.width + self._number(ord(c)), to) for at, x in enumerate(a.step) for c, to in x.items())
         self.keys, self.to = (np.array(x) for x in zip(*arcs, strict=True))
-        self.accepts = np.array(a.accepts)
+        self.fail, self.ends = np.array(a.fail), np.array(a.ends)
         top = max(a.labels) + 1
         self.row, self.col, self.size, self.shorter = (np.array([x.get(t, -1) for t in range(top)], np.int64) for x in (a.row, a.col, a.size, a.shorter))
         self.closed = np.frombuffer(a.closed, np.uint8)
@@ -206,73 +214,78 @@ class Encoder:
     def _number(self, codes):
         return self.symbols.searchsorted(codes) + 1
 
-    def _longest(self, text, at):
-        """The longest arc from each place, -1 for none."""
+    def _read(self, state, symbol):
+        """The states after a symbol: of the longest suffix of what was read that begins some token."""
         import numpy as np
 
-        best, of, state = np.full(len(at), -1), np.arange(len(at)), np.zeros(len(at), np.int64)
-        while len(of):
-            key = state * self.width + text[at]
+        out, open_ = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            key = state * self.width + symbol
             i = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
             on = self.keys[i] == key
-            of, state, at = of[on], self.to[i[on]], at[on] + 1
-            best[of] = np.where(self.accepts[state] >= 0, self.accepts[state], best[of])
-        return best
+            out[open_[on]] = self.to[i[on]]
+            off = ~on
+            open_, state, symbol = open_[off], self.fail[state[off]], symbol[off]
+        return out
 
     def paths(self, spelled: list[str]):
-        """All tokens, and where each word's begin among them. For each word the one path of open arcs that reads it: all words go ahead together, longest arcs first; places
-        from which no path goes on are never entered twice."""
+        """All tokens, and where each word's begin among them.
+
+        All words are read together, a symbol at a time and never again. What is read so far has one path of open arcs; its
+        last arc is the longest token that ends here and to which the passage is open from the last arc at its beginning.
+        At the end of a word its arcs are followed back.
+        """
         import numpy as np
 
         # Words stand one after another, with a 0 before each, which no arc reads.
         text = np.frombuffer("".join(["\0" + x for x in spelled]).encode("utf-32-le"), "<u4")
         begin = np.flatnonzero(text == 0)
         text = np.append(np.where(text == 0, 0, self._number(text)), 0)
-        stop = np.append(begin[1:], len(text) - 1)
-        came, dead = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, bool)  # the token that ends at a place
-        at, token = begin + 1, self._longest(text, begin + 1)
+        ends = np.append(begin[1:], len(text) - 1)
+        came = np.full(len(text) + 1, -1)  # the last arc of what is read up to a place
+        at, stop, state = begin + 1, ends, np.zeros(len(begin), np.int64)
         while len(at):
-            last = came[at]
-            bit = self.row[last] + self.col[token]
-            end = at + self.size[token]
-            stuck = token < 0
-            shut = ~stuck & (dead[end] | (last >= 0) & (self.closed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
-            dead[at[stuck]] = True
-            came[at[stuck]] = -1
-            fine = ~stuck & ~shut
-            came[end[fine]] = token[fine]
-            token = np.where(stuck, self.shorter[last], self.shorter[token])
-            at = np.where(stuck, at - self.size[last], np.where(fine, end, at))
-            going = ~fine | (at < stop)
-            at, token, stop, fine = at[going], token[going], stop[going], fine[going]
-            token[fine] = self._longest(text, at[fine])
-        found = came >= 0
+            state = self._read(state, text[at])
+            token, place = self.ends[state], at + 1
+            open_ = np.arange(len(at))
+            while len(open_):
+                t, p = token[open_], place[open_]
+                last = came[p - self.size[t]]
+                bit = self.row[last] + self.col[t]
+                shut = (last >= 0) & (self.closed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                came[p[~shut]] = t[~shut]
+                open_ = open_[shut]
+                token[open_] = self.shorter[token[open_]]
+            going = place < stop
+            at, stop, state = place[going], stop[going], state[going]
+        found = np.zeros(len(came), bool)
+        at, first = ends, begin + 1
+        while len(at):
+            found[at] = True
+            at = at - self.size[came[at]]
+            going = at > first
+            at, first = at[going], first[going]
         return came[found], np.cumsum(found)[begin]
 
-    def path(self, symbols: str) -> list[int]:
+    def path(self, symbols) -> list[int]:
         """The same for one long word."""
         a, n = self.auto, len(symbols)
-        step, accepts, closed, row, col, size, shorter = a.step, a.accepts, a.closed, a.row, a.col, a.size, a.shorter
-        out, ends, dead, at, token = [], [0], set(), 0, None
-        while at < n:
-            if token is None:  # the longest arc from here
-                state, token, i = 0, -1, at
-                while i < n and (state := step[state].get(symbols[i])) is not None:
-                    token = accepts[state] if accepts[state] >= 0 else token
-                    i += 1
-            if token < 0:
-                dead.add(at)
-                ends.pop()
-                at, token = ends[-1], shorter[out.pop()]
-                continue
-            end, i = at + size[token], row[out[-1]] + col[token] if out else -1
-            if end in dead or i >= 0 and closed[i >> 3] >> (i & 7) & 1:
+        step, fail, ends, closed, row, col, size, shorter = a.step, a.fail, a.ends, a.closed, a.row, a.col, a.size, a.shorter
+        came, state = [-1] * (n + 1), 0
+        for i in range(n):
+            c = symbols[i]
+            while c not in step[state]:
+                state = fail[state]
+            state = step[state][c]
+            token = ends[state]
+            while (last := came[i + 1 - size[token]]) >= 0 and closed[(bit := row[last] + col[token]) >> 3] >> (bit & 7) & 1:
                 token = shorter[token]
-            else:
-                out.append(token)
-                ends.append(end)
-                at, token = end, None
-        return out
+            came[i + 1] = token
+        out, at = [], n
+        while at:
+            out.append(came[at])
+            at -= size[came[at]]
+        return out[::-1]
 
     def _learn_words(self, words: set[str]) -> None:
         import numpy as np
