@@ -25,7 +25,7 @@ def test_only_changed_folders_are_listed(spark, tmp_path):
     touch(root, "top.mp3", "a/1.mp3", "a/x/2.mp3", "b/3.mp3", "b/3.txt", "c d/é 4.mp3", "gone/5.mp3", "gone/deep/6.mp3")
     (root / "empty").mkdir()
     settle(root)
-    listing = Inventory(spark, str(root), str(tmp_path / "states"))
+    listing = Inventory(spark, str(root), str(tmp_path / "states"), settled=3_600)
     assert listing.update() == 1
     first = {"top.mp3", "a/1.mp3", "a/x/2.mp3", "b/3.mp3", "c d/é 4.mp3", "gone/5.mp3", "gone/deep/6.mp3"}
     assert changes(listing) == {("added", p) for p in first}

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["tag_canonical", "top_tags_per_type", "resolve_paths", "run_summary", "recommend", "batch_recommend", "caption_job", "meta_index", "keyword_forms_v1", "keyword_forms_v2", "tag_table_roundtrip", "csv_roundtrip", "diagnostics", "rerank_unprocessed", "shortlist_other_size", "drop_sparse_columns"]
+SOME = ["tag_canonical", "top_tags_per_type", "resolve_paths", "run_summary", "recommend", "batch_recommend", "caption_job", "meta_index", "keyword_forms_v1", "keyword_forms_v2", "tag_table_roundtrip", "csv_roundtrip", "diagnostics", "rerank_unprocessed", "shortlist_other_size", "drop_sparse_columns", "tfidf_stems", "tag_stems", "clustered_shortlist", "price_box", "heavy_parts", "stratified_sample", "bucketed_enrich", "checkpoint_merged", "resumable_job", "captions_with_keywords", "similarity_rules", "inventory_changes"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")

@@ -6,7 +6,7 @@ over a tree that hardly changed reads little more than one entry a folder. Every
 files (path, folder, size, listed) and folders (folder, parent, mtime, listed), in paths below the root with `/`.
 
 A folder's time tells of names that came or went, not of files written anew under the same name; `full=True` lists all folders.
-A folder that changed within SETTLED seconds before it was listed is listed again next time, for a later change can bear the
+A folder that changed within `settled` seconds before it was listed is listed again next time, for a later change can bear the
 same time. Folders that vanish meanwhile have no files. Paths are read by pyarrow's file systems (local, HDFS, S3, GCS).
 """
 
@@ -32,7 +32,7 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _lister(root: str, pattern: str):
+def _lister(root: str, pattern: str, seconds: float):
     """Over rows (folder, parent, before): one row of kind `same` or `listed` for each folder, and one for each file and subfolder of a listed one."""
 
     def run(frames):
@@ -56,7 +56,7 @@ def _lister(root: str, pattern: str):
                     inside = files.get_file_info(fs.FileSelector(at))
                 except FileNotFoundError:
                     continue
-                settled = mtime is not None and now - mtime > SETTLED * 1e9
+                settled = mtime is not None and now - mtime > seconds * 1e9
                 rows = [(folder, parent, "listed", None, None, mtime if settled else None)]
                 for x in inside:
                     path = f"{folder}/{x.base_name}".lstrip("/")
@@ -73,8 +73,8 @@ def _lister(root: str, pattern: str):
 class Inventory:
     """The files under `root` whose names match `pattern`, with the states of all runs in `folder`."""
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, pattern: str = "*.mp3"):
-        self.spark, self.root, self.folder, self.pattern = spark, root, folder, pattern
+    def __init__(self, spark: SparkSession, root: str, folder: str, pattern: str = "*.mp3", settled: float = SETTLED):
+        self.spark, self.root, self.folder, self.pattern, self.settled = spark, root, folder, pattern, settled
 
     def runs(self) -> int:
         """The number of whole runs: the last step of each is its folders' table."""
@@ -105,7 +105,7 @@ class Inventory:
         tasks = self.spark.sparkContext.defaultParallelism
         while True:
             asked = level.join(times, "folder", "left").repartition(tasks)  # listing waits for answers, so any spread serves
-            rows = stored(asked.mapInPandas(_lister(self.root, self.pattern), LISTED), "listed")
+            rows = stored(asked.mapInPandas(_lister(self.root, self.pattern, self.settled), LISTED), "listed")
             found = rows if found is None else found.union(rows)
             same = rows.where("kind = 'same'").select(F.col("folder").alias("parent"))
             level = rows.where("kind = 'folder'").select("folder", "parent").union(known.join(same, "parent", "left_semi").select("folder", "parent"))
