@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonarm.storage import stored
+
 #: Counters that a task keeps for each group at first, how many times more it keeps where that proves nothing, and the most; beyond it all items are counted.
 CAPACITY, GROWTH, MOST = 1_024, 8, 1 << 20
-_NO_GROUP = "_group"
 
 
 class Counters:
@@ -63,7 +64,7 @@ def _sketched(df: DataFrame, capacity: int) -> DataFrame:
 
 
 def heavy_hitters(df: DataFrame, item: str, k: int, by: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (by, item, n, rank): the k most frequent items (text) of each group, ties by item; nulls do not count.
+    """Rows (by, item, n, rank): the k most frequent items of each group, ties by item; groups and items are given as text, a null group is one, null items do not count.
 
     Tasks count with bounded counters, which are merged. Their errors add up to a bound on what any item without a counter
     can have; if it is below the kth count for every group, the top k are among the items whose counters come near enough,
@@ -77,8 +78,6 @@ def heavy_hitters(df: DataFrame, item: str, k: int, by: str | None = None, capac
         best = counts.withColumn("rank", rank).where(F.col("rank") <= k)
         return best.select(*([F.col("g").alias(by)] if by else []), F.col("item").alias(item), "n", "rank")
 
-    from tonarm.storage import stored
-
     while capacity <= MOST:
         found = stored(_sketched(rows, capacity).groupBy("g", "item").agg(F.sum("n").alias("n")), "counters")
         errors = found.where("item IS NULL").select("g", F.col("n").alias("error"))

@@ -78,21 +78,20 @@ def _choose(df: DataFrame, k: int):
         dealt = _assign(own.select("index", "embedding"), spark.sparkContext.broadcast(pivots)).where("cluster >= 0")
         unit = F.transform(doubles(F.col("embedding")), lambda x: x / F.col("norm"))
         # One row for each number of each pivot: partial sums in the tasks, k times the size in all.
-        sums = dealt.select("cluster", F.posexplode(unit).alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x")).collect()
+        sums = dealt.select("cluster", F.posexplode(unit).alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x")).toArrow()
+        cluster, at, x = (sums[c].to_numpy() for c in ("cluster", "at", "x"))
         moved = pivots.copy()
-        moved[[r["cluster"] for r in sums]] = 0
-        for r in sums:
-            moved[r["cluster"], r["at"]] = r["x"]
+        moved[cluster, at] = x
         lengths = np.linalg.norm(moved, axis=1)
         pivots = np.where(lengths[:, None] > 1e-12, moved / np.maximum(lengths, 1e-12)[:, None], pivots)
     return pivots
 
 
 def write_clustered(df: DataFrame, path: str, pivots: int | None = None, files: int | None = None) -> None:
-    """Writes a new store of df (index, embedding): about 2 sqrt(rows) pivots, MAX_PIVOTS at most, unless told."""
+    """Writes a new store of df (index, embedding): about sqrt(rows) / 2 pivots, MAX_PIVOTS at most, unless told."""
     df = df.select(F.col("index").cast("long").alias("index"), "embedding")
     n = df.count()
-    chosen = _choose(df, min(MAX_PIVOTS, pivots or 2 * math.isqrt(n) + 1))
+    chosen = _choose(df, min(MAX_PIVOTS, pivots or math.isqrt(n) // 2 + 1))
     df.sparkSession.createDataFrame(list(enumerate(chosen.tolist())), "cluster int, pivot array<double>").coalesce(1).write.parquet(f"{path}/pivots")
     append_clustered(df, path, files)
 
