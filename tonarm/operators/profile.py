@@ -67,22 +67,57 @@ def top_items(df: DataFrame, items: Column, name: str, n: int) -> DataFrame:
     return counts.where(F.col(name) != "").orderBy(F.desc("n"), name).limit(n)
 
 
-def tfidf(df: DataFrame, key: str, tokens: Column, top: int = 5, stemmer=None) -> DataFrame:
+#: Tokens that are broadcast, with what is known of them, are fewer than this; only the others' rows are shuffled by token.
+COMMON = 1 << 20
+
+
+def _per_token(tf: DataFrame) -> DataFrame:
+    return tf.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _by_token(tf: DataFrame, common: int, often, seldom) -> DataFrame:
+    """Joins tf with often(counts), rows (token, ...) made of rows (token, df) of the common tokens, by broadcast; seldom(rows) does the same for the rows of the rare ones.
+
+    A common token has more than a `common`-th of all rows, so there are fewer than `common` of them; most rows are theirs
+    and stay where they are. Rare tokens have few rows each, so none is too large for a task.
+    """
+    least = tf.count() // common + 1
+    known = often(_per_token(tf).where(F.col("df") >= least))
+    if least == 1:
+        return tf.join(F.broadcast(known), "token")
+    known = stored(known, "common")
+    rest = tf.join(F.broadcast(known.select("token")), "token", "left_anti")
+    return tf.join(F.broadcast(known), "token").unionByName(seldom(rest))
+
+
+def _with_df(tf: DataFrame, common: int) -> DataFrame:
+    count = F.count("*").over(Window.partitionBy("token"))
+    return _by_token(tf, common, lambda counts: counts, lambda rows: rows.withColumn("df", count))
+
+
+def _with_stems(tf: DataFrame, common: int, stemmer) -> DataFrame:
+    """tf with a column _stem; the stemmer sees each distinct token once."""
+    named = lambda tokens: tokens.select("token", stemmer(F.col("token")).alias("_stem"))
+    return _by_token(tf, common, named, lambda rows: rows.join(named(rows.select("token").distinct()), "token"))
+
+
+def tfidf(df: DataFrame, key: str, tokens: Column, top: int = 5, stemmer=None, common: int = COMMON) -> DataFrame:
     """Rows (key, token, tf, df, weight, rank): tf * (ln((1 + N) / (1 + df)) + 1), the top tokens of each document; N counts documents with tokens or without.
 
-    Texts are tokenised once: counts by document are stored, and counts of documents come from them. With a stemmer (a
-    function of a column) tokens of one stem count together; it sees each distinct token once.
+    Texts are tokenised once. They are dealt by key, so that a document's counts are stored in one place and most of them are
+    ruled out there; counts of documents come from what is stored. With a stemmer (a function of a column) tokens of one
+    stem count together; it sees each distinct token once.
     """
+    # A given number is not merged: from a text come many rows, so tasks sized by texts would spill.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # explode_outer: the null of a list without tokens goes after the exchange, so no filter tokenises a second time.
-    tf = df.select(key, F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count("token").alias("tf"))
+    tf = df.repartition(n_parts, key).select(key, F.explode_outer(tokens).alias("token")).groupBy(key, "token").agg(F.count("token").alias("tf"))
     tf = stored(tf, "tf").where("token IS NOT NULL")
     if stemmer is not None:
-        named = tf.select("token").distinct().select("token", stemmer(F.col("token")).alias("_stem"))
-        tf = tf.join(named, "token").groupBy(key, F.col("_stem").alias("token")).agg(F.sum("tf").alias("tf"))
-        tf = stored(tf, "stems")
+        tf = _with_stems(tf, common, stemmer).select(key, F.col("_stem").alias("token"), "tf")
+        tf = stored(tf.repartition(n_parts, key).groupBy(key, "token").agg(F.sum("tf").alias("tf")), "stems")
     n = df.agg(F.count("*").alias("n_docs"))
-    per_token = tf.groupBy("token").agg(F.count("*").alias("df"))
-    met = tf.join(per_token, "token").crossJoin(F.broadcast(n))  # one row
+    met = _with_df(tf, common).crossJoin(F.broadcast(n))  # one row
     weight = F.round(F.col("tf") * (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0), 6)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "token"))
     return met.select(key, "token", "tf", "df", weight.alias("weight")).withColumn("rank", rank).where(F.col("rank") <= top)
