@@ -45,8 +45,9 @@ def words(c: Column) -> Column:
 def clean_and_tokenize(c: Column, null_token: bool = False) -> Column:
     """Lower-case runs of word characters that are all letters and no stop words; null gives none, or `nan` if asked for."""
     text = F.coalesce(c, F.lit("nan" if null_token else ""))
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"({W}+)"), F.lit(1))
-    return F.filter(found, lambda t: t.rlike(r"^\p{L}+$") & ~t.isin(*STOP_WORDS))
+    # A run of letters that no digit or `_` goes on; of any other run the group is empty.
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}++)(?![\p{{N}}_])|{W}++"), F.lit(1))
+    return F.filter(found, lambda t: ~t.isin("", *STOP_WORDS))
 
 
 def normalize_token(c: Column) -> Column:
