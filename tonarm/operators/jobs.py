@@ -9,23 +9,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tonarm.sources.checkpoint import Checkpoint
 from tonarm.storage import step, stored
 
 
 def run_model(df: DataFrame, key: str, column: str, make: Callable[[], Callable], result: str, batch: int) -> DataFrame:
-    """Rows (key, result, status, error): a batch that fails is tried row by row, a row that fails gets `failed`. result is a DDL type."""
-    kind = df.schema[key].dataType.simpleString()
+    """Rows (key, result, status, error): a batch that fails is tried row by row, a row that fails gets `failed`. result is a DDL type.
 
-    def run(frames):
-        import pandas as pd
+    A task's Python holds the values of one batch; the rows that Spark hands over at once stay Arrow's.
+    """
+    kind, kind_of_result = df.schema[key].dataType.simpleString(), DataType.fromDDL(result)
+
+    def run(blocks):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        model = make()
-        for pdf in frames:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                values = part[column].tolist()
+        model, made = make(), to_arrow_type(kind_of_result)
+        for block in blocks:
+            for at in range(0, block.num_rows, batch):
+                part = block.slice(at, batch)
+                values = part.column(1).to_pylist()
                 try:
                     got = list(model(values))
                     if len(got) != len(values):
@@ -39,9 +44,12 @@ def run_model(df: DataFrame, key: str, column: str, make: Callable[[], Callable]
                             rows.append((x, "ok", None))
                         except Exception as e:
                             rows.append((None, "failed", f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame({key: part[key].tolist(), "result": [r[0] for r in rows], "status": [r[1] for r in rows], "error": [r[2] for r in rows]})
+                # As of pandas' columns: NaN is null.
+                results = pa.array([r[0] for r in rows], made, from_pandas=True)
+                said = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), results, *said], [key, "result", "status", "error"])
 
-    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, result {result}, status string, error string")
+    return df.select(key, column).mapInArrow(run, f"`{key}` {kind}, result {result}, status string, error string")
 
 
 def embed_texts(df: DataFrame, key: str, text: str, make, batch: int = 128) -> DataFrame:
