@@ -51,15 +51,20 @@ def clean_and_tokenize(c: Column, null_token: bool = False) -> Column:
 
 
 def normalize_token(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""), f"{SP}+", " ")
+    """From the first letter or digit to the last, with single blanks."""
+    inner = F.regexp_extract(c, r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
+    return F.regexp_replace(inner, rf"{SP}{{2,}}|(?! ){SP}", " ")
 
 
 def is_high_confidence(c: Column, phrases=BAD_PHRASES) -> Column:
-    low = F.lower(c)
-    ok = c.rlike(W) & (F.size(words(c)) <= 4) & ~low.rlike(f"^(?:{'|'.join(BAD_STARTS)}) ")
+    return c.rlike(W) & (F.size(words(c)) <= 4) & _unsuspicious(F.lower(c), phrases) & ~(F.contains(c, F.lit(".")) & ~F.endswith(strip(c), F.lit(".")))
+
+
+def _unsuspicious(low: Column, phrases) -> Column:
+    ok = ~low.rlike(f"^(?:{'|'.join(BAD_STARTS)}) ")
     for p in phrases:
         ok = ok & ~F.contains(low, F.lit(p))
-    return ok & ~(F.contains(c, F.lit(".")) & ~F.endswith(strip(c), F.lit(".")))
+    return ok
 
 
 def looks_like_tag_list(c: Column) -> Column:
@@ -75,18 +80,21 @@ def _flat_map(a: Column, f) -> Column:
 
 def split_candidates(c: Column, version: int = 2) -> Column:
     """Clean, lower-case, distinct keywords of a list in text, in order."""
-    t = strip(F.coalesce(c, F.lit("")))
+    # Neither a line nor an item is stripped before its ends are cut off in normalize_token; what is cheap to see comes before patterns.
+    t = F.coalesce(c, F.lit(""))
     both = f"(?i){START}and{END}"
+    has = lambda x, word: F.contains(F.lower(x), F.lit(word))
     if version == 2:
-        t = F.when(~F.contains(t, F.lit(",")), F.regexp_replace(t, both, ",")).otherwise(t)
-    t = F.regexp_replace(t, rf"(?i)^(?:keywords?|suggested tags?|suggested|tags?){SP}*[:\-]?{SP}*", "")
-    items = _flat_map(F.split(t, r"[/;|]+", -1), lambda p: F.split(p, ",", -1))
+        t = F.when(~F.contains(t, F.lit(",")) & has(t, "and"), F.regexp_replace(t, both, ",")).otherwise(t)
+    t = F.regexp_replace(t, rf"(?i)^{SP}*+(?:keywords?|suggested tags?|suggested|tags?){SP}*[:\-]?{SP}*", "")
+    items = F.split(t, r"[/;|]+|,", -1)
     if version == 2:
-        items = F.transform(items, lambda i: strip(F.element_at(F.split(i, f"(?i){START}with{END}", 2), 1)))
-        items = _flat_map(items, lambda i: F.when(F.size(words(i)) <= 6, F.split(i, both, -1)).otherwise(F.array(i)))
-    tokens = F.transform(items, lambda i: strip(F.regexp_replace(normalize_token(i), r"\.+\z", "")))
+        items = F.transform(items, lambda i: F.when(has(i, "with"), F.element_at(F.split(i, f"(?i){START}with{END}", 2), 1)).otherwise(i))
+        items = _flat_map(items, lambda i: F.when(has(i, "and") & (F.size(words(i)) <= 6), F.split(i, both, -1)).otherwise(F.array(i)))
     phrases = BAD_PHRASES if version == 2 else BAD_PHRASES_1
-    return F.array_distinct(F.transform(F.filter(tokens, lambda x: is_high_confidence(x, phrases)), F.lower))
+    # Of such a token, that it is not empty, has four words at most and no full stop is all that is_high_confidence asks before phrases.
+    tokens = F.filter(F.transform(items, normalize_token), lambda x: (x != "") & (F.substring_index(x, " ", 4) == x) & ~F.contains(x, F.lit(".")))
+    return F.array_distinct(F.filter(F.transform(tokens, F.lower), lambda x: _unsuspicious(x, phrases)))
 
 
 def _group(c: Column, pattern: str, n: int = 1) -> Column:
